@@ -5,6 +5,7 @@ Arrow helpers."""
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import uuid
 
@@ -132,23 +133,23 @@ def ranks(df: DataFrame, group: list[str], order: list[str], name: str) -> DataF
     """
     spark = df.sparkSession
     keys = [F.col(c) for c in [*group, *order]]
-    dealt = store(df.repartitionByRange(width(spark), *keys).withColumn("_range", F.spark_partition_id()), "ranks")
+    dealt = store(df.repartitionByRange(width(spark), *keys).withColumn("__range", F.spark_partition_id()), "ranks")
     shifts = (
-        dealt.groupBy(*group, "_range")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_shift", F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
-        .filter("_shift > 0")
-        .select(*[F.col(c).alias(f"_{c}") for c in group], F.col("_range").alias("_at"), "_shift")
+        dealt.groupBy(*group, "__range")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__shift", F.sum("__n").over(Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)))
+        .filter("__shift > 0")
+        .select(*[F.col(c).alias(f"__{c}") for c in group], F.col("__range").alias("__at"), "__shift")
     )
-    same = F.col("_range") == F.col("_at")
+    same = F.col("__range") == F.col("__at")
     for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    inner = Window.partitionBy("_range", *group).orderBy(*[F.col(c) for c in order])
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    inner = Window.partitionBy("__range", *group).orderBy(*[F.col(c) for c in order])
     return (
-        dealt.withColumn("_rank", F.row_number().over(inner) - 1)
+        dealt.withColumn("__rank", F.row_number().over(inner) - 1)
         .join(F.broadcast(shifts), same, "left")
-        .withColumn(name, F.col("_rank").cast("long") + F.coalesce("_shift", F.lit(0)))
-        .drop("_rank", "_range", "_at", "_shift", *[f"_{c}" for c in group])
+        .withColumn(name, F.col("__rank").cast("long") + F.coalesce("__shift", F.lit(0)))
+        .drop("__rank", "__range", "__at", "__shift", *[f"__{c}" for c in group])
     )
 
 
@@ -221,6 +222,33 @@ def codes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes, starts[offs]
 
 
+@functools.cache
+def fold_table(digits: bool) -> np.ndarray:
+    """For each code point its lower-case letter (or digit, if wanted), or a space."""
+    out = np.full(0x110000, 32, np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalpha() or digits and c.isdigit():
+            low = c.lower()
+            out[i] = ord(low) if len(low) == 1 else i
+    return out
+
+
+def folded(codes: np.ndarray, offs: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points mapped by a table, runs of spaces as one, a space before and after each text.
+    Gives them, the texts' offsets, and the place that each came from (-1: added)."""
+    n = len(offs) - 1
+    wide, origin = np.full(len(codes) + 2 * n, 32, np.uint32), np.full(len(codes) + 2 * n, -1, np.int64)
+    at = np.arange(len(codes)) + 2 * np.repeat(np.arange(n), np.diff(offs)) + 1
+    wide[at], origin[at] = by[codes], np.arange(len(codes))
+    starts = offs + 2 * np.arange(n + 1)
+    keep = np.ones(len(wide), bool)
+    keep[1:] = (wide[1:] != 32) | (wide[:-1] != 32)
+    keep[starts[:-1]] = True
+    upto = np.concatenate(([0], np.cumsum(keep)))
+    return wide[keep], upto[starts], origin[keep]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

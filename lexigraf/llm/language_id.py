@@ -21,7 +21,6 @@ an error rather than being dropped.
 
 from __future__ import annotations
 
-import functools
 import math
 from dataclasses import dataclass
 
@@ -31,38 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import codes_of, fold_of, mixed, pieces, prepare, table, texts_of
+from .common import codes_of, fold_of, fold_table, folded, mixed, pieces, prepare, table, texts_of
 
 ORDER, SAMPLE, LANGUAGES, CALIBRATE, MARGIN, SHORT, PIECE = 4, 500, 200, 5, 0.6, 12.0, 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-@functools.cache
-def _letters() -> np.ndarray:
-    """For each code point its lower-case letter, or a space."""
-    out = np.full(0x110000, 32, np.uint32)
-    for i in range(0x110000):
-        c = chr(i)
-        if c.isalpha():
-            low = c.lower()
-            out[i] = ord(low) if len(low) == 1 else i
-    return out
-
-
-def folded(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Letters and single spaces of each text, with one space before and after it."""
-    n = len(offs) - 1
-    wide = np.full(len(codes) + 2 * n, 32, np.uint32)
-    at = np.arange(len(codes)) + 2 * np.repeat(np.arange(n), np.diff(offs)) + 1
-    wide[at] = _letters()[codes]
-    starts = offs + 2 * np.arange(n + 1)
-    keep = np.ones(len(wide), bool)
-    keep[1:] = (wide[1:] != 32) | (wide[:-1] != 32)
-    keep[starts[:-1]] = True
-    upto = np.concatenate(([0], np.cumsum(keep)))
-    return wide[keep], upto[starts]
-
-
 def _hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
     """hashes[k][i]: of the k characters that end before i + 1 (garbage where they cross a text's start)."""
     c = codes.astype(np.uint64) + np.uint64(1)
@@ -103,7 +76,7 @@ def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     grams: list[dict[str, tuple]] = []
     for name in languages:
         codes, offs = codes_of(pa.array(texts[name], pa.string()))
-        codes, offs = folded(codes, offs)
+        codes, offs, _ = folded(codes, offs, fold_table(False))
         place = np.arange(len(codes)) - np.repeat(offs[:-1], np.diff(offs))
         hs = _hashes(codes, order)
         prev = [np.concatenate((np.zeros(1, np.uint64), h[:-1])) for h in hs]  # the context: what ends one earlier
@@ -161,7 +134,7 @@ def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
 
 def entropies(model: Model, codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(cross-entropy per character of each text in each language, characters); offs as of ``codes_of``."""
-    codes, offs = folded(codes, offs)
+    codes, offs, _ = folded(codes, offs, fold_table(False))
     n, width = len(offs) - 1, len(model.languages)
     place = np.arange(len(codes)) - np.repeat(offs[:-1], np.diff(offs))
     hs = _hashes(codes, model.order)
@@ -195,7 +168,7 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.nd
     names, scores, accepted = [], np.zeros(len(texts)), np.zeros(len(texts), bool)
     for a, b in pieces(texts, PIECE):
         codes, offs = codes_of(texts.slice(a, b - a))
-        letters = np.concatenate(([0], np.cumsum(_letters()[codes] != 32)))[offs]
+        letters = np.concatenate(([0], np.cumsum(fold_table(False)[codes] != 32)))[offs]
         some = np.diff(letters) > 0
         if not model.languages:
             names += ["und"] * (b - a)
