@@ -1,8 +1,10 @@
 """The registered queries, one callable (spark, sf_dir) each, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import retrieval, versions, graphs, texts  # noqa: I001
+
+QUERIES = {**retrieval.QUERIES, **versions.QUERIES, **graphs.QUERIES, **texts.QUERIES}
+SQL = {**retrieval.SQL, **versions.SQL, **graphs.SQL, **texts.SQL}
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return retrieval.hybrid_pipeline_flagship(spark, sf_dir)
