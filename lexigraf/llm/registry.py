@@ -8,10 +8,12 @@ from .language_id import op10_language_id
 from .mixing import OP3_SQL, op3_mixing
 from .quality import op9_quality
 from .sharding import op1_sharding
+from .suffix_dedup import op2_suffix_dedup
 from .token_files import op8_token_files
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mixing": op3_mixing,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_exact_dedup": op5_exact_dedup,
