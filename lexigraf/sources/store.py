@@ -1,0 +1,161 @@
+"""The versioned store: Parquet tables under one folder.
+
+``versions`` (commit_id, base, indexed_at), ``blobs`` (content_hash, text, language),
+``occurrences``, ``refs``, ``edges`` and ``lineage``, all but the first two partitioned by
+commit_id so that a commit is a partition to prune to.  Indexing a commit parses only the
+files that changed since an indexed ancestor and copies the rest.  A commit counts as
+indexed once its row in ``versions`` is written, which is last; a run that broke off is
+overwritten by the next.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import content_hash, occurrence_id, symbol_id
+from ..operators import lineage
+from . import git
+from .chunkers import eligible, language_of, spans
+from .references import references, resolve_edges
+
+SCHEMAS = {
+    "versions": "commit_id string, base string, tag string, parent string, timestamp long, subject string",
+    "blobs": "content_hash string, text string, language string",
+    "occurrences": "occurrence_id string, path string, symbol string, kind string, start_line int, end_line int, content_hash string, language string, commit_id string",
+    "refs": "path string, symbol string, kind string, target string, local string, seq int, commit_id string",
+    "edges": "src string, dst string, kind string, commit_id string",
+    "lineage": "lineage_id string, occurrence_id string, path string, symbol string, change_type string, previous string, similarity double, commit_id string",
+}
+
+
+@dataclass
+class IndexStats:
+    commit_id: str
+    base: str | None
+    parsed_files: int
+    reused_chunks: int
+    total_chunks: int
+
+
+class VersionedStore:
+    def __init__(self, spark: SparkSession, root: str, repo: str):
+        self.spark, self.root, self.repo = spark, root.rstrip("/"), repo
+
+    def _exists(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def table(self, name: str, commit: str | None = None) -> DataFrame:
+        path = f"{self.root}/{name}"
+        if not self._exists(path):
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        rows = self.spark.read.schema(SCHEMAS[name]).parquet(path)
+        return rows if commit is None else rows.filter(F.col("commit_id") == commit)
+
+    def _put(self, rows: DataFrame, name: str, commit: str) -> None:
+        rows.drop("commit_id").write.mode("overwrite").parquet(f"{self.root}/{name}/commit_id={commit}")
+
+    def commits(self) -> list[str]:
+        """Indexed commits, oldest first."""
+        return git.oldest_first(self.repo, [r[0] for r in self.table("versions").select("commit_id").collect()])
+
+    def resolve(self, ref: str) -> str:
+        return git.resolve(self.repo, ref)
+
+    def base_for(self, commit: str, wanted: str | None = None) -> str | None:
+        """The wanted base if it is indexed, else the nearest indexed ancestor."""
+        have = set(self.commits())
+        if wanted is not None and (b := self.resolve(wanted)) in have:
+            return b
+        return next((c for c in git.ancestors(self.repo, commit) if c in have), None)
+
+    def index_commit(self, ref: str = "HEAD", base_ref: str | None = None) -> IndexStats:
+        commit = self.resolve(ref)
+        if commit in self.commits():
+            total = self.table("occurrences", commit).count()
+            return IndexStats(commit, None, 0, total, total)
+        base = self.base_for(commit, base_ref)
+        entries = git.tree(self.repo, commit)
+        moved = git.changed(self.repo, base, commit) if base else {p for p, *_ in entries}
+        fresh = [(p, b) for p, b, _ in entries if p in moved or not base]
+        same = self.spark.createDataFrame([(p,) for p, *_ in entries if base and p not in moved], "path string")
+        copied = self.table("occurrences", base).join(F.broadcast(same), "path", "left_semi") if base else self.spark.createDataFrame([], SCHEMAS["occurrences"])
+        files = self._read(fresh)
+        parsed = self._chunks(files).withColumn("content_hash", content_hash("language", "text")).persist()
+        rows = parsed.drop("text").unionByName(copied.drop("occurrence_id", "commit_id"))
+        key = occurrence_id(F.lit(commit), F.col("path"), F.col("symbol"), F.col("start_line"), F.col("content_hash"))
+        self._put(rows.withColumn("occurrence_id", key).select(*[c.split()[0] for c in SCHEMAS["occurrences"].split(", ") if not c.startswith("commit_id")]), "occurrences", commit)
+        new_blobs = parsed.select("content_hash", "text", "language").dropDuplicates(["content_hash"]).join(self.table("blobs").select("content_hash"), "content_hash", "left_anti")
+        new_blobs.write.mode("append").parquet(f"{self.root}/blobs")
+        kept_refs = self.table("refs", base).join(F.broadcast(same), "path", "left_semi").drop("commit_id") if base else None
+        refs = self._refs(files)
+        self._put(refs if kept_refs is None else refs.unionByName(kept_refs), "refs", commit)
+        at = self.table("occurrences", commit)
+        defs = at.select("commit_id", "path", F.when(F.col("kind") != "file", F.col("symbol")).alias("symbol"), "start_line")
+        self._put(resolve_edges(defs, self.table("refs", commit)), "edges", commit)
+        self._lineage(commit, base)
+        info = git.log(self.repo, [commit], 1)[0]
+        tag = dict(git.tags(self.repo)).get(commit)
+        self.spark.createDataFrame([(commit, base, tag, info[1], info[3], info[4])], SCHEMAS["versions"]).write.mode("append").parquet(f"{self.root}/versions")
+        reused = copied.count()
+        return IndexStats(commit, base, len(fresh), reused, at.count())
+
+    def _read(self, entries: list[tuple[str, str]]) -> DataFrame:
+        repo = self.repo
+
+        def run(parts):
+            for part in parts:
+                rows = []
+                for path, blob in zip(part["path"], part["blob"], strict=True):
+                    content = git.git(repo, "cat-file", "blob", blob)
+                    if eligible(path, content):
+                        rows.append((path, content.decode("utf-8", "replace")))
+                yield pd.DataFrame(rows, columns=["path", "content"])
+
+        return self.spark.createDataFrame(entries, "path string, blob string").repartition(max(1, min(64, len(entries) // 16 + 1))).mapInPandas(run, "path string, content string").persist()
+
+    def _chunks(self, files: DataFrame) -> DataFrame:
+        def run(parts):
+            for part in parts:
+                rows = [(p, s.symbol, s.kind, s.start_line, s.end_line, s.text, language_of(p)) for p, c in zip(part["path"], part["content"], strict=True) for s in spans(p, c)]
+                yield pd.DataFrame(rows, columns=["path", "symbol", "kind", "start_line", "end_line", "text", "language"])
+
+        return files.mapInPandas(run, "path string, symbol string, kind string, start_line int, end_line int, text string, language string")
+
+    def _refs(self, files: DataFrame) -> DataFrame:
+        def run(parts):
+            for part in parts:
+                rows = [(p, r.symbol, r.kind, r.target, r.local, i) for p, c in zip(part["path"], part["content"], strict=True) for i, r in enumerate(references(p, c))]
+                yield pd.DataFrame(rows, columns=["path", "symbol", "kind", "target", "local", "seq"])
+
+        return files.mapInPandas(run, "path string, symbol string, kind string, target string, local string, seq int")
+
+    def chunks(self, commit: str) -> DataFrame:
+        """Occurrences of a commit with their texts and lineages."""
+        line = self.table("lineage", commit).filter("occurrence_id is not null").select("occurrence_id", "lineage_id")
+        blobs = self.table("blobs").select("content_hash", "text")
+        return self.table("occurrences", commit).join(blobs, "content_hash").join(line, "occurrence_id", "left")
+
+    def ranking_chunks(self, commits: list[str]) -> DataFrame:
+        """Chunks as ranking sees them: the text begins with path and symbol."""
+        rows = self.chunks(commits[0])
+        for c in commits[1:]:
+            rows = rows.unionByName(self.chunks(c))
+        head = F.concat_ws(" ", "path", F.coalesce("symbol", F.lit("")))
+        return rows.select(F.col("occurrence_id").alias("chunk_hash"), F.concat(head, F.lit("\n"), "text").alias("text"), "path", "symbol", "kind", "start_line", "end_line", "content_hash", "lineage_id", F.col("commit_id").alias("version_id"), F.col("text").alias("body"))
+
+    def _lineage(self, commit: str, base: str | None) -> None:
+        with_text = lambda c: self.table("occurrences", c).join(self.table("blobs").select("content_hash", "text"), "content_hash")
+        new = with_text(commit)
+        old = with_text(base) if base else self.spark.createDataFrame([], new.schema)
+        matches = lineage.match_symbols(old, new)
+        previous = self.table("lineage", base) if base else self.table("lineage").limit(0)
+        self._put(lineage.record_lineage(matches, previous, new, commit), "lineage", commit)
+
+    def symbols(self, commit: str) -> DataFrame:
+        rows = self.table("occurrences", commit).filter("kind <> 'file'")
+        return rows.select(symbol_id("path", "symbol").alias("symbol_id"), "symbol", "path", "kind", "start_line", "end_line", F.col("occurrence_id").alias("chunk_hash"))
