@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 import re
 import uuid
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, prepare, store, table, texts_of, width
 
-MAGIC, HEAD, SAMPLE, DICTIONARY, LEVEL, CACHED, FRAMES_HELD = b"LXTOK001", 48, 1000, 65536, 3, 600_000, 1 << 22
+MAGIC, HEAD, SAMPLE, DICTIONARY, LEVEL, CACHED, FRAMES_HELD = b"LXTOK001", 48, 1000, 65536, 3, 1_500_000, 1 << 22
 
 
 class Encoder:
@@ -62,7 +63,8 @@ class Encoder:
         self.special = re.compile("|".join(re.escape(t.content) for t in added.values())) if added else None
         kind = self.tokenizer.pre_tokenizer
         self.by_words = self.tokenizer.normalizer is None and type(kind).__name__ == "ByteLevel" and kind.use_regex and not kind.add_prefix_space
-        self.cache: dict[str, bytes | None] = {}
+        self.last = " "  # no word
+        self.cache: dict[str, bytes | bool] = {self.last: b""}
         self.opens = np.zeros(size, bool)  # ids that begin with a space
         if self.by_words:
             space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
@@ -73,13 +75,13 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def learn(self, words: list[str]) -> None:
-        """Put the ids of each word after a space into the cache; None where more white space may join it."""
+        """Put the ids of each word after a space into the cache; False where more white space may join it."""
         plain = []
         for w in words:
             if w and not w[0].isspace() and not w[-1].isspace():
                 plain.append(w)
             else:
-                self.cache[w] = None
+                self.cache[w] = False
         if plain:
             ids = self.ids(" " + " ".join(plain))
             cuts = np.flatnonzero(self.opens[ids])
@@ -93,20 +95,25 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not self.by_words or (self.special is not None and self.special.search(text)):
             return self.ids(text).tobytes() + self.end
-        first, *words = text.split(" ")
+        words = text.split(" ")
+        first = words[0]
         if not first or first[-1].isspace():
             return self.ids(text).tobytes() + self.end
-        cache = self.cache
-        new = [w for w in {*words} if w not in cache]
-        if new:
-            if len(cache) + len(new) > CACHED:
-                cache.clear()
-                new = list({*words})
-            self.learn(new)
-        try:
-            return b"".join([self.ids(first).tobytes(), *map(cache.__getitem__, words), self.end])
-        except TypeError:
+        words[0] = self.last  # in the cache as nothing, while the first word has no space before it
+        parts = list(map(self.cache.get, words))
+        if None in parts:
+            places = [i for i, p in enumerate(parts) if p is None]
+            new = {words[i] for i in places}
+            if len(self.cache) + len(new) > CACHED:
+                self.cache = dict(itertools.islice(self.cache.items(), CACHED // 2))  # those met first are the frequent ones
+            self.learn(list(new))
+            for i in places:
+                parts[i] = self.cache[words[i]]
+        if False in parts:
             return self.ids(text).tobytes() + self.end
+        parts[0] = self.ids(first).tobytes()
+        parts.append(self.end)
+        return b"".join(parts)
 
 
 @functools.lru_cache(maxsize=2)
