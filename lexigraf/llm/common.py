@@ -20,6 +20,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 LOCAL_SHARED = "file:///tmp/checkpoints"
 #: log2 of the bits of a key filter: at most 2^24 / 64 rows of two longs are broadcast.
 FILTER_BITS = 24
+#: Rows of an Arrow batch: few, since texts may be very long.
+BATCH = 256
 
 _stored: dict[str, tuple[SparkSession, str]] = {}
 
@@ -32,8 +34,8 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{ROOT}{os.pathsep}{path}" if path else ROOT
     env.setdefault("OMP_NUM_THREADS", "1")
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
 def shared_dir(spark: SparkSession) -> str:

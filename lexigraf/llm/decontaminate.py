@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import codes_of, fold_table, folded, mixed, pieces, prepare, table, texts_of
 
-Q, RATE, SHARED, SHORTEST, BLOCK, PIECE, BITS, ALIGNED = 9, 0.1, 8, 25, 1 << 23, 1 << 20, 22, 256
+Q, RATE, SHARED, SHORTEST, BLOCK, PIECE, BITS, ALIGNED = 9, 0.1, 8, 25, 1 << 23, 1 << 17, 22, 256
 BASE = 0x9E3779B97F4A7C15
 
 

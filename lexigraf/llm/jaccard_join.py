@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import components, key_filter, maybe_in, mixed, pieces, prepare, store, table, texts_of, utf8_of, width
 
-WORDS, SIMILARITY, TREES, DEPTH, RECALL, BLOCK, PIECE, COLUMNS = 5, 0.8, 24, 6, 0.999, 256, 1 << 20, 4096
+WORDS, SIMILARITY, TREES, DEPTH, RECALL, BLOCK, PIECE, COLUMNS = 5, 0.8, 24, 6, 0.999, 256, 1 << 17, 4096
 BASE, STEP, NONE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, -(1 << 63)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import codes_of, fold_of, fold_table, folded, mixed, pieces, prepare, table, texts_of
 
-ORDER, SAMPLE, LANGUAGES, CALIBRATE, MARGIN, SHORT, PIECE = 4, 500, 200, 5, 0.6, 12.0, 1 << 20
+ORDER, SAMPLE, LANGUAGES, CALIBRATE, MARGIN, SHORT, PIECE = 4, 250, 200, 5, 0.6, 12.0, 1 << 17
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import codes_of, fold_of, pieces, prepare, table, texts_of
 
-SAMPLE, FOLDS, ROUNDS, COST, PIECE, SEED = 3000, 5, 30, 0.3, 1 << 20, 11
+SAMPLE, FOLDS, ROUNDS, COST, PIECE, SEED = 3000, 5, 30, 0.3, 1 << 18, 11
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 KINDS = 6 + len(MARKS)
 GRAMS = KINDS + KINDS**2 + KINDS**3
