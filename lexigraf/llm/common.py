@@ -54,8 +54,15 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it again."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a frame that ``store`` gave and that nothing reads any more."""
+    drop_path(df.sparkSession, df.stored_at)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -155,14 +162,17 @@ def ranks(df: DataFrame, group: list[str], order: list[str], name: str) -> DataF
     )
 
 
+#: Rows for which one file of edges is written, so that small tables stay in few tasks.
+EDGES_IN_FILE = 200_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for the nodes of undirected edges (a, b): the least node of each component.
 
     Alternates large-star and small-star, so every round is one aggregation over the
     edges, no node gathers its neighbours in memory, and rounds grow as the logarithm
-    of a component's diameter.
+    of a component's diameter.  A round's table is deleted when the next is written.
     """
-    pairs = store(edges.filter("a <> b").select("a", "b").distinct(), "edges")
 
     def star(frame: DataFrame, large: bool) -> DataFrame:
         both = frame.select("a", "b").union(frame.select(F.col("b"), F.col("a")))
@@ -172,18 +182,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             out = around.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = around.filter("b < a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        return out.filter("a <> b").distinct()
+        return out.filter("a <> b")
+
+    def mark(frame: DataFrame):
+        return frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    mark = None
+    pairs = store(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = mark(pairs)
     for _ in range(rounds):
-        pairs = store(star(star(pairs, True), False), "edges")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
+        files = -(-(before[0] or 0) // EDGES_IN_FILE) or 1
+        now = store(star(star(pairs, True), False).distinct().coalesce(files), "edges")
+        discard(pairs)
+        pairs, last, before = now, before, mark(now)
+        if before == last:
+            return pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 # --- Arrow -----------------------------------------------------------------
