@@ -288,11 +288,12 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = T
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` whose document has the least id of its class.  Texts of rows that are
     certainly kept are not shuffled."""
-    joined = store(jaccard_join(docs, id_col=id_col, **how).filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    flagged = maybe_in(docs, F.xxhash64(F.col(id_col).cast("long")), store(key_filter(joined, F.xxhash64("_gone")), "filter"), "_maybe")
-    sure = flagged.filter("not _maybe").select(*docs.columns)
-    rest = flagged.filter("_maybe").join(joined, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
-    return sure.union(rest)
+    joined = store(jaccard_join(docs, id_col=id_col, **how).filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).cast("long").alias("_gone")).distinct(), "gone")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).cast("long").alias("_id"))
+    flagged = maybe_in(packed, F.xxhash64("_id"), store(key_filter(joined, F.xxhash64("_gone")), "filter"), "_maybe")
+    sure = flagged.filter("not _maybe")
+    rest = flagged.filter("_maybe").join(joined, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return sure.union(rest).select("_doc.*")
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

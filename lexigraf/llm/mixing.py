@@ -13,7 +13,7 @@ first, and only the bucket that the limit falls in is read row by row.  The outc
 plan with one row per source that decides about each document alone, so texts are only
 read, never shuffled.
 
-Null texts have size 0 and are taken 0 words.  Null is a source of its own, the last.
+Null texts have size 0 and are taken 0 words; what has no words comes only as often as its source as a whole.  Null is a source of its own, the last.
 Rows with the same id and size are taken alike.  An empty table gives an empty result.
 """
 
@@ -45,10 +45,12 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
 
 
 def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``docs`` with ``_source``, ``_size`` and ``_key``, the order in which documents are taken once more."""
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    """(_doc, _source, _size, _key): each row whole, so that its columns' names can't clash, and the key by whose order
+    documents are taken once more."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     hashed = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f":{seed}")))
-    return docs.withColumns({"_source": F.col(source_col), "_size": size}).withColumn("_key", F.struct(hashed.alias("h"), F.col(id_col).alias("i"), F.col("_size").alias("n")))
+    key = F.struct(hashed.alias("h"), F.col(id_col).alias("i"), size.alias("n"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(source_col).alias("_source"), size.alias("_size"), key.alias("_key"))
 
 
 def mixing_plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
@@ -97,28 +99,30 @@ def _again():
     return F.coalesce(F.substring("_key.h", 1, 3) <= F.col("upto"), F.lit(False)) | F.coalesce(F.col("_key") <= F.col("cut"), F.lit(False)) | F.coalesce(F.array_contains("extra", F.col("_key")), F.lit(False))
 
 
-def mixed(docs: DataFrame, plan: DataFrame, seed: int = SEED, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """``docs`` with size, source_size, target and copies, the times that the mix takes each.  The plan has a row
-    for each source; Spark broadcasts it only below its own threshold."""
+def _planned(docs: DataFrame, plan: DataFrame, seed: int = SEED, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+    """(_doc, _size, _plan_size, _plan_target, _copies).  The plan has a row for each source; Spark broadcasts it only
+    below its own threshold."""
     named = plan.withColumnsRenamed({"source": "_plan_source", "source_size": "_plan_size", "target": "_plan_target"})
     rows = _keyed(docs, seed, id_col, text_col, source_col).join(named, F.col("_source").eqNullSafe(F.col("_plan_source")))
-    out = rows.withColumn("_copies", F.col("whole") + _again().cast("long"))
-    return out.select(*[docs[c] for c in docs.columns], F.col("_size").alias("mix_size"), F.col("_plan_size").alias("mix_source_size"), F.col("_plan_target").alias("mix_target"), F.col("_copies").alias("mix_copies"))
+    return rows.select("_doc", "_size", "_plan_size", "_plan_target", (F.col("whole") + (_again() & (F.col("_size") > 0)).cast("long")).alias("_copies"))
+
+
+def mixed(docs: DataFrame, plan: DataFrame, **how) -> DataFrame:
+    """One row per input row: doc (the row), size, source_size, target and copies, the times that the mix takes it."""
+    return _planned(docs, plan, **how).toDF("doc", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes it."""
-    columns = docs.columns
-    rows = mixed(docs, mixing_plan(docs, **how), **{k: v for k, v in how.items() if k in ("seed", "id_col", "text_col", "source_col")})
-    return rows.filter("mix_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*columns)
+    rows = _planned(docs, mixing_plan(docs, **how), **{k: v for k, v in how.items() if k in ("seed", "id_col", "text_col", "source_col")})
+    return rows.filter("_copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select("_doc.*")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixed(docs, mixing_plan(docs)).select(
-        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken")
-    )
+    rows = mixed(docs, mixing_plan(docs))
+    return rows.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP3_SQL = r"""

@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with score instead of the text."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS weights
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in (text_col, *("score",))]  # columns of these names are replaced
 
     def run(batches):
         for batch in batches:
