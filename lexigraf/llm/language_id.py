@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import codes_of, fold_of, fold_table, folded, mixed, pieces, prepare, table, texts_of
 
-ORDER, SAMPLE, LANGUAGES, CALIBRATE, MARGIN, SHORT, PIECE = 4, 250, 200, 5, 0.6, 12.0, 1 << 17
+ORDER, SAMPLE, LANGUAGES, CALIBRATE, MARGIN, SHORT, PIECE = 4, 250, 200, 5, 1.2, 12.0, 1 << 17
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -222,7 +222,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 def _apply(docs: DataFrame, model: Model, text_col: str, only: bool) -> DataFrame:
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # its size is bounded by the sample's
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in (text_col, *("lang_pred", "score", "accepted"))]  # columns of these names are replaced
 
     def run(batches):
         for batch in batches:
