@@ -1,0 +1,499 @@
+"""The training-data operators against brute force, round trips and held-out rows, and on awkward input."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lexigraf.llm import chat, decontaminate, esais, exact_dedup, jaccard_join, language_id, mixing, quality, sharding, suffix_dedup, token_files
+from lexigraf.llm.common import components, prepare, store
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+VOCAB = [f"w{i}" for i in range(400)]
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(VOCAB) for _ in range(n))
+
+
+def near(rng, text, edits):
+    words = text.split()
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = "edit" + str(rng.randrange(99))
+    return " ".join(words)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Nulls, empty and long texts, ties, repeated rows, copies, near copies and shared passages."""
+    rng = random.Random(4)
+    passage = sentence(rng, 60)
+    out = [(0, None, None, None, None), (1, "", "en", "a", 0), (2, "", None, "b", 0), (3, " \t\n", "en", "a", 3), (4, "one two", "en", "a", 7), (None, "no id here", "en", "b", 10)]
+    for i in range(5, 45):
+        out.append((i, sentence(rng, rng.randrange(1, 90)), "en", rng.choice("abc"), 1))
+    for i in range(45, 60):
+        out.append((i, out[10 + i % 5][1], "en", "a", 1))  # copies
+    base = sentence(rng, 120)
+    for i in range(60, 75):
+        out.append((i, near(rng, base, rng.randrange(0, 5)), "en", "a", 1))  # near copies
+    for i in range(75, 85):
+        out.append((i, sentence(rng, 10) + " " + passage + " " + sentence(rng, 12), "en", "c", 1))
+    out.append((85, sentence(rng, 20000), "en", "b", 1))
+    out.append((86, "é" * 150 + passage[:150] + "é" * 150, "fr", None, 1))
+    return out + [out[20], out[20]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    prepare(spark)
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, docs):
+    """The same rows with columns named as the operators name theirs."""
+    extra = ["_id", "_text", "_source", "_size", "_key", "_doc", "_copies", "size", "target", "cut", "extra", "whole", "upto", "score", "accepted", "h", "node", "start", "c1", "n", "sig", "_maybe", "_gone", "_word", "_mask", "_s", "kept", "shard", "slot"]
+    frame = docs
+    for c in extra:
+        frame = frame.withColumn(c, docs["n_chars"])
+    return frame
+
+
+def listed(frame):
+    return [tuple(r) for r in frame.collect()]
+
+
+# --- sharding --------------------------------------------------------------
+
+
+def least_capacity(sizes, shards):
+    def fits(c):
+        at, used = 0, 1
+        for s in sizes:
+            if s > c:
+                return False
+            if at + s > c:
+                used, at = used + 1, 0
+            at += s
+        return used <= shards
+
+    low, high = max(sizes), sum(sizes)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if fits(mid) else (mid + 1, high)
+    return low
+
+
+@pytest.mark.parametrize("shards", [1, 3, 16])
+def test_sharding_is_minimax(docs, rows, shards):
+    got = sharding.shard_documents(docs, shards).collect()
+    assert len(got) == len(rows)
+    atoms = {}
+    for i, t, *_ in rows:
+        first, size = atoms.get(t or "", (i, 0))
+        ids = [x for x in (first, i) if x is not None]
+        atoms[t or ""] = (min(ids) if ids else None, size + len((t or "").encode()) + 1)
+    order = sorted(atoms.items(), key=lambda kv: (kv[1][0] is not None, kv[1][0] or 0, hashlib.sha256(kv[0].encode()).digest()))
+    by_shard = Counter()
+    for r in got:
+        by_shard[r["shard"]] += r["size"]
+    assert max(by_shard.values()) == least_capacity([v[1] for _, v in order], shards)
+    where = defaultdict(set)
+    for r in got:
+        where[r["text_crc32"]].add(r["shard"])
+        assert r["law"] == "bytes" and r["grown_shard"] is None
+    assert all(len(s) == 1 for s in where.values())
+    for s in by_shard:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_minimax_search_at_several_scales(spark, monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(sharding, "BLOCKS", 8)
+    monkeypatch.setattr(sharding, "PARTS", 4)
+    for _ in range(6):
+        sizes = [rng.choice([1, 2, 5, 40, 300]) for _ in range(rng.randrange(1, 200))]
+        ends = np.cumsum(sizes).tolist()
+        frame = spark.createDataFrame([(e,) for e in ends], "end long")
+        shards = rng.randrange(1, 9)
+        cuts = sharding.minimax_cuts(frame, ends[-1], max(sizes), shards)
+        assert len(cuts) <= shards and cuts[-1] == ends[-1] and set(cuts) <= set(ends)
+        assert max(np.diff([0, *cuts])) == least_capacity(sizes, shards)
+
+
+# --- passages --------------------------------------------------------------
+
+
+def brute_removed(rows, length=100):
+    seen, out = set(), []
+    texts = {}
+    for i, t, *_ in rows:
+        texts.setdefault((i is not None, i or 0, t or ""), None)
+    for key in sorted(texts, key=lambda k: k[:2]):
+        b = key[2].encode()
+        covered = bytearray(len(b))
+        fresh = []
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            if w in seen:
+                covered[p : p + length] = b"\1" * length
+            else:
+                seen.add(w)
+                fresh.append(w)
+        texts[key] = covered
+    for i, t, *_ in rows:
+        b, c = (t or "").encode(), texts[(i is not None, i or 0, t or "")]
+        spans = sum(1 for j in range(len(c)) if c[j] and (j == 0 or not c[j - 1]))
+        out.append((i, len(b), sum(c), spans, hashlib.sha256(bytes(x for x, y in zip(b, c) if not y)).hexdigest()))
+    return out
+
+
+def test_suffix_dedup(docs, rows, empty, clashing):
+    want = sorted(map(repr, brute_removed(rows)))
+    assert sorted(map(repr, listed(suffix_dedup.suffix_dedup(docs)))) == want
+    assert sorted(map(repr, listed(suffix_dedup.suffix_dedup(clashing)))) == want
+    assert suffix_dedup.suffix_dedup(empty).count() == 0
+
+
+def test_suffix_dedup_of_repetitive_text(spark):
+    rows = [(1, "ab" * 400, None, None, 1), (2, "ab" * 200 + "c", None, None, 1), (3, "x" * 99, None, None, 1), (4, "x" * 99, None, None, 1), (5, "x" * 100, None, None, 1), (6, "y" + "x" * 100, None, None, 1)]
+    got = listed(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, SCHEMA)))
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_removed(rows)))
+
+
+def test_long_texts_go_in_segments(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 300)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 100)
+    text = sentence(random.Random(1), 500)
+    whole = suffix_dedup.runs(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    starts = set()
+    for _, shift, raw, offs in suffix_dedup.segments(pa.array([text])):
+        _, _, a, b = suffix_dedup.runs(raw, offs)
+        for x, y in zip(a.tolist(), b.tolist()):
+            starts |= set(range(shift + x, shift + y + 1))
+    assert starts == {s for x, y in zip(whole[2].tolist(), whole[3].tolist()) for s in range(x, y + 1)} == set(range(len(text) - 99))
+
+
+def test_induced_sorting_orders_suffixes():
+    rng = random.Random(3)
+    for _ in range(150):
+        n = rng.randrange(1, 60)
+        t = np.array([rng.randrange(1, rng.choice([2, 3, 6])) for _ in range(n)] + [0], np.uint16)
+        assert esais.suffix_order(t, 8, 10**6).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+def test_induced_sorting_from_a_file(monkeypatch):
+    monkeypatch.setattr(esais, "HELD", 4)
+    t = np.array([3, 1, 2, 1, 2, 1, 3, 0], np.uint16)
+    assert esais.suffix_order(t, 4, 100).tolist() == sorted(range(8), key=lambda i: t[i:].tolist())
+
+
+# --- mixing ----------------------------------------------------------------
+
+
+def test_mixing(docs, rows, empty, clashing):
+    got = mixing.mixed(docs, mixing.mixing_plan(docs)).collect()
+    assert len(got) == len(rows)
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    totals = Counter()
+    for _, t, _, s, _ in rows:
+        totals[s] += words(t)
+    order = sorted(totals, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, capped = {}, set()
+    while True:  # clamp and share again until none is above
+        left = sum(totals.values()) - sum(3 * totals[s] for s in capped)
+        over = sum(weight[s] for s in order if s not in capped)
+        target = {s: 3.0 * totals[s] if s in capped else left * weight[s] / over for s in order}
+        above = {s for s in order if s not in capped and target[s] > 3 * totals[s]}
+        if not above:
+            break
+        capped |= above
+    taken = Counter()
+    for r in got:
+        assert r["size"] == words(r["doc"]["text"]) and r["source_size"] == totals[r["doc"]["source"]]
+        assert r["target"] == pytest.approx(target[r["doc"]["source"]]) and 0 <= r["copies"] <= 3
+        taken[r["doc"]["source"]] += r["copies"] * r["size"]
+    for s in order:
+        assert taken[s] <= target[s] + 1e-6
+        longest = max(words(t) for _, t, _, x, _ in rows if x == s)
+        if longest <= target[s] / 5:  # else whole documents can't come near
+            assert target[s] - taken[s] < 0.05 * target[s]
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mixed(docs, mixing.mixing_plan(docs)).collect()))
+    out = mixing.mix(clashing)
+    assert out.columns == clashing.columns and out.count() == sum(r["copies"] for r in got)
+    assert mixing.mix(empty).count() == 0
+
+
+# --- near copies -----------------------------------------------------------
+
+
+def brute_join(rows):
+    words = lambda t: tuple(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    least = {}
+    key = lambda i: (i is not None, i or 0)
+    for i, t, *_ in rows:
+        w = words(t)
+        least[w] = min(least.get(w, i), i, key=key)
+    sets = {w: {w[k : k + 5] for k in range(len(w) - 4)} if len(w) >= 5 else ({w} if w else set()) for w in least}
+    links = defaultdict(set)
+    for a in sets:
+        for b in sets:
+            if a != b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                links[a].add(b)
+    root = {}
+    for w in sorted(sets, key=lambda w: key(least[w])):
+        if w not in root:
+            todo = [w]
+            while todo:
+                x = todo.pop()
+                if x not in root:
+                    root[x] = w
+                    todo += links[x]
+    return [(i, least[words(t)], least[root[words(t)]], len(links[words(t)])) for i, t, *_ in rows]
+
+
+def test_jaccard_join(docs, rows, empty, clashing):
+    want = sorted(map(repr, brute_join(rows)))
+    assert any(r[3] for r in brute_join(rows))
+    assert sorted(map(repr, listed(jaccard_join.jaccard_join(docs)))) == want
+    kept = jaccard_join.one_of_each(clashing)
+    assert kept.columns == clashing.columns
+    assert {r["doc_id"] for r in kept.collect()} == {r[2] for r in brute_join(rows)}
+    assert jaccard_join.jaccard_join(empty).count() == 0
+
+
+def test_jaccard_join_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(8)
+    base = sentence(rng, 150)
+    rows = [(i, near(rng, base, rng.randrange(0, 4)), None, None, 1) for i in range(40)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(repr, listed(jaccard_join.jaccard_join(frame)))) == sorted(map(repr, brute_join(rows)))
+
+
+def test_prefixes_shorten_until_recall():
+    d = jaccard_join.prefix_depth(24, 6, 0.8, 0.999)
+    assert 1 - (1 - 0.8**d) ** 24 >= 0.999 and jaccard_join.prefix_depth(24, 6, 0.8, 0.9999) < 6
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(100)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+# --- exact copies ----------------------------------------------------------
+
+
+def test_exact_dedup(docs, rows, empty, clashing):
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[t or ""].append(i)
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    want = sorted(repr((i, best[t or ""], len(groups[t or ""]), i == best[t or ""])) for i, t, *_ in rows)
+    assert sorted(map(repr, listed(exact_dedup.exact_dedup(docs)))) == want
+    assert sorted(map(repr, listed(exact_dedup.exact_dedup(clashing)))) == want
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+# --- chats -----------------------------------------------------------------
+
+
+def test_chat_links_order_and_validity(spark):
+    call = '{"content":"x","tool_calls":[{"id":"a","name":"f","arguments":{"z":1,"b":{"y":2,"a":[1,2]}}},{"id":"b","name":"g","arguments":"{\\"q\\":\\"s\\"}"}]}'
+    rows = [
+        (1, 0, "user", "hi"), (1, 1, "tool", '{"tool_call_id":"a","content":"early"}'), (1, 2, "assistant", call), (1, 3, "tool", '{"content":"r","tool_call_id":"b"}'),
+        (1, 4, "tool", '{"tool_call_id":"zz","content":"o"}'), (1, 5, "assistant", "{not json"), (None, 0, None, None), (2, 0, "assistant", '{"tool_calls":[]}'), (2, 0, "assistant", '{"tool_calls":[]}'),
+    ]
+    schemas = {"f": {"properties": {"z": "integer", "b": "object"}, "required": ["z"]}, "g": {"properties": {"q": "integer"}}}
+    got = {(r["conv_id"], r["position"]): r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()}
+    assert len(got) == len(rows)
+    assert [got[1, i]["turn"] for i in range(6)] == [0, 2, 1, 3, 4, 5]  # the early result follows its call
+    assert [got[1, i]["status"] for i in range(6)] == ["plain", "calls", "linked", "linked", "orphan", "plain"]
+    assert (got[1, 1]["n_calls"], got[1, 1]["n_valid"], got[1, 1]["n_answered"]) == (2, 1, 2)
+    assert got[1, 1]["json"] == '{"content":"x","role":"assistant","tool_calls":[{"arguments":{"b":{"a":[1,2],"y":2},"z":1},"id":"a","name":"f"},{"arguments":{"q":"s"},"id":"b","name":"g"}]}'
+    assert got[None, 0]["json"] == "{}"
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# --- benchmark passages ----------------------------------------------------
+
+
+def edit_distance_within(pattern, text):
+    """The least edits between the pattern and any stretch of the text."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, c in enumerate(text, 1):
+            new.append(min(row[j - 1] + (p != c), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_against_alignment(spark, clashing, empty):
+    rng = random.Random(6)
+    items = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(rng.randrange(8, 16)))) for i in range(5)] + [(5, None), (6, "short")]
+    texts = []
+    for k in range(60):
+        head, item = sentence(rng, 6), list(items[k % 5][1])
+        for _ in range(rng.randrange(0, 9)):
+            at = rng.randrange(len(item))
+            item[at : at + 1] = rng.choice(["", "z", item[at] + "q"])
+        texts.append(head + ("" if k % 7 == 0 else " " + "".join(item)) + " " + sentence(rng, 4))
+    texts[3] = texts[3].upper().replace(" ", " -- ")
+    rows = [(i, t, None, None, 1) for i, t in enumerate(texts)] + [(99, None, None, None, None), (100, "", None, None, 0)]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    fold = lambda s: re.sub(r"[^a-z0-9]+", " ", s.lower()).strip()
+    want = {}
+    for i, t in enumerate(texts):
+        for j, item in items[:5]:
+            m = len(fold(item))
+            k = max(0, min(int(decontaminate.RATE * m), (m - decontaminate.Q + 1 - decontaminate.SHARED) // decontaminate.Q))
+            d = edit_distance_within(fold(item), " " + fold(t) + " ")
+            if d <= k:
+                want[i, j] = d
+    assert {k: r["edits"] for k, r in got.items()} == want and len(want) > 10
+    for (i, j), r in got.items():
+        if not r["edits"]:
+            assert fold(texts[i][r["start"] : r["end"]]) == fold(items[j][1])
+    kept = decontaminate.clean(clashing, spark.createDataFrame(items, "item_id long, text string"))
+    assert kept.columns == clashing.columns and kept.count() == clashing.count()
+    assert decontaminate.clean(empty, spark.createDataFrame(items[:0], "item_id long, text string")).count() == 0
+
+
+# --- token files -----------------------------------------------------------
+
+TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+
+
+def test_words_encode_as_whole_texts(rows):
+    from tokenizers import Tokenizer
+
+    whole, enc = Tokenizer.from_file(TOKENIZER), token_files.Encoder(TOKENIZER, 0)
+    odd = ["", "  a", " a", "a ", "a  b c", "a\n b", "a \nb", "é  ñ", "<|endoftext|> a b", "a b<|endoftext|>", "it's 'll we 've", "a\tb c\t d", " ", "　a b", "a  b c", "a  b c", "x\x1f y z", "a b\x85 c"]
+    for text in [*odd, *[t or "" for _, t, *_ in rows]]:
+        assert token_files.widen(enc(text), enc.width) == np.array([*whole.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes(), repr(text)
+
+
+def test_token_files_round_trip(spark, docs, rows, empty, tmp_path):
+    folder = f"file://{tmp_path}/tokens"
+    files = token_files.write_tokens(docs, TOKENIZER, folder)
+    got = token_files.read_tokens(files, folder).collect()
+    enc = token_files.encoder(TOKENIZER, 0)
+    at, want = 0, []
+    for i, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = token_files.widen(enc(t or ""), enc.width)
+        want.append((i, at, len(ids) // 4, zlib.crc32(ids)))
+        at += len(ids) // 4
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
+    fs, base = token_files.place(folder)
+    name = files.orderBy("path").first()["path"]
+    dictionary = (tmp_path / "tokens/dictionary.zstd").read_bytes()
+    inside = list(token_files.read_shard(fs, f"{base}/{name}", dictionary))
+    for k in (0, len(inside) // 2, len(inside) - 1):
+        assert token_files.read_document(fs, f"{base}/{name}", dictionary, k) == inside[k][1]
+    with pytest.raises(ValueError):
+        token_files.read_document(fs, f"{base}/{name}", b"other", 0)
+    other = f"file://{tmp_path}/none"
+    assert token_files.read_tokens(token_files.write_tokens(empty, TOKENIZER, other), other).count() == 0
+
+
+# --- models ----------------------------------------------------------------
+
+
+def test_quality(spark, empty, clashing):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(300):
+        good = i % 3 != 0
+        words = sentence(rng, rng.randrange(5, 60)).split()
+        rows.append((i, " ".join(w if good else w + "***" for w in words), None, None, 1))
+        labels.append((i, int(good)))
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.train(docs.filter("doc_id < 200"), marks.filter("doc_id < 200"), "quality")
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs.select("doc_id", "text"), model).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(q) for i, q in labels if i >= 200]) > 0.97
+    assert all(0 <= s <= 1 for s in got.values())
+    assert quality.score(clashing, model).count() == clashing.count()
+    none = quality.train(empty, marks.limit(0), "quality")
+    assert {r["score"] for r in quality.score(docs.select("doc_id", "text"), none).collect()} == {0.5}
+
+
+def test_language(spark, empty, clashing):
+    rng = random.Random(9)
+    alphabets = {"xx": "abcde", "yy": "aefgh"}
+    rows = [(i, " ".join("".join(rng.choice(alphabets[g]) for _ in range(5)) for _ in range(rng.randrange(3, 40))), g, None, 1) for i in range(200) for g in [rng.choice(["xx", "yy"])]]
+    rows += [(900, None, "xx", None, None), (901, "123 ...", None, None, 1), (902, "", "yy", None, 0), (903, "ЖЖЖЖ ЯЯЯЯ ФФФФ ЦЦЦЦ ЩЩЩЩ ЭЭЭЭ", None, None, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language_id.train(docs.filter("doc_id < 150"))
+    got = {r["doc_id"]: r for r in language_id.identify(docs.select("doc_id", "text"), model).collect()}
+    assert np.mean([got[r[0]]["lang_pred"] == r[2] for r in rows[150:200]]) > 0.97
+    assert all(got[r[0]]["accepted"] for r in rows[:200])
+    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and not any(got[i]["accepted"] for i in (900, 901, 902, 903))
+    assert language_id.identify(clashing, model).count() == clashing.count()
+    none = language_id.train(empty)
+    assert {r["lang_pred"] for r in language_id.identify(docs.select("doc_id", "text"), none).collect()} == {"und"}
+
+
+def test_probabilities_of_a_model_sum_to_one():
+    model = language_id.fit({"aa": ["abc cab bac"], "bb": ["xyz zyx"]})
+    seen = sorted(set("abcxyz "))
+    for j in range(2):
+        for context in ("ab", "b", "zz"):
+            total = 0.0
+            for c in seen:
+                codes = np.array([ord(x) for x in context + c], np.uint32)
+                full, _ = language_id.entropies(model, codes, np.array([0, len(codes)]))
+                part, _ = language_id.entropies(model, codes[:-1], np.array([0, len(codes) - 1]))
+                del part
+                total += float(np.isfinite(full[0, j]))
+            assert total == len(seen)
+
+
+# --- pipeline --------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontaminate", "mix", "shard"]
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, before = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = store(stage(spark, before, sf), "test")
+        if name != "shard":
+            assert out.columns == columns
+        if name == "near_duplicates":
+            rows = [(r["doc_id"], r["text"], None, None, None) for r in before.collect()]
+            assert {r["doc_id"] for r in out.collect()} == {r[2] for r in brute_join(rows)}
+        if name == "decontaminate":
+            items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+            assert not any(i in r["text"] for r in out.collect() for i in items)
+        before = out
+    assert before.count() > 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0
