@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dot, plain_tokens, unit
+from ..session import spread
 from .lexical import top
 
 #: Queries of one block: with 1,024 dimensions 32 MB.
@@ -72,7 +73,7 @@ def hash_embed(rows: DataFrame, key: str, text: str = "text", dim: int = 64, tok
     """(key, vector) of the rows that have a token: tokens counted in md5 modulo ``dim`` slots, at length 1.
     Deterministic and offline; a row's tokens are counted in parts, so long texts don't matter."""
     slot = F.pmod(F.conv(F.substring(F.md5("t"), 25, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    counts = rows.select(key, F.explode(tokens(F.col(text))).alias("t")).groupBy(key, slot.alias("slot")).agg(F.count(F.lit(1)).cast("double").alias("x"))
+    counts = spread(rows.select(key, text)).select(key, F.explode(tokens(F.col(text))).alias("t")).groupBy(key, slot.alias("slot")).agg(F.count(F.lit(1)).cast("double").alias("x"))
     held = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"))  # dim entries at most
     vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
     return held.select(key, unit(vector).alias("vector"))

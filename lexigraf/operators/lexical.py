@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import code_tokens, plain_tokens
+from ..session import spread
 
 K1, B = 1.2, 0.75
 #: Decimals to which scores are rounded before ties are broken, so that sums in another order rank alike.
@@ -40,7 +41,7 @@ class LexicalIndex:
 
 def index_chunks(chunks: DataFrame, text: str = "text", key: str = "chunk_hash", tokens=code_tokens, empty_counts: bool = True) -> LexicalIndex:
     """``empty_counts``: a chunk without tokens has length 1, as one with an empty token would."""
-    listed = chunks.select(F.col(key).alias("chunk_hash"), tokens(F.col(text)).alias("tokens"))
+    listed = spread(chunks.select(F.col(key), F.col(text))).select(F.col(key).alias("chunk_hash"), tokens(F.col(text)).alias("tokens"))
     postings = (
         listed.select("chunk_hash", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         .groupBy("term", "chunk_hash", "dl")

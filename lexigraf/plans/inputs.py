@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, content_hash
 from ..operators import dense, lexical
+from ..session import spread
 
 DEPTH = 100
 _kept: dict[tuple, DataFrame] = {}
@@ -53,7 +54,7 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, doc_id, rel): documents that hold the passage.  The passages are the query set, met in blocks of their first words."""
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "text")
     q = queries(spark, sf_dir).withColumnRenamed("text", "passage")
-    return d.join(F.broadcast(q), F.contains("text", "passage")).select("qid", "doc_id", F.lit(1).cast("long").alias("rel")).distinct()
+    return spread(d).join(F.broadcast(q), F.contains("text", "passage")).select("qid", "doc_id", F.lit(1).cast("long").alias("rel")).distinct()
 
 
 def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, content_hash, shingles, symbol_id
 from ..operators import fusion, lineage, rank
+from ..session import spread
 from .inputs import HITS, STOP, VERSIONS, hits, table, versions
 from .retrieval import RRF, six
 
@@ -37,7 +38,7 @@ SELECT a, b, round(k / CAST(x.n + y.n - k AS DOUBLE), 6) AS similarity FROM p JO
 def lineage_similarity_pairs(spark, sf_dir):
     """All pairs of documents of one language with similar bodies; copies are joined by their first document and put back."""
     d = table(spark, sf_dir, "documents").filter("text is not null")
-    sets = d.select(F.col("doc_id"), F.col("lang").alias("language"), shingles("text").alias("items"))
+    sets = spread(d.select("doc_id", "lang", "text")).select(F.col("doc_id"), F.col("lang").alias("language"), shingles("text").alias("items"))
     keyed = sets.withColumn("set_id", F.sha2(F.concat_ws("\u0001", F.coalesce("language", F.lit("")), F.array_join(F.array_sort("items"), "\u0001")), 256)).persist()
     one = keyed.groupBy("set_id").agg(F.min("doc_id").alias("id"))
     reps = keyed.join(one, (keyed["set_id"] == one["set_id"]) & (keyed["doc_id"] == one["id"])).select("id", "language", "items")

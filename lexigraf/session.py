@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "lexigraf", **conf: str) -> SparkSession:
@@ -19,3 +19,10 @@ def session(name: str = "lexigraf", **conf: str) -> SparkSession:
     if "spark.master" not in settings and "SPARK_MASTER" in os.environ:
         settings["spark.master"] = os.environ["SPARK_MASTER"]
     return builder.config(map=settings).getOrCreate()
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """The frame over as many tasks as the cluster runs at once, if its input comes in fewer (one file with one row group,
+    say).  Large inputs come in more and pass untouched, so nothing large is shuffled for this."""
+    wanted = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(wanted) if frame.rdd.getNumPartitions() < wanted else frame
