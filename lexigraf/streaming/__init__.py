@@ -24,7 +24,8 @@ def index_stream(spark: SparkSession, folder: str, store: VersionedStore, checkp
 
 def latency_windows(events: DataFrame, size: str = "1 day", late: str = "2 hours") -> DataFrame:
     """Per window and type of a stream (ts, event_type, value): count, mean and most; what comes later than ``late`` is dropped."""
-    grouped = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant
+    grouped = stamped.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most")).select(
         F.col("window.start").alias("start"), "event_type", "n", "mean", "most"
     )
