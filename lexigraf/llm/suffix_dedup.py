@@ -3,7 +3,7 @@
 Equal strings are brought together by content.  Of the ``GRAM``-byte grams in a string of
 LENGTH bytes the one with the least hash (the leftmost of these) is its anchor; equal
 strings have equal anchors at equal places, and strings that follow each other mostly
-share one.  A run of such strings is one snippet, about 19 starts on average, whose key is
+share one.  A run of such strings is one snippet, about 35 starts on average, whose key is
 its anchor's hash.
 
 1. Every text is read and the anchors' hashes are counted.  Those that occur twice or more
@@ -29,13 +29,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_in, key_filter, mixed, pieces, prepare, store, table, texts_of, utf8_of, width
+from .common import discard, key_filter, maybe_in, mixed, pieces, prepare, store, table, texts_of, utf8_of, width
 from .esais import repeats
 
-LENGTH, GRAM, BITS, PIECE, SEEN, SHARD = 100, 64, 26, 1 << 17, 1 << 20, 1 << 20
+LENGTH, GRAM, BITS, PIECE, SEEN, SHARD = 100, 32, 26, 1 << 17, 1 << 20, 1 << 20
 BASE, PLACE = 0x9E3779B97F4A7C15, 24
 MASK = np.uint64((1 << PLACE) - 1)
 SEGMENT = (1 << (PLACE - 1)) - LENGTH
@@ -110,52 +110,58 @@ def _anchors(rows: DataFrame) -> DataFrame:
 
 
 def _snippets(rows: DataFrame, held) -> DataFrame:
-    """Snippets whose anchor passes the filter: h, node, start, size (strings), ahead (from start to anchor) and the bytes,
-    null where an equal snippet that stands earlier was seen in the task."""
+    """Snippets whose anchor passes the filter: h, d (a digest; with h 128 bits), node, tie, start, size (strings)
+    and the bytes, null where an equal snippet that stands earlier was seen in the task."""
 
     def run(batches):
         words, seen = held.value, {}
         for batch in batches:
-            nodes = batch.column(0).to_pylist()
-            for row, shift, raw, offs in segments(texts_of(batch.column(1))):
-                h, at, start, last = runs(raw, offs)
+            ids, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for row, shift, raw, offs in segments(texts_of(batch.column(2))):
+                h, _, start, last = runs(raw, offs)
                 slot = h & np.uint64((1 << BITS) - 1)
                 pick = np.flatnonzero((words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
                 if not len(pick):
                     continue
                 doc = np.searchsorted(offs, start[pick], "right") - 1
                 local = start[pick] - offs[doc] + shift
-                data = raw.tobytes()
-                out = [[], [], [], [], [], []]
-                for key, d, s, e, place, anchor in zip(h[pick].view(np.int64).tolist(), doc.tolist(), start[pick].tolist(), last[pick].tolist(), local.tolist(), at[pick].tolist(), strict=True):
-                    node, text = nodes[row + d], data[s : e + LENGTH]
-                    mark = (key, hashlib.blake2b(text, digest_size=12).digest())
-                    before = seen.get(mark)
-                    known = before is not None and before < (node["id"], node["tie"], place)
-                    if not known:
+                data, digests, texts = raw.tobytes(), [], []
+                owners = [(ids[row + d], ties[row + d]) for d in doc.tolist()]
+                for owner, s, e, place in zip(owners, start[pick].tolist(), last[pick].tolist(), local.tolist(), strict=True):
+                    text = data[s : e + LENGTH]
+                    mark = hashlib.blake2b(text, digest_size=8).digest()
+                    before, here = seen.get(mark), (*owner, place)
+                    if before is None or here <= before:
                         if len(seen) >= SEEN:
                             seen.clear()
-                        seen[mark] = (node["id"], node["tie"], place)
-                    for column, v in zip(out, (key, node, place, e - s + 1, anchor - s, None if known else text), strict=True):
-                        column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.struct([("id", pa.int64()), ("tie", pa.int64())])), *[pa.array(c, pa.int64()) for c in out[2:5]], pa.array(out[5], pa.binary())], ["h", "node", "start", "size", "ahead", "snippet"])
+                        seen[mark] = here
+                        texts.append(text)
+                    else:
+                        texts.append(None)
+                    digests.append(mark)
+                columns = [
+                    pa.array(h[pick].view(np.int64)), pa.array(np.frombuffer(b"".join(digests), np.int64)), pa.array([o[0] for o in owners], pa.int64()), pa.array([o[1] for o in owners], pa.int64()),
+                    pa.array(local), pa.array(last[pick] - start[pick] + 1), pa.array(texts, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "d", "node", "tie", "start", "size", "snippet"])
 
-    return rows.select("_node", "_text").mapInArrow(run, "h long, node struct<id:long,tie:long>, start long, size long, ahead long, snippet binary")
+    return rows.select("_node", "_tie", "_text").mapInArrow(run, "h long, d long, node long, tie long, start long, size long, snippet binary")
 
 
 def _resolve(rows: DataFrame) -> DataFrame:
-    """(node, start, size) of the repeats among different snippets of one anchor; rows come sorted by anchor."""
+    """(node, tie, start, size) of the repeats among different snippets of one anchor; rows (h, node, tie, start, size,
+    snippet) come sorted by anchor."""
 
     def shard(held: list):
-        held.sort(key=lambda r: (r[1]["id"], r[1]["tie"], r[2]))  # so that the earlier of two strings is the one with the lower place
-        found = repeats([r[5] for r in held], [r[3] for r in held], LENGTH)
-        out = [[], [], []]
+        held.sort(key=lambda r: r[1:4])  # so that the earlier of two strings is the one with the lower place
+        found = repeats([r[5] for r in held], [r[4] for r in held], LENGTH)
+        out = [[], [], [], []]
         for r, flags in zip(held, found, strict=True):
             edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                for column, v in zip(out, (r[1], r[2] + a, b - a), strict=True):
+                for column, v in zip(out, (r[1], r[2], r[3] + a, b - a), strict=True):
                     column.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.struct([("id", pa.int64()), ("tie", pa.int64())])), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["node", "start", "size"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["node", "tie", "start", "size"])
 
     def run(batches):
         held, size, last = [], 0, None
@@ -170,7 +176,7 @@ def _resolve(rows: DataFrame) -> DataFrame:
         if held:
             yield shard(held)
 
-    return rows.mapInArrow(run, "node struct<id:long,tie:long>, start long, size long")
+    return rows.mapInArrow(run, "node long, tie long, start long, size long")
 
 
 def _finish(rows: DataFrame) -> DataFrame:
@@ -202,38 +208,36 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
     text = F.coalesce(text_col, F.lit(""))
-    lowest = F.lit(-(1 << 63))
-    node = F.struct(F.coalesce(F.col(id_col).cast("long"), lowest).alias("id"), F.xxhash64(text).alias("tie"))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), node.alias("_node"))
+    node = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), node.alias("_node"), F.xxhash64(text).alias("_tie"))
     often = _anchors(rows).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     mask = key_filter(often, F.col("h"), BITS).toArrow()  # at most 2^BITS / 64 rows of two longs
     words = np.zeros(1 << (BITS - 6), np.uint64)
     words[mask.column(0).to_numpy()] = mask.column(1).to_numpy().view(np.uint64)
     found = store(_snippets(rows, spark.sparkContext.broadcast(words)), "snippets")
 
-    first = found.filter("snippet is not null").groupBy("h", "snippet").agg(F.min(F.struct("node", "start")).alias("first"), F.max("size").alias("size"), F.max("ahead").alias("ahead"))
-    first = store(first, "first")
-    digest = F.sha2("snippet", 256)
-    later = (
-        found.filter("snippet is not null").select("h", digest.alias("d"), "node", "start", "size")
-        .join(first.select("h", digest.alias("d"), "first"), ["h", "d"])
-        .filter(F.struct("node", "start") > F.col("first"))
-    )
-    mixed_anchors = first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    span = ["node", "tie", "start", "size"]
+    # equal snippets: in a task's rows at most a few of each are left, so none fills a partition
+    earliest = Window.partitionBy("h", "d").orderBy("node", "tie", "start")
+    ahead = found.filter("snippet is not null").select("h", "d", *span)
+    placed = store(ahead.select("h", *span, (F.rank().over(earliest) > 1).alias("repeat"), (F.row_number().over(earliest) == 1).alias("first")), "placed")
+    first = placed.filter("first").select("h", *span)
+    several = store(first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "several")
+    texts = maybe_in(found.filter("snippet is not null"), F.col("h"), store(key_filter(several, F.col("h")), "filter"), "_open").filter("_open")
     open_ = (
-        first.join(mixed_anchors, "h")
-        .select("h", "first.node", "first.start", "size", "ahead", "snippet")
+        texts.select("h", *span, "snippet")
+        .join(first.join(several, "h").select("h", "node", "tie", "start"), ["h", "node", "tie", "start"])
+        .dropDuplicates(["h", "node", "tie", "start"])
         .repartition(width(spark), "h")
         .sortWithinPartitions("h")
     )
-    spans = store(
-        found.filter("snippet is null").select("node", "start", "size").unionByName(later.select("node", "start", "size")).unionByName(_resolve(open_)), "spans"
-    )
+    spans = found.filter("snippet is null").select(span).union(placed.filter("repeat").select(span)).union(_resolve(open_))
     # what an earlier copy of a snippet loses, its later copies have lost already
-    per_doc = spans.groupBy("node").agg(F.collect_list(F.struct("start", "size")).alias("spans"))  # of one text, no more than its strings
-    per_doc = store(per_doc, "per_doc")
-    flagged = maybe_in(rows, F.xxhash64("_node.id"), store(key_filter(per_doc, F.xxhash64("node.id")), "filter"), "_open")
-    touched = flagged.filter("_open").join(per_doc, F.col("_node") == F.col("node"), "left").select("_id", "_text", "spans")
+    per_doc = store(spans.groupBy("node", "tie").agg(F.collect_list(F.struct("start", "size")).alias("spans")), "per_doc")  # of one text, no more than its strings
+    for done in (found, placed, several):
+        discard(done)
+    flagged = maybe_in(rows, F.xxhash64("_node"), store(key_filter(per_doc, F.xxhash64("node")), "filter"), "_open")
+    touched = flagged.filter("_open").join(per_doc, (F.col("_node") == F.col("node")) & (F.col("_tie") == F.col("tie")), "left").select("_id", "_text", "spans")
     whole = flagged.filter("not _open").select("_id", F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("_text", 256).alias("kept_sha256"))
     return whole.unionByName(_finish(touched)).withColumnRenamed("_id", id_col)
 
