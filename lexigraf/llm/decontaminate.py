@@ -105,22 +105,25 @@ def candidates(index: Index, codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
     counts = index.firsts[at + 1] - index.firsts[at]
     posting = np.repeat(index.firsts[at], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     item, doc = index.which[posting], np.repeat(doc, counts)
-    diagonal = np.repeat(near, counts) - offs[doc] - index.place[posting]
+    place = index.place[posting]
+    diagonal = np.repeat(near, counts) - offs[doc] - place
     if not len(item):
         return np.zeros((0, 4), np.int64)
     # first by (document, item): too few shared q-grams in all are too few in any band
     pair = doc * len(index.items) + item
     _, inverse, total = np.unique(pair, return_inverse=True, return_counts=True)
     enough = total[inverse] >= index.needed[item]
-    item, doc, diagonal = item[enough], doc[enough], diagonal[enough]
+    item, doc, diagonal, place = item[enough], doc[enough], diagonal[enough], place[enough]
     band = diagonal // (index.budgets[item] + 1)
-    item, doc, diagonal, band = np.tile(item, 2), np.tile(doc, 2), np.tile(diagonal, 2), np.concatenate((band, band + 1))
-    order = np.lexsort((band, item, doc))
-    item, doc, diagonal, band = item[order], doc[order], diagonal[order], band[order]
+    item, doc, diagonal, place, band = np.tile(item, 2), np.tile(doc, 2), np.tile(diagonal, 2), np.tile(place, 2), np.concatenate((band, band + 1))
+    order = np.lexsort((place, band, item, doc))
+    item, doc, diagonal, place, band = item[order], doc[order], diagonal[order], place[order], band[order]
     if not len(item):
         return np.zeros((0, 4), np.int64)
-    starts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1]))))
-    size = np.diff(np.append(starts, len(item)))
+    head = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])))
+    starts = np.flatnonzero(head)
+    # each q-gram of the item counts once, however often a repetitive text has it
+    size = np.add.reduceat((head | np.concatenate(([True], place[1:] != place[:-1]))).astype(np.int64), starts)
     found = np.stack((doc[starts], item[starts], np.minimum.reduceat(diagonal, starts), np.maximum.reduceat(diagonal, starts)), 1)
     return found[size >= index.needed[item[starts]]]
 
