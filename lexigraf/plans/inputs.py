@@ -38,10 +38,15 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks' hash vectors, which the dense view and diversity share."""
+    return kept(spark, sf_dir, "vectors", lambda s, d: dense.hash_embed(chunks(s, d), "chunk_hash"))
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, asked = chunks(spark, sf_dir), queries(spark, sf_dir)
     first = lexical.search(lexical.index_chunks(corpus), asked, DEPTH)
-    second = dense.search(dense.hash_embed(asked, "qid"), dense.hash_embed(corpus, "chunk_hash"), DEPTH)
+    second = dense.search(dense.hash_embed(asked, "qid"), vectors(spark, sf_dir), DEPTH)
     return first.unionByName(second)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dot, plain_tokens, split_identifier, unit
 from ..operators import dense, evaluation, fusion, lexical, query, rank
-from .inputs import CHUNKS, HITS, QRELS, chunks, hits, kept, qrels, queries, sql_bm25, sql_code, sql_plain, table
+from .inputs import CHUNKS, HITS, QRELS, chunks, hits, kept, qrels, queries, sql_bm25, sql_code, sql_plain, table, vectors
 
 QUERIES, SQL = {}, {}
 six = lambda c, n=None: F.round(c, 6).alias(n or c)
@@ -193,8 +193,7 @@ def rerank_depth_tail(spark, sf_dir):
 
 @register()
 def mmr_rerank(spark, sf_dir):
-    vectors = dense.hash_embed(chunks(spark, sf_dir), "chunk_hash")
-    return _emit(rank.mmr(fusion.rrf(hits(spark, sf_dir)), vectors))
+    return _emit(rank.mmr(fusion.rrf(hits(spark, sf_dir)), vectors(spark, sf_dir)))
 
 
 GRID = """grid AS (SELECT printf('%03d-%03d', a, 10 - a) AS cell, a / 10e0 AS wl, (10 - a) / 10e0 AS ws FROM range(11) t(a))"""
@@ -244,7 +243,7 @@ def hybrid_pipeline_flagship(spark, sf_dir):
     views = ["lexical", "semantic"]
     fused = fusion.weighted(hits(spark, sf_dir), query.rule_weights(asked, views))
     pairs = hits(spark, sf_dir).filter("view = 'semantic'").select("qid", "chunk_hash", F.col("raw").alias("pair"))
-    done = rank.mmr(rank.rerank(fused, pairs, 20, 0.5), dense.hash_embed(chunks(spark, sf_dir), "chunk_hash"))
+    done = rank.mmr(rank.rerank(fused, pairs, 20, 0.5), vectors(spark, sf_dir))
     return _emit(rank.cut(done, 10))
 
 
