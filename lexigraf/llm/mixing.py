@@ -7,9 +7,12 @@ clamped.
 
 Every document is then taken floor(target / source size) times, and a seeded part of them
 once more: in the order of md5(id:seed) as long as the running size stays within what is
-left of the target, and then up to ``FILL`` documents, each the largest that still fits.
+left of the target, then up to ``FILL`` documents, each the largest that still fits, and
+then, again in that order, every document that still fits.  ``op3_mixing`` ends after the
+``FILL`` documents, as its SQL does.
 The running size needs no source in one task: sums of 4,096 hash buckets are run up
-first, and only the bucket that the limit falls in is read row by row.  The outcome is a
+first, and only the bucket that the limit falls in is read row by row.  Going on past a
+document that doesn't fit is a pass of the same kind over what is behind it and fits.  The outcome is a
 plan with one row per source that decides about each document alone, so texts are only
 read, never shuffled.
 
@@ -53,9 +56,10 @@ def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: s
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(source_col).alias("_source"), size.alias("_size"), key.alias("_key"))
 
 
-def mixing_plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+def mixing_plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col="doc_id", text_col="text", source_col="source", go_on: bool = True) -> DataFrame:
     """One row per source: source, source_size, target, whole (repetitions of all its documents), and which
-    are taken once more: those in hash buckets up to ``upto``, with keys up to ``cut``, or in ``extra``."""
+    are taken once more: those in hash buckets up to ``upto``, with keys up to ``cut``, in ``extra``, or in one of the
+    ``passes``; without ``go_on`` there are none of these."""
     rows = store(_keyed(docs, seed, id_col, text_col, source_col).select("_source", "_size", "_key"), "mix")
     plan = targets(rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")), weights, max_epochs)
     plan = store(
@@ -84,18 +88,47 @@ def mixing_plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
     for _ in range(FILL):
         best = (
             rows.join(state, same)
-            .filter(~_again() & (F.col("_size") > 0) & (F.col("_size") <= F.col("_rest")))
+            .filter(~_first() & (F.col("_size") > 0) & (F.col("_size") <= F.col("_rest")))
             .groupBy("_source")
             .agg(F.min(F.struct((-F.col("_size")).alias("n"), "_key")).alias("_best"))
         )
         state = state.join(best, same, "left").drop("_source")
         state = state.withColumn("extra", F.when(F.col("_best").isNotNull(), F.array_append("extra", F.col("_best._key"))).otherwise(F.col("extra")))
         state = store(state.withColumn("_rest", F.col("_rest") + F.coalesce("_best.n", F.lit(0))).drop("_best"), "state")
-    return state.drop("_left", "_rest")
+    none = F.filter(F.array(F.struct(F.col("_rest").alias("most"), F.col("cut").alias("after"), F.col("cut").alias("until"))), lambda x: F.lit(False))
+    state = state.withColumn("passes", none).withColumn("_after", F.when(F.lit(False), F.col("cut"))).withColumn("_open", F.col("_rest") > 0)
+    fits = (F.col("_size") > 0) & (F.col("_size") <= F.col("_rest")) & (F.col("_after").isNull() | (F.col("_key") > F.col("_after")))
+    while go_on and not state.filter("_open").isEmpty():
+        # what was passed over is longer than what is left, so only what is behind the last that did not fit can follow
+        rows = store(rows.join(state.filter("_open"), same).filter(~_again() & fits).select("_source", "_size", "_key"), "fits")
+        sums = rows.groupBy("_source", bucket).agg(F.sum("_size").alias("_sum")).withColumn("_run", F.sum("_sum").over(run))
+        sums = store(sums.join(state.select("source", "_rest"), same).drop("source"), "buckets")
+        got = sums.groupBy("_source").agg(F.coalesce(F.max(F.when(F.col("_run") <= F.col("_rest"), F.col("_run"))), F.lit(0)).alias("_got"))
+        edge = sums.filter("_run > _rest and _run - _sum <= _rest").select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), (F.col("_run") - F.col("_sum")).alias("_before"), "_rest")
+        inside = rows.withColumn("_bucket", bucket).join(edge, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+        inside = inside.withColumn("_run", F.sum("_size").over(peers) + F.col("_before"))
+        over = F.col("_run") > F.col("_rest")
+        stop = inside.groupBy("_source").agg(F.min(F.when(over, F.col("_key"))).alias("_until"), F.max(F.when(~over, F.col("_run"))).alias("_in_got"))
+        for part in (got, stop):
+            state = state.join(part, same, "left").drop("_source")
+        step = F.array(F.struct(F.col("_rest").alias("most"), F.col("_after").alias("after"), F.col("_until").alias("until")))
+        state = state.withColumn("passes", F.when(F.col("_got").isNotNull(), F.concat("passes", step)).otherwise(F.col("passes")))
+        state = state.withColumn("_rest", F.col("_rest") - F.coalesce("_in_got", "_got", F.lit(0))).withColumn("_after", F.col("_until"))
+        state = store(state.withColumn("_open", F.col("_until").isNotNull() & (F.col("_rest") > 0)).drop("_got", "_in_got", "_until"), "state")
+    return state.drop("_left", "_rest", "_after", "_open")
 
 
 def _again():
     """Whether a keyed row is taken once more, by its source's row of the plan."""
+    passed = F.exists(
+        "passes",
+        lambda p: (F.col("_size") > 0) & (F.col("_size") <= p["most"]) & (p["after"].isNull() | (F.col("_key") > p["after"])) & (p["until"].isNull() | (F.col("_key") < p["until"])),
+    )
+    return _first() | F.coalesce(passed, F.lit(False))
+
+
+def _first():
+    """The same without the passes."""
     return F.coalesce(F.substring("_key.h", 1, 3) <= F.col("upto"), F.lit(False)) | F.coalesce(F.col("_key") <= F.col("cut"), F.lit(False)) | F.coalesce(F.array_contains("extra", F.col("_key")), F.lit(False))
 
 
@@ -121,7 +154,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = mixed(docs, mixing_plan(docs))
+    rows = mixed(docs, mixing_plan(docs, go_on=False))  # the SQL ends there
     return rows.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -235,6 +235,20 @@ def test_mixing(docs, rows, empty, clashing):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_goes_on_past_what_does_not_fit(spark):
+    """Nothing that is left out fits, wherever the long documents fall in the order."""
+    texts = dict(enumerate(["w " * 7] * 300 + ["w " * 300] * 100 + ["w " * 10_000] * 5))
+    docs = spark.createDataFrame([(f"{s}{k}", t, s) for s in "abcdef" for k, t in texts.items()], "doc_id string, text string, source string")
+    planned = mixing.mixing_plan(docs)
+    plan = {r["source"]: r for r in planned.collect()}
+    got = mixing.mixed(docs, planned).collect()
+    rest = {s: r["target"] - r["whole"] * r["source_size"] for s, r in plan.items()}
+    for r in got:
+        rest[r["doc"]["source"]] -= r["size"] * (r["copies"] - plan[r["doc"]["source"]]["whole"])
+    assert max(len(r["passes"]) for r in plan.values()) > 1 and min(rest.values()) > -1e-6
+    assert all(r["size"] > rest[r["doc"]["source"]] for r in got if r["copies"] == plan[r["doc"]["source"]]["whole"])
+
+
 # --- near copies -----------------------------------------------------------
 
 
