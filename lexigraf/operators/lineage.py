@@ -138,14 +138,14 @@ def edge_changes(old: DataFrame, new: DataFrame, renames: DataFrame) -> DataFram
 CHANGE_ORDER = ["added", "deleted", "modified", "renamed", "moved", "unchanged"]
 
 
-def compare_versions(old: DataFrame, new: DataFrame, limit: int = 200, **how) -> tuple[DataFrame, DataFrame]:
-    """(symbols, summary): changed symbols by change then name, and counts per change."""
+def compare_versions(old: DataFrame, new: DataFrame, limit: int | None = 200, **how) -> tuple[DataFrame, DataFrame]:
+    """(symbols, summary): changed symbols by change then name, the first ``limit`` or all, and counts per change."""
     matches = match_symbols(old, new, **how).persist()
     name = lambda side, at: side.select(F.col("occurrence_id").alias(at), symbol_id("path", "symbol").alias(f"{at}_symbol"), F.col("text").alias(f"{at}_text"))
     rows = matches.join(name(old, "old"), "old", "left").join(name(new, "new"), "new", "left")
     order = F.array_position(F.array(*[F.lit(c) for c in CHANGE_ORDER]), F.col("change_type"))
-    symbols = rows.filter("change_type <> 'unchanged'").orderBy(order, F.coalesce("new_symbol", "old_symbol")).limit(limit)
-    return symbols, matches.groupBy("change_type").agg(F.count(F.lit(1)).alias("n"))
+    symbols = rows.filter("change_type <> 'unchanged'").orderBy(order, F.coalesce("new_symbol", "old_symbol"))
+    return symbols if limit is None else symbols.limit(limit), matches.groupBy("change_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def find_pair(lineage: DataFrame, symbol: str, a: str, b: str) -> DataFrame:

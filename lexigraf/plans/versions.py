@@ -63,7 +63,7 @@ def changed_since(spark, sf_dir):
 @register()
 def version_compare(spark, sf_dir):
     """Changed symbols of the two versions with all three passes."""
-    symbols, _ = lineage.compare_versions(*versions(spark, sf_dir))
+    symbols, _ = lineage.compare_versions(*versions(spark, sf_dir), limit=None)
     return symbols.select("old", "new", "change_type", six("similarity"), "old_symbol", "new_symbol")
 
 

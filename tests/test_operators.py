@@ -143,6 +143,46 @@ def test_lineage_passes(spark):
     assert got[("a4", None)] == ("deleted", 0.0) and got[(None, "b4")] == ("added", 0.0)
 
 
+def test_version_compare_lists_every_change(spark):
+    """Against the three passes by brute force, on tables with more changes than a service lists."""
+    from lexigraf.plans import QUERIES, inputs
+
+    sf = "/root/testdata/sf0.01"
+    sides = inputs.versions(spark, sf)
+    old, new = ({r["occurrence_id"]: r for r in s.withColumn("items", T.shingles("text", "symbol")).collect()} for s in sides)
+    want, at = set(), {(r["path"], r["symbol"]): i for i, r in new.items()}
+
+    def take(o, n, change, similarity=1.0):
+        old.pop(o, None), new.pop(n, None)
+        if change != "unchanged":
+            want.add((o, n, change, round(similarity, 4)))
+
+    for o, r in list(old.items()):
+        if n := at.get((r["path"], r["symbol"])):
+            take(o, n, "unchanged" if r["content_hash"] == new[n]["content_hash"] else "modified")
+    order = lambda side: sorted(side, key=lambda i: (side[i]["path"], i))
+    for o in order(old):
+        if n := next((n for n in order(new) if new[n]["content_hash"] == old[o]["content_hash"]), None):
+            take(o, n, "moved" if old[o]["symbol"] == new[n]["symbol"] else "renamed")
+    pairs = []
+    for o, a in old.items():
+        for n, b in new.items():
+            x, y = set(a["items"]), set(b["items"])
+            if a["language"] == b["language"] and min(len(x), len(y)) >= lineage.LEAST_SHINGLES and (s := len(x & y) / len(x | y)) >= lineage.THRESHOLD:
+                bonus = 0.05 * (a["path"] == b["path"]) + 0.05 * (a["symbol"] == b["symbol"])
+                pairs.append((s + bonus, s, a["path"], b["path"], o, n))
+    for _, s, _, _, o, n in sorted(pairs, reverse=True):
+        if o in old and n in new:
+            take(o, n, "moved" if old[o]["symbol"] == new[n]["symbol"] else "renamed", s)
+    for i in list(old):
+        take(i, None, "deleted", 0.0)
+    for i in list(new):
+        take(None, i, "added", 0.0)
+    rows = QUERIES["version_compare"](spark, sf).collect()
+    assert len(rows) == len(want) > 200 and {r["change_type"] for r in rows} == {"added", "deleted", "modified", "renamed", "moved"}
+    assert {(r["old"], r["new"], r["change_type"], round(r["similarity"], 4)) for r in rows} == want
+
+
 def test_similar_pairs_against_brute_force(spark):
     import random
 
