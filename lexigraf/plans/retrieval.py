@@ -247,6 +247,12 @@ def hybrid_pipeline_flagship(spark, sf_dir):
     return _emit(rank.cut(done, 10))
 
 
+@register(f"{DENSE} SELECT qid, chunk_hash, round(raw, 6) AS score, rank FROM top")
+def dense_native_topk(spark, sf_dir):
+    """The column-expression form of the dense search: the query vectors against all."""
+    return dense.search_native(*_vectors(spark, sf_dir), 10).select("qid", "chunk_hash", six("raw", "score"), "rank")
+
+
 @register(r"""WITH q AS (SELECT vec_id, embedding[1:64] AS v FROM embeddings WHERE vec_id % 50 = 0)
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) / greatest(sqrt(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(a.v AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.v AS DOUBLE[]), CAST(b.v AS DOUBLE[]))), 1e-12), 6) AS cosine FROM q a, q b WHERE a.vec_id < b.vec_id""")
 def dense_native_pairs(spark, sf_dir):

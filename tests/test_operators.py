@@ -143,6 +143,14 @@ def test_lineage_passes(spark):
     assert got[("a4", None)] == ("deleted", 0.0) and got[(None, "b4")] == ("added", 0.0)
 
 
+def test_native_dense_search_meets_every_vector(spark):
+    from lexigraf.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    a, b = (sorted(map(tuple, QUERIES[n](spark, sf).collect())) for n in ("dense_native_topk", "dense_topk"))
+    assert a == b and any(r[1] % 50 for r in a)
+
+
 def test_version_compare_lists_every_change(spark):
     """Against the three passes by brute force, on tables with more changes than a service lists."""
     from lexigraf.plans import QUERIES, inputs
