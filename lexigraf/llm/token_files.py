@@ -18,7 +18,10 @@ systems, so the folder may be any that Arrow and Spark both reach.
 
 Encoding splits a text only where a byte-level tokenizer does, at a single space between
 two other characters, and keeps the ids of each word in a bounded cache; that gives the
-ids of the whole text (`tests/llm/test_token_files.py` compares them).  Texts with other
+ids of the whole text (`tests/llm/test_token_files.py` compares them).  A new word is cut
+again where such a tokenizer certainly cuts (between Latin letters, digits, marks other
+than apostrophes, and single line ends), so that only new pieces are encoded, those of many
+texts at once; a word with any other character is encoded as it is.  Texts with other
 runs of spaces, or with one of the tokenizer's special strings, are encoded whole, and so
 is every text where the tokenizer is not of that kind.
 
@@ -43,9 +46,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, prepare, store, table, texts_of, width
+from .common import new_path, pieces, prepare, store, table, texts_of, width
 
-MAGIC, HEAD, SAMPLE, DICTIONARY, LEVEL, CACHED, FRAMES_HELD = b"LXTOK001", 48, 1000, 65536, 3, 1_500_000, 1 << 22
+MAGIC, HEAD, SAMPLE, DICTIONARY, LEVEL, CACHED, PIECE, FRAMES_HELD = b"LXTOK001", 48, 1000, 65536, 3, 1_000_000, 1 << 18, 1 << 22
+#: Runs that byte-level tokenizers keep apart: Latin letters, digits, ASCII marks without the apostrophe, one line end.
+SURE = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|(?<=\S)\n(?=\S)")
 
 
 class Encoder:
@@ -63,8 +68,8 @@ class Encoder:
         self.special = re.compile("|".join(re.escape(t.content) for t in added.values())) if added else None
         kind = self.tokenizer.pre_tokenizer
         self.by_words = self.tokenizer.normalizer is None and type(kind).__name__ == "ByteLevel" and kind.use_regex and not kind.add_prefix_space
-        self.last = " "  # no word
-        self.cache: dict[str, bytes | bool] = {self.last: b""}
+        self.cache: dict[str, bytes | bool] = {}  # of words after a space; False where more white space may join one
+        self.bare: dict[str, bytes] = {}  # of pieces inside words
         self.opens = np.zeros(size, bool)  # ids that begin with a space
         if self.by_words:
             space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
@@ -74,46 +79,77 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
+    def _spaced(self, words: list[str]) -> None:
+        """Learn words of letters, or of one other kind of character, all at once."""
+        if not words:
+            return
+        ids = self.ids(" " + " ".join(words))
+        cuts = np.flatnonzero(self.opens[ids])
+        if len(cuts) == len(words):
+            raw, ends = ids.tobytes(), np.append(cuts[1:], len(ids)) * self.width
+            self.cache.update(zip(words, map(raw.__getitem__, map(slice, (cuts * self.width).tolist(), ends.tolist())), strict=True))
+        else:
+            for w in words:
+                self.cache[w] = self.ids(" " + w).tobytes()
+
+    def _inside(self, part: str) -> bytes:
+        got = self.bare.get(part)
+        if got is None:
+            if len(self.bare) >= CACHED // 4:
+                self.bare.clear()
+            got = self.bare[part] = self.ids(part).tobytes()
+        return got
+
     def learn(self, words: list[str]) -> None:
-        """Put the ids of each word after a space into the cache; False where more white space may join it."""
-        plain = []
+        """Put the ids of each word after a space into the cache."""
+        cache, plain, cut = self.cache, [], []
         for w in words:
-            if w and not w[0].isspace() and not w[-1].isspace():
+            if w.isalpha():
                 plain.append(w)
+            elif not w or w[0].isspace() or w[-1].isspace():
+                cache[w] = False
             else:
-                self.cache[w] = False
-        if plain:
-            ids = self.ids(" " + " ".join(plain))
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(plain):
-                raw, ends = ids.tobytes(), np.append(cuts[1:], len(ids)) * self.width
-                self.cache.update(zip(plain, map(raw.__getitem__, map(slice, (cuts * self.width).tolist(), ends.tolist())), strict=True))
-            else:  # white space inside a word
-                for w in plain:
-                    self.cache[w] = self.ids(" " + w).tobytes()
+                parts = SURE.findall(w)
+                if sum(map(len, parts)) != len(w):
+                    cache[w] = self.ids(" " + w).tobytes()
+                else:
+                    cut.append((w, parts))
+        heads = {p[0] for _, p in cut} - set(plain)
+        self._spaced(plain + [h for h in heads if h not in cache])
+        inside = self._inside
+        for w, parts in cut:
+            cache[w] = b"".join((cache[parts[0]], *map(inside, parts[1:])))
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The serialized ids of each text; what is new in all of them is learnt at once."""
+        out: list = [None] * len(texts)
+        split, new = [], {}
+        if len(self.cache) > CACHED:
+            self.cache = dict(itertools.islice(self.cache.items(), CACHED // 2))  # those met first are the frequent ones
+        for i, text in enumerate(texts):
+            words = text.split(" ")
+            first = words.pop(0)
+            if not self.by_words or not first or first[-1].isspace() or (self.special is not None and self.special.search(text)):
+                out[i] = self.ids(text).tobytes() + self.end
+                continue
+            parts = list(map(self.cache.get, words))
+            places = [k for k, p in enumerate(parts) if p is None]
+            for k in places:
+                new[words[k]] = None
+            split.append((i, self.ids(first).tobytes(), words, parts, places))
+        if new:
+            self.learn(list(new))
+        for i, first, words, parts, places in split:
+            for k in places:
+                parts[k] = self.cache[words[k]]
+            try:
+                out[i] = b"".join((first, *parts, self.end))
+            except TypeError:  # white space that may join a word
+                out[i] = self.ids(texts[i]).tobytes() + self.end
+        return out
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_words or (self.special is not None and self.special.search(text)):
-            return self.ids(text).tobytes() + self.end
-        words = text.split(" ")
-        first = words[0]
-        if not first or first[-1].isspace():
-            return self.ids(text).tobytes() + self.end
-        words[0] = self.last  # in the cache as nothing, while the first word has no space before it
-        parts = list(map(self.cache.get, words))
-        if None in parts:
-            places = [i for i, p in enumerate(parts) if p is None]
-            new = {words[i] for i in places}
-            if len(self.cache) + len(new) > CACHED:
-                self.cache = dict(itertools.islice(self.cache.items(), CACHED // 2))  # those met first are the frequent ones
-            self.learn(list(new))
-            for i in places:
-                parts[i] = self.cache[words[i]]
-        if False in parts:
-            return self.ids(text).tobytes() + self.end
-        parts[0] = self.ids(first).tobytes()
-        parts.append(self.end)
-        return b"".join(parts)
+        return self.many([text])[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -126,7 +162,7 @@ def widen(ids: bytes, wide: int) -> bytes:
 
 
 def write_shard(fs: pafs.FileSystem, path: str, docs, end_id: int, tokenizer: str, dictionary: bytes) -> tuple[int, int]:
-    """Write (id, text) pairs; gives the numbers of documents and ids."""
+    """Write lists of ids and of their texts; gives the numbers of documents and ids."""
     enc = encoder(tokenizer, end_id)
     shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True, write_checksum=False)
@@ -134,13 +170,13 @@ def write_shard(fs: pafs.FileSystem, path: str, docs, end_id: int, tokenizer: st
     draft = f"{path}.{uuid.uuid4().hex}.part"
     with fs.open_output_stream(draft) as out:
         out.write(MAGIC + (hashlib.sha256(dictionary).digest() if dictionary else bytes(32)) + enc.width.to_bytes(8, "little"))
-        for key, text in docs:
-            ids = enc(text)
-            frame = press.compress(ids)
-            out.write(frame)
-            index.append((key or 0, int(key is None), at, len(ids) // enc.width))
-            at += len(frame)
-            total += len(ids) // enc.width
+        for keys, texts in docs:
+            for key, ids in zip(keys, enc.many(texts), strict=True):
+                frame = press.compress(ids)
+                out.write(frame)
+                index.append((key or 0, int(key is None), at, len(ids) // enc.width))
+                at += len(frame)
+                total += len(ids) // enc.width
         out.write(np.array(index, "<i8").reshape(-1, 4).tobytes())
         out.write(np.array([at, len(index)], "<i8").tobytes())
     fs.move(draft, path)
@@ -190,12 +226,12 @@ def check_head(head: bytes, dictionary: bytes) -> None:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, sample: int = SAMPLE) -> bytes:
-    """A zstandard dictionary from the ids of about ``sample`` documents, by a hash of the id."""
+    """A zstandard dictionary from the ids of about ``sample`` documents, by a hash of id and text."""
     count = docs.count()
     span = 1 << 30
-    rows = docs.filter(F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(span)) < math.ceil(span * min(1.0, sample / max(1, count)))).select(id_col, F.coalesce(text_col, F.lit(""))).collect()
+    rows = docs.filter(F.pmod(F.xxhash64(F.lit(3), id_col, text_col), F.lit(span)) < math.ceil(span * min(1.0, sample / max(1, count)))).select(id_col, F.coalesce(text_col, F.lit(""))).collect()
     enc = encoder(tokenizer, end_id)
-    ids = [enc(r[1]) for r in sorted(rows, key=lambda r: (r[0] is None, r[0], r[1]))]
+    ids = enc.many([r[1] for r in sorted(rows, key=lambda r: (r[0] is None, r[0], r[1]))])
     try:
         return zstandard.train_dictionary(DICTIONARY, ids, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few or too small samples to train on
@@ -224,7 +260,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
 
         def rows():
             for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), (x.as_py() for x in texts_of(batch.column(1))), strict=True)
+                texts = texts_of(batch.column(1))
+                for a, b in pieces(texts, PIECE):
+                    yield batch.column(0).slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist()
 
         docs = rows()
         first = next(docs, None)
