@@ -164,20 +164,31 @@ def ranks(df: DataFrame, group: list[str], order: list[str], name: str) -> DataF
 
 #: Rows for which one file of edges is written, so that small tables stay in few tasks.
 EDGES_IN_FILE = 200_000
+#: Keys that may be hot: no more than twice this many have over 1 / HOT of all rows, so these are broadcast.
+HOT = 2048
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with one row per key of ``groups``, whose column ``size`` counts the key's rows among ``total``.
+    Keys with many rows meet theirs by a broadcast of at most ``2 * HOT`` rows, so that none fills a task."""
+    hot = groups.filter(F.col(size) > max(32, total // HOT))
+    mark = hot.select(key, F.lit(True).alias("_hot"))
+    told = rows.join(F.broadcast(mark), key, "left")
+    return told.filter("_hot").drop("_hot").join(F.broadcast(hot), key).unionByName(told.filter("_hot is null").drop("_hot").join(groups, key))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for the nodes of undirected edges (a, b): the least node of each component.
 
     Alternates large-star and small-star, so every round is one aggregation over the
-    edges, no node gathers its neighbours in memory, and rounds grow as the logarithm
-    of a component's diameter.  A round's table is deleted when the next is written.
+    edges, no node gathers its neighbours in memory or in a task, and rounds grow as the
+    logarithm of a component's diameter.  A round's table is deleted when the next is written.
     """
 
-    def star(frame: DataFrame, large: bool) -> DataFrame:
+    def star(frame: DataFrame, large: bool, total: int) -> DataFrame:
         both = frame.select("a", "b").union(frame.select(F.col("b"), F.col("a")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        around = both.join(low, "a")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("_n"))
+        around = join_hot(both, low, "a", "_n", total)
         if large:
             out = around.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -191,7 +202,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = mark(pairs)
     for _ in range(rounds):
         files = -(-(before[0] or 0) // EDGES_IN_FILE) or 1
-        now = store(star(star(pairs, True), False).distinct().coalesce(files), "edges")
+        total = 2 * (before[0] or 0)
+        now = store(star(star(pairs, True, total), False, total).distinct().coalesce(files), "edges")
         discard(pairs)
         pairs, last, before = now, before, mark(now)
         if before == last:

@@ -7,8 +7,13 @@ same words in the same order are one class of copies, represented by the least i
 Each representative gets ``TREES`` keys of ``DEPTH`` MinHash values.  A tree's keys, dealt
 by range and sorted, are its prefix trie in order: representatives that share a prefix
 stand side by side, whatever the number of them, so a large group spreads over tasks.
-The prefix is shortened from ``DEPTH`` until a pair at the threshold meets in some tree
-with probability ``RECALL`` at least (0.9993 with the default numbers).  Runs with the
+Prefixes are shortened from ``DEPTH`` until the measured recall reaches ``RECALL``: a
+sample of representatives meets all texts by brute force, and for each pair at the
+threshold the longest prefix that it shares in any tree tells at which lengths it is
+found.  The mean over the sample's texts counts, so that a large group weighs as one text.
+Where the sample has fewer than ``ENOUGH`` texts with a partner, the length is the longest
+by which a pair exactly at the threshold meets with probability ``RECALL``.  At the full
+length such a pair meets with 0.988, the others with more.  Runs with the
 same prefix are tied to their first member, and the components of these ties are the
 candidate sets: linear in size where pairs would be quadratic.
 
@@ -34,7 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import components, key_filter, maybe_in, mixed, pieces, prepare, store, table, texts_of, utf8_of, width
 
-WORDS, SIMILARITY, TREES, DEPTH, RECALL, BLOCK, PIECE, COLUMNS = 5, 0.8, 24, 6, 0.999, 256, 1 << 17, 4096
+WORDS, SIMILARITY, TREES, DEPTH, RECALL, BLOCK, PIECE, COLUMNS = 5, 0.8, 24, 8, 0.999, 512, 1 << 17, 4096
+#: Texts by which recall is measured, of at most so many shingles; those with a partner that it needs; bits of a filter.
+SAMPLE, SHORT, ENOUGH, BITS = 512, 2048, 30, 22
 BASE, STEP, NONE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, -(1 << 63)
 
 
@@ -132,6 +139,80 @@ def _digest(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     return docs.select("_id", "_text").mapInArrow(run, "_id long, c1 long, c2 long, n long, sig binary")
 
 
+def _unique(texts: pa.Array):
+    """The distinct shingles of each text."""
+    for a, b in pieces(texts, PIECE):
+        shingles, at = shingles_of(*words_of(texts.slice(a, b - a)))
+        for s, e in zip(at[:-1], at[1:], strict=True):
+            yield np.unique(shingles[s:e])
+
+
+def measured_recall(rows: DataFrame, reps: DataFrame, similarity: float, trees: int, depth: int, sample: int = SAMPLE) -> tuple[int, list[float]]:
+    """(sampled texts with a partner, recall by prefix length from 1): pairs of about ``sample`` representatives with all texts."""
+    spark = rows.sparkSession
+    short = reps.filter(F.col("n") <= SHORT)
+    span = 1 << 30
+    cut = int(span * min(1.0, sample / max(1, short.count()))) + 1
+    picked = short.filter(F.pmod(F.xxhash64(F.lit(11), "_id"), F.lit(span)) < cut).select("_id")
+
+    def sets(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([u.tobytes() for u in _unique(batch.column(1))], pa.binary())], ["id", "u"])
+
+    # at most about ``sample`` sets of SHORT numbers; rows that share an id count once
+    asked = rows.join(F.broadcast(picked), "_id", "left_semi").mapInArrow(sets, "id long, u binary").groupBy("id").agg(F.min("u").alias("u")).collect()
+    if not asked:
+        return 0, [1.0] * depth
+    ids = np.array([r[0] for r in asked])
+    each = [np.frombuffer(r[1], np.uint64) for r in asked]
+    every = np.concatenate(each)
+    order = np.argsort(every, kind="stable")
+    keys, owner = every[order], np.repeat(np.arange(len(each)), [len(e) for e in each])[order]
+    present = np.zeros(1 << BITS, bool)
+    present[keys >> np.uint64(64 - BITS)] = True
+    held = spark.sparkContext.broadcast((ids, np.array([len(e) for e in each]), keys, owner, present))
+
+    def meet(batches):
+        ids, sizes, keys, owner, present = held.value
+        for batch in batches:
+            a, b = [], []
+            nodes = batch.column(0).to_numpy()
+            for i, u in enumerate(_unique(batch.column(1))):
+                near = u[present[u >> np.uint64(64 - BITS)]]
+                lo, hi = np.searchsorted(keys, near, "left"), np.searchsorted(keys, near, "right")
+                n = hi - lo
+                if n.sum() < similarity * len(u) - 1e-6:
+                    continue
+                both = np.bincount(owner[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], minlength=len(ids))
+                for k in np.flatnonzero((both > 0) & (both >= similarity * (sizes + len(u) - both) - 1e-6)):
+                    if ids[k] != nodes[i]:
+                        a.append(ids[k])
+                        b.append(nodes[i])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def longest(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), ">u2").reshape(batch.num_rows, trees, depth) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.logical_and.accumulate(x == y, axis=2).sum(2).max(1, initial=0))], ["a", "lcp"])
+
+    pairs = rows.mapInArrow(meet, "a long, b long").distinct()
+    sig = reps.select("_id", "sig")
+    met = pairs.join(sig.withColumnsRenamed({"_id": "b", "sig": "y"}), "b").join(sig.withColumnsRenamed({"_id": "a", "sig": "x"}), "a").select("a", "x", "y")
+    by_text = met.mapInArrow(longest, "a long, lcp long").groupBy("a").agg(*[F.avg((F.col("lcp") >= d).cast("double")).alias(f"r{d}") for d in range(1, depth + 1)])
+    got = by_text.agg(F.count(F.lit(1)), *[F.coalesce(F.avg(f"r{d}"), F.lit(1.0)) for d in range(1, depth + 1)]).first()
+    return got[0], list(got[1:])
+
+
+def shortened(measured: tuple[int, list[float]], trees: int, depth: int, similarity: float, recall: float) -> int:
+    """The longest prefix that has the wanted recall; where too little was measured, by the probability at the threshold."""
+    seen, found = measured
+    if seen < ENOUGH:
+        return prefix_depth(trees, depth, similarity, recall)
+    while depth > 1 and found[depth - 1] < recall:
+        depth -= 1
+    return depth
+
+
 def _ties(keys: DataFrame, length: int) -> DataFrame:
     """(a, b): each representative with the first of its run of equal prefixes.
 
@@ -254,9 +335,9 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = T
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     digest = store(_digest(rows, trees, depth), "digest")
     classes = store(digest.groupBy("c1", "c2").agg(F.min("_id").alias("rep")), "classes")
-    used = prefix_depth(trees, depth, similarity, recall)
+    reps = store(digest.filter("n > 0").join(classes.select(F.col("rep").alias("_id")), "_id", "left_semi").select("_id", "n", "sig"), "reps")
+    used = shortened(measured_recall(rows, reps, similarity, trees, depth), trees, depth, similarity, recall)
     parts = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.concat(F.unhex(F.lpad(F.hex(t), 2, "0")), F.substring(F.col("sig"), t * (2 * depth) + 1, F.lit(2 * used))))
-    reps = digest.filter("n > 0").join(classes.select(F.col("rep").alias("_id")), "_id", "left_semi")
     keys = reps.select(F.explode(parts).alias("key"), "_id")
     keys = keys.repartitionByRange(width(spark), "key", "_id").sortWithinPartitions("key", "_id")
     sets = store(components(_ties(keys, 1 + 2 * used)), "sets")

@@ -4,9 +4,10 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 from llm_helpers import SCHEMA, listed, near, sentence
 
-from lexigraf.llm import jaccard_join
+from lexigraf.llm import common, jaccard_join
 from lexigraf.llm.common import components
 
 
@@ -54,9 +55,31 @@ def test_jaccard_join_in_several_blocks(spark, monkeypatch):
     assert sorted(map(repr, listed(jaccard_join.jaccard_join(frame)))) == sorted(map(repr, brute_join(rows)))
 
 
-def test_prefixes_shorten_until_recall():
-    d = jaccard_join.prefix_depth(24, 6, 0.8, 0.999)
-    assert 1 - (1 - 0.8**d) ** 24 >= 0.999 and jaccard_join.prefix_depth(24, 6, 0.8, 0.9999) < 6
+def test_prefixes_shorten_until_recall(spark, docs, rows):
+    d = jaccard_join.prefix_depth(24, 8, 0.8, 0.999)
+    assert d == 6 and 1 - (1 - 0.8**d) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 24
+    assert jaccard_join.shortened((5, [1.0] * 8), 24, 8, 0.8, 0.999) == 6  # too little measured
+    assert jaccard_join.shortened((100, [1.0] * 7 + [0.9]), 24, 8, 0.8, 0.999) == 7
+    assert jaccard_join.shortened((100, [0.5] * 8), 24, 8, 0.8, 0.999) == 1
+
+
+def test_recall_is_measured_against_brute_force(spark):
+    """The recall of each prefix length over all representatives equals what pairs and signatures say."""
+    rng = random.Random(5)
+    rows = [(8 * k + i, near(rng, base, rng.randrange(0, 7))) for k in range(12) for base in [sentence(rng, 90)] for i in range(8)]
+    frame = spark.createDataFrame(rows, "_id long, _text string")
+    digest = jaccard_join._digest(frame, 4, 8)
+    sig = {r["_id"]: np.frombuffer(r["sig"], ">u2").reshape(4, 8) for r in digest.collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    of = {}
+    for a in sets:
+        for b in sets:
+            if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                same = (sig[a] == sig[b]).cumprod(axis=1).sum(1).max()
+                of.setdefault(a, []).append(same)
+    want = [np.mean([np.mean([s >= d for s in v]) for v in of.values()]) for d in range(1, 9)]
+    seen, got = jaccard_join.measured_recall(frame, digest.select("_id", "n", "sig"), 0.8, 4, 8, sample=10**9)
+    assert seen == len(of) > 20 and np.allclose(got, want) and got[0] > got[-1]
 
 
 def test_components(spark):
@@ -75,3 +98,11 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    """A node with most of the edges meets its neighbours by the broadcast side of the join."""
+    monkeypatch.setattr(common, "HOT", 4)
+    edges = [(0, i) for i in range(1, 400)] + [(500 + i, 501 + i) for i in range(40)] + [(399, 700)]
+    got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 400)}, 700: 0, **{501 + i: 500 for i in range(40)}}
