@@ -4,7 +4,8 @@ Three passes, each over what the one before has left: rows whose byte length occ
 twice or more; of these, rows whose (length, hash of the first bytes) occurs twice or
 more; of these, rows whose whole text has the same SHA-256.  The keys left after a pass
 go to the next as a key filter of fixed size, so no text is ever shuffled and a wrong
-positive only costs one hash.
+positive only costs one hash.  The row that stays comes back to its group by a join on the
+hash, for large groups by a broadcast of their few rows.
 
 Nulls count as empty texts; empty texts are equal to each other.  Of equal texts the row
 with the largest id stays; repeated rows with that id all count as kept.  A null id is
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, maybe_in, prepare, store, table
+from .common import join_hot, key_filter, maybe_in, prepare, store, table
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, carry: dict[str, Column] | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "exact",
     )
     groups = read.filter("_full is not null").groupBy("_full").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    met = read.filter("_full is not null").join(groups, "_full")
+    met = join_hot(read.filter("_full is not null"), groups, "_full", "group_size", read.count())
     alone = read.filter("_full is null").withColumn("keep_id", F.col("_id")).withColumn("group_size", F.lit(1).cast("long"))
     return met.unionByName(alone).select(
         F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), *carry
