@@ -7,15 +7,19 @@ the item's q-grams, and their diagonals (place in the document minus place in th
 lie within k of each other.  So shared q-grams are counted in bands of 2 (k + 1)
 diagonals that overlap by half, bands that reach the bound are kept, and each is aligned
 within its diagonals, with free ends in the document.  Where the bound would fall under
-``SHARED``, k is lowered.
+``SHARED``, k is lowered (below about 160 characters); each row gives the budget it was
+found under.  Items of fewer than ``SHORT`` characters have the budget 0 and are found
+only as whole words, spaces around them included; of these the shortest have no q-gram, so
+all their characters are one.  Items without a letter or digit say nothing and are never
+found.
 
 The items' q-grams are broadcast in blocks of at most ``BLOCK`` characters, one pass per
-block; documents are only read, never shuffled, and no document depends on another.
+block; documents are only read, never shuffled, and no document depends on another.  Very
+long documents go in segments that overlap by more than the longest item.
 
-Null and empty documents hold no item.  Items of fewer than ``SHORTEST`` characters are
-never found, since they would be in clean documents too.  Repeated rows of either table
-give repeated rows.  Of several places in a document the one with the fewest edits, then
-the first, is given.  Other columns don't matter.
+Null and empty documents hold no item.  Repeated rows of either table give repeated rows.
+Of several places in a document the one with the fewest edits, then the first, is given.
+Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,18 +34,18 @@ from pyspark.sql import types as T
 
 from .common import codes_of, fold_table, folded, mixed, pieces, prepare, table, texts_of
 
-Q, RATE, SHARED, SHORTEST, BLOCK, PIECE, BITS, ALIGNED = 9, 0.1, 8, 25, 1 << 23, 1 << 17, 22, 256
+Q, RATE, SHARED, SHORT, BLOCK, PIECE, SEGMENT, BITS, ALIGNED = 9, 0.1, 8, 25, 1 << 23, 1 << 17, 1 << 18, 22, 256
 BASE = 0x9E3779B97F4A7C15
 
 
-def qgrams(codes: np.ndarray) -> np.ndarray:
-    """A hash of the Q characters from each place on."""
+def qgrams(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    """A hash of the q characters from each place on."""
     h, span, parts = codes.astype(np.uint64) + np.uint64(1), 1, []
     with np.errstate(over="ignore"):
-        while True:  # of 1, 2, 4, ... characters; those of Q's binary digits are put together
-            if Q & span:
+        while True:  # of 1, 2, 4, ... characters; those of q's binary digits are put together
+            if q & span:
                 parts.append((span, h))
-            if span * 2 > Q:
+            if span * 2 > q:
                 break
             h = h[:-span] * np.uint64(pow(BASE, span, 1 << 64)) + h[span:] if len(h) > span else h[:0]
             span *= 2
@@ -64,18 +68,28 @@ class Index:
     which: np.ndarray  # posting: item
     place: np.ndarray  # posting: place in the item
     present: np.ndarray  # by the upper bits of a hash, whether any key has them
+    tiny: dict[int, dict[int, list[int]]]  # items without a q-gram: by length, by hash of all of it
+    reach: int  # more than any match is long
 
 
 def index_items(ids: list, texts: list[str]) -> Index:
-    kept, items, budgets = [], [], []
+    kept, items, budgets, tiny = [], [], [], {}
     for i, text in zip(ids, texts, strict=True):
         codes, offs = codes_of(pa.array([text or ""], pa.string()))
         x = folded(codes, offs, fold_table(True))[0]
-        x = x[1:-1] if len(x) > 1 and x[-1] == 32 else x[1:]
-        if len(x) >= SHORTEST:
-            kept.append(i)
-            items.append(x)
+        if not (x != 32).any():
+            continue
+        bare = x[1:-1] if x[-1] == 32 else x[1:]
+        if len(bare) >= SHORT:
+            x = bare
             budgets.append(max(0, min(int(RATE * len(x)), (len(x) - Q + 1 - SHARED) // Q)))
+        else:  # as whole words
+            x = np.concatenate((x[:1], bare, x[:1]))
+            budgets.append(0)
+            if len(x) < Q:
+                tiny.setdefault(len(x), {}).setdefault(int(qgrams(x, len(x))[0]), []).append(len(items))
+        kept.append(i)
+        items.append(x)
     lengths = np.array([len(x) for x in items], np.int64)
     k = np.array(budgets, np.int64)
     hashes = [qgrams(x) for x in items]
@@ -88,6 +102,7 @@ def index_items(ids: list, texts: list[str]) -> Index:
         kept, items, k, lengths - Q + 1 - k * Q, keys, np.append(firsts, len(every)),
         np.repeat(np.arange(len(items)), [len(h) for h in hashes])[order] if items else np.zeros(0, np.int64),
         np.concatenate([np.arange(len(h)) for h in hashes])[order] if items else np.zeros(0, np.int64), present,
+        tiny, int((lengths + 2 * k).max(initial=0)) + Q,
     )
 
 
@@ -95,6 +110,8 @@ def candidates(index: Index, codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Rows (document, item, least diagonal, greatest diagonal) of the bands that reach the bound; diagonals as of the document's start."""
     h = qgrams(codes)
     near = np.flatnonzero(index.present[h >> np.uint64(64 - BITS)])
+    if not len(near):
+        return np.zeros((0, 4), np.int64)
     at = np.searchsorted(index.keys, h[near])
     at[at == len(index.keys)] = 0
     same = index.keys[at] == h[near] if len(index.keys) else np.zeros(len(near), bool)
@@ -165,16 +182,49 @@ def align(index: Index, codes: np.ndarray, offs: np.ndarray, rows: np.ndarray) -
     return out
 
 
+def tiny_matches(index: Index, codes: np.ndarray, offs: np.ndarray) -> list[tuple]:
+    """(document, item, 0, start, end) of the first place of each item without a q-gram."""
+    out = []
+    for length, known in index.tiny.items():
+        h = qgrams(codes, length)
+        for p in np.flatnonzero(np.isin(h, np.array(list(known), np.uint64))):
+            doc = int(np.searchsorted(offs, p, "right")) - 1
+            if p + length <= offs[doc + 1]:
+                out += [(doc, i, 0, int(p - offs[doc]), int(p - offs[doc]) + length) for i in known[int(h[p])]]
+    return out
+
+
+def _windows(offs: np.ndarray, reach: int):
+    """(first document, from, to, offsets from there): all documents of usual length at once, a very long one in segments."""
+    long = np.flatnonzero(np.diff(offs) > SEGMENT + reach)
+    at = 0
+    for d in [*long.tolist(), len(offs) - 1]:
+        if d > at:
+            yield at, int(offs[at]), int(offs[d]), offs[at : d + 1] - offs[at]
+        if d < len(offs) - 1:
+            for s in range(int(offs[d]), int(offs[d + 1]), SEGMENT):
+                e = min(s + SEGMENT + reach, int(offs[d + 1]))
+                yield d, s, e, np.array([0, e - s])
+                if e == offs[d + 1]:
+                    break
+        at = d + 1
+
+
 def matches(index: Index, texts: pa.Array):
     """(row, item number, edits, start, end) for each document and item found; start and end in characters of the text."""
     for a, b in pieces(texts, PIECE):
         raw, raw_offs = codes_of(texts.slice(a, b - a))
         codes, offs, at = folded(raw, raw_offs, fold_table(True))
-        rows = candidates(index, codes, offs)
         best: dict[tuple[int, int], tuple] = {}
-        for doc, item, edits, start, stop in align(index, codes, offs, rows) if len(rows) else ():
-            if (doc, item) not in best or (edits, start) < best[doc, item][:2]:
-                best[doc, item] = (edits, start, stop)
+        for first, lo, hi, here in _windows(offs, index.reach):
+            part = codes[lo:hi]
+            rows = candidates(index, part, here)
+            found = align(index, part, here, rows) if len(rows) else []
+            for doc, item, edits, start, stop in found + tiny_matches(index, part, here):
+                shift = lo - int(offs[first]) if len(here) == 2 else 0  # a segment's place in its document
+                key, got = (doc + first, item), (edits, start + shift, stop + shift)
+                if key not in best or got[:2] < best[key][:2]:
+                    best[key] = got
         for (doc, item), (edits, start, stop) in sorted(best.items()):
             n, base = int(raw_offs[doc + 1] - raw_offs[doc]), int(raw_offs[doc])
             first = max(0, int(at[min(offs[doc] + start, offs[doc + 1] - 1)]) - base)
@@ -196,8 +246,8 @@ def _blocks(items: DataFrame, id_col: str, text_col: str):
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and item found in it: id, item id, edits, start, end."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("_item", items.schema[item_id].dataType), T.StructField("edits", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    """One row per document and item found in it: id, item id, edits, the budget of edits, start, end."""
+    schema = T.StructType([docs.schema[id_col], T.StructField("_item", items.schema[item_id].dataType), T.StructField("edits", T.IntegerType()), T.StructField("budget", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     out = docs.sparkSession.createDataFrame([], schema)
     item_type = pa.int64() if isinstance(items.schema[item_id].dataType, (T.LongType,)) else None
 
@@ -208,8 +258,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                 rows = pa.array([f[0] for f in found], pa.int64())
                 ids = pa.array([held.value.ids[f[1]] for f in found], item_type)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), ids, pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())],
-                    [id_col, "_item", "edits", "start", "end"],
+                    [batch.column(0).take(rows), ids, pa.array([f[2] for f in found], pa.int32()), pa.array([int(held.value.budgets[f[1]]) for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())],
+                    [id_col, "_item", "edits", "budget", "start", "end"],
                 )
 
         return run
