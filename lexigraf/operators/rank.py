@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import dot, jaccard, unit
 from .lexical import PLACES
 
 
@@ -80,44 +79,48 @@ def collapse_copies(hits: DataFrame, chunks: DataFrame, limit: int) -> DataFrame
     return grouped.withColumn("rank", F.row_number().over(window).cast("long")).filter(F.col("rank") <= limit).drop("first")
 
 
-def mmr(fused: DataFrame, vectors: DataFrame, lam: float = 0.7, k: int = 20, step: float = 1e-4) -> DataFrame:
-    """Maximal marginal relevance over the first ``k`` of each query: (qid, chunk_hash, score, rank) and (chunk_hash, vector).
-    The choice is sequential, so a worker takes one query's ``k`` rows; the others stay below, in order."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank")
-        score = rows["score"].to_numpy()
-        n = len(rows)
-        if n < 3:
-            return rows[["qid", "chunk_hash", "score", "rank"]]
-        if score.min() >= 0 and score.max() > 0:
-            rel = score / score.max()
-        else:
-            rel = (score - score.min()) / (score.max() - score.min()) if score.max() > score.min() else np.ones(n)
-        v = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        same = v @ v.T
-        chosen = [int(rel.argmax())]
-        left = [i for i in range(n) if i not in chosen]
-        while left:
-            value = lam * rel[left] - (1 - lam) * same[np.ix_(left, chosen)].max(axis=1)
-            chosen.append(left.pop(int(value.argmax())))
-        out = rows.iloc[chosen][["qid", "chunk_hash"]].copy()
-        out["score"], out["rank"] = score[chosen[0]] - step * np.arange(n), np.arange(1, n + 1)
-        return out
-
-    kinds = dict(fused.dtypes)
-    head = fused.filter(F.col("rank") <= k).join(vectors, "chunk_hash").select("qid", "chunk_hash", "score", "rank", "vector")
-    top = head.groupBy("qid").applyInPandas(one, f"qid {kinds['qid']}, chunk_hash {kinds['chunk_hash']}, score double, rank long")
-    floors = top.groupBy("qid").agg(F.min("score").alias("floor"))
+def mmr(fused: DataFrame, features: DataFrame, lam: float = 0.7, k: int = 20, step: float = 1e-4) -> DataFrame:
+    """Maximal marginal relevance over the first ``k`` of each query: (qid, chunk_hash, score, rank).
+
+    ``features`` are (chunk_hash, vector), compared by cosine, or (chunk_hash, words), by their overlap; a chunk without any
+    is like no other.  A query's ``k`` rows become one array, which is folded into the new order: what is left carries its
+    greatest similarity to what was taken.  Scores fall by ``step`` from that of the first; the others stay below, in order.
+    Lists of fewer than three keep theirs."""
+    by_vector = "vector" in features.columns
+    told = features.select("chunk_hash", (unit("vector") if by_vector else F.col("words")).alias("v"))
+    alike = (lambda a, b: F.coalesce(dot(a, b), F.lit(0.0))) if by_vector else (lambda a, b: F.coalesce(jaccard(a, b, 0.0), F.lit(0.0)))
+    head = fused.filter(F.col("rank") <= k).select("qid", "chunk_hash", "score", "rank").join(told, "chunk_hash", "left")
+    listed = head.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_hash", "score", "v"))).alias("rows"))
+    scores = F.transform("rows", lambda r: r["score"])
+    low, high = F.array_min(scores), F.array_max(scores)
+    value = lambda s: F.when((low >= 0) & (high > 0), s / high).when(high > low, (s - low) / (high - low)).otherwise(1.0)
+    item = lambda r, near: F.struct(r["rank"].alias("rank"), r["chunk_hash"].alias("chunk_hash"), r["score"].alias("score"), r["v"].alias("v"), near.alias("near"))
+    listed = listed.withColumn("left", F.transform("rows", lambda r: item(r, F.lit(0.0)))).withColumns({"low": low, "high": high})
+    low, high = F.col("low"), F.col("high")
+    kind = dict(listed.dtypes)["left"]
+    start = F.struct(F.array().cast(kind).alias("taken"), F.col("left").alias("left"))
+
+    def take(state: Column, _: Column) -> Column:
+        worth = F.transform(state["left"], lambda r: lam * value(r["score"]) - (1 - lam) * r["near"])
+        place = F.array_position(worth, F.array_max(worth)).cast("int")
+        one = F.element_at(state["left"], place)
+        rest = F.filter(state["left"], lambda r: r["rank"] != one["rank"])
+        closer = lambda r: F.when(F.size(state["taken"]) == 0, alike(r["v"], one["v"])).otherwise(F.greatest(r["near"], alike(r["v"], one["v"])))
+        return F.struct(F.array_append(state["taken"], one).alias("taken"), F.transform(rest, lambda r: item(r, closer(r))).alias("left"))
+
+    order = F.aggregate(F.sequence(F.lit(1), F.size("rows")), start, take)["taken"]
+    small = F.size("rows") < 3
+    placed = listed.select("qid", small.alias("small"), F.posexplode(F.when(small, F.col("left")).otherwise(order)).alias("i", "r"))
+    first = Window.partitionBy("qid").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    score = F.when(F.col("small"), F.col("r.score")).otherwise(F.first("r.score").over(first) - F.col("i") * step)
+    top = placed.select("qid", F.col("r.chunk_hash").alias("chunk_hash"), score.alias("score"), (F.col("i") + 1).cast("long").alias("rank"))
+    floors = listed.select("qid", F.when(small, low).otherwise(F.get(F.transform(order, lambda r: r["score"]), F.lit(0)) - (F.size("rows") - 1) * step).alias("floor"))
     tail = fused.filter(F.col("rank") > k).join(floors, "qid").select("qid", "chunk_hash", (F.col("floor") - (F.col("rank") - k) * step).alias("score"), "rank")
     return top.unionByName(tail)
 
 
 def word_overlap(rows: DataFrame) -> DataFrame:
     """(qid, a, b, similarity) of the word sets of each pair in a query's list (qid, chunk_hash, words); lists are cut before."""
-    from ..functions.text import jaccard
-
     a = rows.select("qid", F.col("chunk_hash").alias("a"), F.col("words").alias("wa"))
     b = rows.select("qid", F.col("chunk_hash").alias("b"), F.col("words").alias("wb"))
     return a.join(b, "qid").filter("a < b").select("qid", "a", "b", jaccard("wa", "wb", 0.0).alias("similarity"))

@@ -7,8 +7,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, structural
+from ..operators.resolution import resolve_edges
 from ..sources.chunkers import spans
-from ..sources.references import references, resolve_edges
+from ..sources.references import references
 from .inputs import kept, table
 from .retrieval import six
 

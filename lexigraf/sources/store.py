@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, occurrence_id, symbol_id
 from ..operators import lineage
+from ..operators.resolution import resolve_edges
 from . import git
 from .chunkers import eligible, language_of, spans
-from .references import references, resolve_edges
+from .references import references
 
 SCHEMAS = {
     "versions": "commit_id string, base string, tag string, parent string, timestamp long, subject string",

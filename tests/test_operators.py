@@ -249,3 +249,69 @@ def test_lineage_dedup_prefers_the_target(spark):
     assert order(rank.lineage_dedup(hits, chunks, ranks, "v0")) == ["x1", "y"]
     assert order(rank.lineage_dedup(hits, chunks, ranks, "none")) == ["x2", "y"]
     assert order(rank.lineage_dedup(hits, chunks, ranks, keep_history=True)) == ["x2", "x1", "y"]
+
+
+def test_alpha_ndcg_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    intents = sorted({(q, rng.choice("abcdefgh"), rng.choice("wxyz")) for q in range(8) for _ in range(14)})
+    run = [(q, d, i + 1) for q in range(7) for i, d in enumerate(rng.sample("abcdefghij", rng.randrange(1, 10)))]
+
+    def worth(order, of):
+        return sum(0.5 ** sum(t in of.get(e, ()) for e in order[:i]) / math.log2(i + 2) for i, d in enumerate(order) for t in of.get(d, ()))
+
+    want = {}
+    for q in range(8):
+        of = {}
+        for _, d, t in (x for x in intents if x[0] == q):
+            of.setdefault(d, set()).add(t)
+        ideal = []
+        while len(ideal) < min(4, len(of)):
+            ideal.append(min((d for d in of if d not in ideal), key=lambda d: (-sum(0.5 ** sum(t in of[e] for e in ideal) for t in of[d]), d)))
+        want[q] = worth([d for x, d, r in run if x == q and r <= 4], of) / worth(ideal, of)
+    got = {r["qid"]: r["alpha_ndcg"] for r in evaluation.alpha_ndcg(spark.createDataFrame(run, "qid long, doc_id string, rank long"), spark.createDataFrame(intents, "qid long, doc_id string, intent string"), 4).collect()}
+    assert got == pytest.approx(want) and want[7] == 0
+
+
+@pytest.mark.parametrize("by", ["vector", "words"])
+def test_mmr_against_brute_force(spark, by):
+    import random
+
+    rng = random.Random(6)
+    features = {f"c{i}": [rng.gauss(0, 1) for _ in range(5)] if by == "vector" else sorted(rng.sample("abcdefg", rng.randrange(0, 5))) for i in range(25)}
+    del features["c3"]
+    rows = []
+    for q, n in enumerate((1, 2, 3, 9, 20)):
+        scores = sorted((round(rng.uniform(-1 if q % 2 else 0, 5), 3) for _ in range(n)), reverse=True)
+        rows += [(q, c, s, i + 1) for i, (c, s) in enumerate(zip(rng.sample(sorted([*features, "c3"]), n), scores))]
+
+    def alike(a, b):
+        if a not in features or b not in features:
+            return 0.0
+        a, b = features[a], features[b]
+        if by == "vector":
+            return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0.0
+
+    want = {}
+    for q in range(5):
+        mine = [(c, s) for x, c, s, _ in rows if x == q]
+        head, tail = mine[:6], mine[6:]
+        if len(head) > 2:
+            low, high = min(s for _, s in head), max(s for _, s in head)
+            value = {c: s / high if low >= 0 and high > 0 else (s - low) / (high - low) for c, s in head}
+            left, taken = [c for c, _ in head], []
+            while left:
+                best = max(left, key=lambda c: (0.7 * value[c] - 0.3 * max((alike(c, t) for t in taken), default=0.0), -left.index(c)))
+                taken.append(best)
+                left.remove(best)
+            first = dict(head)[taken[0]]
+            head = [(c, first - 1e-4 * i) for i, c in enumerate(taken)]
+        floor = head[-1][1]
+        for i, (c, s) in enumerate(head + [(c, floor - 1e-4 * (i + 1)) for i, (c, _) in enumerate(tail)]):
+            want[q, c] = (round(s, 9), i + 1)
+    kind = "vector array<double>" if by == "vector" else "words array<string>"
+    frame = spark.createDataFrame(list(features.items()), f"chunk_hash string, {kind}")
+    got = {(r["qid"], r["chunk_hash"]): (round(r["score"], 9), r["rank"]) for r in rank.mmr(spark.createDataFrame(rows, "qid long, chunk_hash string, score double, rank long"), frame, k=6).collect()}
+    assert got == want

@@ -1,8 +1,7 @@
 """Chunkers, references, the store, run files, and the driver's entry."""
 
 from lexigraf.cli import commit_files, smoke
-from lexigraf.plans.graphs import FILES
-from lexigraf.sources import chunkers, references, runs
+from lexigraf.sources import chunkers, runs
 
 
 def test_python_chunks_start_at_the_decorator_and_fall_back_to_the_file():
@@ -18,29 +17,6 @@ def test_scanned_chunks():
     assert go == [("S", "type"), ("S.Get", "method"), ("Plain", "function")]
 
 
-def test_references_resolve_across_files():
-    chunks, refs = [], []
-    for path, text in FILES.items():
-        found = chunkers.spans(path, text)
-        chunks += [(path, s.symbol) for s in found]
-        refs += [(path, r) for r in references.references(path, text, found)]
-    edges = set(references.graph_edges(chunks, refs))
-    assert ("app/main.py::main", "app/config.py::load", "calls") in edges
-    assert ("app/main.py::App", "app/config.py::Settings", "inherits") in edges
-    assert ("web/view.ts::View.draw", "web/util.ts::twice", "calls") in edges
-    assert ("srv/main.go::Run", "store/open.go::Open", "calls") in edges
-    assert ("store/open.go::Open", "store/open.go::helper", "calls") in edges
-
-
-def test_unique_method_rule():
-    files = {"a.ts": "class A {\n  save() {\n    return 1;\n  }\n}\n", "b.ts": "function go() {\n  return make().save();\n}\n"}
-    chunks, refs = [], []
-    for path, text in files.items():
-        chunks += [(path, s.symbol) for s in chunkers.spans(path, text)]
-        refs += [(path, r) for r in references.references(path, text)]
-    assert ("b.ts::go", "a.ts::A.save", "calls") in references.graph_edges(chunks, refs)
-
-
 def test_run_files(spark, tmp_path):
     run = spark.createDataFrame([("q1", "a", 1.0), ("q1", "b", 1.0), ("q1", "c", 2.5)], "qid string, doc_id string, score double")
     runs.write_run(run, f"file://{tmp_path}/run")
