@@ -112,6 +112,6 @@ def stems(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def stemmed_code_tokens(text):
     """Code tokens, stemmed; a tokenizer that lexical indexes and searches take."""
-    from .text import code_tokens
+    from .text import code_terms
 
-    return stems(code_tokens(text))
+    return stems(code_terms(text))

@@ -37,6 +37,34 @@ def code_tokens(text: Column | str, keep_identifiers: bool = True) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(_col(text), F.lit(IDENTIFIER), F.lit(1)), of))
 
 
+def _stop_pieces() -> str:
+    """A pattern of the stop words where they are whole pieces of a name: small or capitalised before anything but a small
+    letter, or in capitals where such a piece ends; by their first letters, since most words fail there."""
+    by_first: dict[str, list[str]] = {}
+    for w in STOPWORDS:
+        by_first.setdefault(w[0], []).append(w[1:])
+    one_of = lambda rest: "|".join(sorted(rest, key=len, reverse=True))
+    longer = [f"[{c.upper()}{c}](?:{one_of(filter(None, rest))})(?![a-z])" for c, rest in by_first.items() if any(rest)]
+    small = "|".join([*longer, *(f"{c}(?![a-z])" for c, rest in by_first.items() if "" in rest)])
+    large = "|".join(f"{c.upper()}(?:{one_of(r.upper() for r in rest)})" for c, rest in by_first.items())
+    return f"(?:{small})|(?:{large})(?:(?![A-Za-z])|(?=[A-Z][a-z]))"
+
+
+#: A stop word, or in the group a piece that is none.
+KEPT_PIECE = f"(?:{_stop_pieces()})|{PIECE}"
+#: Where a name has more than one piece.
+SEAM = r"[a-z][A-Z0-9]|[0-9][A-Za-z]|[A-Z][0-9]|[A-Z]{2}[a-z]|[A-Za-z0-9]_+[A-Za-z0-9]"
+
+
+def code_terms(text: Column | str) -> Column:
+    """The terms of ``code_tokens`` in another order: pieces of all names first, then the names of several pieces.  One
+    pattern reads pieces and stop words, so nothing is looked up for each element."""
+    t = _col(text)
+    pieces = F.array_remove(F.regexp_extract_all(t, F.lit(KEPT_PIECE), F.lit(1)), "")
+    names = F.filter(F.regexp_extract_all(t, F.lit(IDENTIFIER), F.lit(1)), lambda n: n.rlike(SEAM))
+    return F.transform(F.concat(pieces, names), F.lower)
+
+
 def plain_tokens(text: Column | str) -> Column:
     """Lower-case words and numbers, split where a small letter or digit meets a capital."""
     spaced = F.replace(F.regexp_replace(_col(text), r"([a-z0-9])([A-Z])", "$1 $2"), F.lit("_"), F.lit(" "))

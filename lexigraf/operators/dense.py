@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dot, plain_tokens, unit
 from ..session import spread
-from .lexical import top
+from .lexical import PLACES, top
 
-#: Queries of one block: with 1,024 dimensions 32 MB.
-BLOCK = 4096
+#: Queries of one block: with 1,024 dimensions 32 MB.  Queries and documents of one product: 4 MB.
+BLOCK, SLICE, DOCUMENTS = 4096, 256, 2048
 
 
 def search_native(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
@@ -27,8 +28,22 @@ def search_native(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame
     return top(scored, k).select("qid", "chunk_hash", F.lit("semantic").alias("view"), "raw", "rank")
 
 
+def best_of(s: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` greatest of each row, of equal ones those first in ``order``."""
+    k = min(k, s.shape[1])
+    least = np.partition(s, -k, axis=1)[:, -k]
+    row, column = np.nonzero(s >= least[:, None] - 1e-9)
+    many = np.bincount(row, minlength=len(s)) > k
+    keep = ~many[row]
+    extra = [column[row == r][np.lexsort((order[column[row == r]], -np.round(s[r, column[row == r]], PLACES)))[:k]] for r in np.flatnonzero(many)]
+    if extra:
+        return np.concatenate((row[keep], np.repeat(np.flatnonzero(many), k))), np.concatenate((column[keep], *extra))
+    return row, column
+
+
 def search(queries: DataFrame, documents: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """hits of the view ``semantic``: (qid, vector) against (chunk_hash, vector)."""
+    """hits of the view ``semantic``: (qid, vector) against (chunk_hash, vector).  A batch of documents meets ``SLICE``
+    queries at a time, and no more than ``k`` documents of a batch leave it for a query, whatever their scores."""
     spark = documents.sparkSession
     count = queries.count()
     found = None
@@ -41,20 +56,17 @@ def search(queries: DataFrame, documents: DataFrame, k: int, block: int = BLOCK)
 
         def run(batches, held=held):
             ids, q = held.value
-            if q is None:
-                return
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                flat = batch.column(1)
-                d = normalize(np.array(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1))
-                s = q @ d.T
-                names = batch.column(0)
-                cut = min(k, batch.num_rows)
-                # ties at the cut all stay, for the rank to decide
-                least = np.partition(s, -cut, axis=1)[:, -cut][:, None] - 1e-9
-                row, column = np.nonzero(s >= least)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in row], _arrow(kind[0])), names.take(pa.array(column)), pa.array(s[row, column])], ["qid", "chunk_hash", "raw"])
+            for whole in batches:
+                for at in range(0, whole.num_rows if q is not None else 0, DOCUMENTS):
+                    batch = whole.slice(at, DOCUMENTS)
+                    names = batch.column(0)
+                    d = normalize(np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1))
+                    order = np.empty(batch.num_rows, np.int64)
+                    order[np.array(pc.sort_indices(names))] = np.arange(batch.num_rows)
+                    for a in range(0, len(q), SLICE):
+                        s = q[a : a + SLICE] @ d.T
+                        row, column = best_of(s, order, k)
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[a + r] for r in row.tolist()], _arrow(kind[0])), names.take(pa.array(column)), pa.array(s[row, column])], ["qid", "chunk_hash", "raw"])
 
         one = documents.select("chunk_hash", "vector").mapInArrow(run, f"qid {kind[0]}, chunk_hash {kind[1]}, raw double")
         found = one if found is None else found.union(one)

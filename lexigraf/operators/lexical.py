@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import code_tokens, plain_tokens
+from ..functions.text import code_terms, plain_tokens
 from ..session import spread
 
 K1, B = 1.2, 0.75
@@ -39,25 +39,30 @@ class LexicalIndex:
         return cls(*[spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "corpus", "chunks")])
 
 
-def index_chunks(chunks: DataFrame, text: str = "text", key: str = "chunk_hash", tokens=code_tokens, empty_counts: bool = True) -> LexicalIndex:
-    """``empty_counts``: a chunk without tokens has length 1, as one with an empty token would."""
+#: Query terms up to which they are broadcast to thin the postings out before any shuffle.
+MOST_TERMS = 200_000
+#: Stands in each chunk's list for the chunk itself, so that lengths come out of the same pass.
+SELF = "\u0000"
+
+
+def index_chunks(chunks: DataFrame, text: str = "text", key: str = "chunk_hash", tokens=code_terms, empty_counts: bool = True, only: DataFrame | None = None) -> LexicalIndex:
+    """One pass over the texts.  ``empty_counts``: a chunk without tokens has length 1, as one with an empty token would.
+    ``only``: the terms (term) that will be asked; other postings are dropped where they arise, lengths stay whole."""
     listed = spread(chunks.select(F.col(key), F.col(text))).select(F.col(key).alias("chunk_hash"), tokens(F.col(text)).alias("tokens"))
-    postings = (
-        listed.select("chunk_hash", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .groupBy("term", "chunk_hash", "dl")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .persist()
-    )
+    rows = listed.select("chunk_hash", F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", SELF)).alias("term"))
+    if only is not None:
+        wanted = only.select("term").union(only.sparkSession.range(1).select(F.lit(SELF))).distinct()
+        rows = rows.join(F.broadcast(wanted) if wanted.count() <= MOST_TERMS else wanted, "term", "left_semi")
+    counted = rows.groupBy("term", "chunk_hash", "dl").agg(F.count(F.lit(1)).alias("tf")).persist()
+    postings, selves = counted.filter(F.col("term") != SELF), counted.filter(F.col("term") == SELF)
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    count = chunks.agg(F.count(F.lit(1)).alias("n"))
-    held = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"), F.count_distinct("chunk_hash").alias("full"))
-    total = F.col("tokens") + (F.col("n") - F.col("full") if empty_counts else F.lit(0))
-    average = F.when((F.col("n") > 0) & (total > 0), total.cast("double") / F.col("n")).otherwise(1.0)
-    corpus = count.crossJoin(held).select("n", average.alias("avgdl"))  # one row each
-    return LexicalIndex(postings, terms, corpus, chunks.select(F.col(key).alias("chunk_hash")))
+    length = F.greatest("dl", F.lit(1)) if empty_counts else F.col("dl")
+    sums = selves.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total"))
+    corpus = sums.select("n", F.when(F.col("total") > 0, F.col("total").cast("double") / F.col("n")).otherwise(1.0).alias("avgdl"))
+    return LexicalIndex(postings, terms, corpus, selves.select("chunk_hash"))
 
 
-def query_terms(queries: DataFrame, tokens=code_tokens, repeated: bool = True) -> DataFrame:
+def query_terms(queries: DataFrame, tokens=code_terms, repeated: bool = True) -> DataFrame:
     """(qid, term, qtf); ``repeated``: whether a term counts as often as the query has it."""
     rows = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     return rows if repeated else rows.withColumn("qtf", F.lit(1).cast("long"))
@@ -80,16 +85,28 @@ def top(scored: DataFrame, k: int, by: Column | None = None, ties: tuple[str, ..
     return scored.withColumn("rank", F.row_number().over(window).cast("long")).filter(F.col("rank") <= k)
 
 
-def search(index: LexicalIndex, queries: DataFrame, k: int = 100, tokens=code_tokens, k1: float = K1, b: float = B) -> DataFrame:
+def search(index: LexicalIndex, queries: DataFrame, k: int = 100, tokens=code_terms, k1: float = K1, b: float = B) -> DataFrame:
     """hits of the view ``lexical``; terms that the query repeats count as often."""
     return top(scores(index, query_terms(queries, tokens), k1, b), k).select("qid", "chunk_hash", F.lit("lexical").alias("view"), "raw", "rank")
 
 
+def search_chunks(chunks: DataFrame, queries: DataFrame, k: int = 100, tokens=code_terms, k1: float = K1, b: float = B) -> DataFrame:
+    """``search`` over texts without an index: only the postings of the queries' terms are made."""
+    asked = query_terms(queries, tokens).persist()
+    return top(scores(index_chunks(chunks, tokens=tokens, only=asked), asked, k1, b), k).select("qid", "chunk_hash", F.lit("lexical").alias("view"), "raw", "rank")
+
+
 def search_baseline(index: LexicalIndex, queries: DataFrame, k: int = 10, ties: tuple[str, ...] = ("chunk_hash",)) -> DataFrame:
     """The plain variant: distinct query terms, plain tokens, (k1 + 1) above; the index is to be built with ``plain_tokens``."""
     return top(scores(index, query_terms(queries, plain_tokens, False), plus_one=True), k, ties=ties)
 
 
+def search_baseline_chunks(chunks: DataFrame, queries: DataFrame, k: int = 10, ties: tuple[str, ...] = ("chunk_hash",)) -> DataFrame:
+    """The same over texts without an index."""
+    asked = query_terms(queries, plain_tokens, False).persist()
+    return top(scores(index_chunks(chunks, tokens=plain_tokens, only=asked), asked, plus_one=True), k, ties=ties)
+
+
 def score_all(index: LexicalIndex, query: DataFrame) -> DataFrame:
     """Every chunk with its score for the one query, 0 without a common term."""
     found = scores(index, query_terms(query)).select("chunk_hash", "raw")

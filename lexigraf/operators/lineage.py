@@ -9,45 +9,58 @@ sorted pairs gives, without one task that sees them all.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, shingles, symbol_id
+from ..session import discard, stored
 
 THRESHOLD, LEAST_SHINGLES = 0.5, 8
 
 
 def similar_pairs(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(old, new, similarity) of sets (id, language, items) of one language with at least the given Jaccard similarity, exact.
+    """(old, new, similarity) of sets (id, language, items) of one language with at least the given Jaccard similarity, exact
+    but for 64-bit hashes of items that are equal.
 
     Items are ordered from the rarest; two sets at the threshold share one of the first n - ceil(threshold n) + 1 of
-    each, so only these are joined and frequent items hardly meet."""
+    each, so only these are joined and frequent items hardly meet.  A shared item at places i and j leaves at most the rest
+    of the shorter side in common, so pairs that can't reach the threshold any more don't meet either.  Callers give one set
+    for each group of equal ones."""
+    hashed = lambda side: side.select("id", F.coalesce("language", F.lit("")).alias("language"), F.array_distinct(F.transform("items", lambda x: F.xxhash64(x))).alias("items"))
+    old, new = stored(hashed(old), "sets"), stored(hashed(new), "sets")
     both = old.select("items").unionByName(new.select("items"))
-    often = both.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    often = both.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
 
     def prefixed(side: DataFrame) -> DataFrame:
+        # items that stand once in all meet nothing; they come first in the order, so only their number counts
         rows = side.select("id", "language", F.size("items").alias("n"), F.explode("items").alias("item")).join(often, "item")
+        window = Window.partitionBy("id")
+        place = F.row_number().over(window.orderBy("df", "item")) + F.col("n") - F.count(F.lit(1)).over(window)
         keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-        window = Window.partitionBy("id").orderBy("df", "item")
-        return rows.withColumn("r", F.row_number().over(window)).filter(F.col("r") <= keep).select("id", "language", "item", "n")
-
-    a, b = prefixed(old).withColumnsRenamed({"id": "old", "n": "n_old"}), prefixed(new).withColumnsRenamed({"id": "new", "n": "n_new"})
-    fits = (F.col("n_old") >= F.col("n_new") * threshold) & (F.col("n_new") >= F.col("n_old") * threshold)
-    pairs = a.join(b, ["language", "item"]).filter(fits).select("old", "new").distinct()
-    full = pairs.join(old.select(F.col("id").alias("old"), F.col("items").alias("x")), "old").join(new.select(F.col("id").alias("new"), F.col("items").alias("y")), "new")
+        return rows.withColumn("r", place).filter(F.col("r") <= keep).select("id", "language", "item", "n", "r")
+
+    a, b = prefixed(old).withColumnsRenamed({"id": "old", "n": "n_old", "r": "r_old"}), prefixed(new).withColumnsRenamed({"id": "new", "n": "n_new", "r": "r_new"})
+    least = F.ceil((F.col("n_old") + F.col("n_new")) * (threshold / (1 + threshold)) - 1e-9)
+    open_ = 1 + F.least(F.col("n_old") - F.col("r_old"), F.col("n_new") - F.col("r_new"))
+    # the first shared item of a pair has at most itself and what follows on both sides
+    met = a.join(b, ["language", "item"]).groupBy("old", "new").agg(F.max(open_ >= least).alias("open")).filter("open").select("old", "new")
+    full = met.join(old.select(F.col("id").alias("old"), F.col("items").alias("x")), "old").join(new.select(F.col("id").alias("new"), F.col("items").alias("y")), "new")
     return full.withColumn("similarity", jaccard("x", "y")).filter(F.col("similarity") >= threshold).select("old", "new", "similarity")
 
 
 def one_to_one(pairs: DataFrame, order: list) -> DataFrame:
-    """Pairs (old, new, ...) chosen greedily by ``order``: in each round those that are first for both sides."""
-    chosen, left = None, pairs.persist()
-    while True:
+    """Pairs (old, new, ...) chosen greedily by ``order``: in each round those that are first for both sides.  A round is
+    written to the shared folder, and what the round before left is deleted."""
+    chosen, left = [], stored(pairs, "pairs")
+    while not left.isEmpty():
         mine, theirs = Window.partitionBy("old").orderBy(*order), Window.partitionBy("new").orderBy(*order)
-        best = left.withColumn("a", F.row_number().over(mine)).withColumn("b", F.row_number().over(theirs)).filter("a = 1 and b = 1").drop("a", "b").persist()
-        if best.isEmpty():
-            return chosen if chosen is not None else best
-        chosen = best if chosen is None else chosen.unionByName(best)
-        left = left.join(best.select("old"), "old", "left_anti").join(best.select("new"), "new", "left_anti").persist()
+        best = stored(left.withColumn("a", F.row_number().over(mine)).withColumn("b", F.row_number().over(theirs)).filter("a = 1 and b = 1").drop("a", "b"), "best")
+        rest = stored(left.join(best.select("old"), "old", "left_anti").join(best.select("new"), "new", "left_anti").select(*left.columns), "pairs")
+        discard(left)
+        chosen, left = [*chosen, best], rest
+    return functools.reduce(DataFrame.unionByName, chosen) if chosen else left
 
 
 def match_symbols(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD, similar: bool = True) -> DataFrame:

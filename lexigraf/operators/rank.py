@@ -36,7 +36,7 @@ def version_rank(versions: DataFrame, head: str = "HEAD") -> DataFrame:
 def lineage_dedup(hits: DataFrame, chunks: DataFrame, ranks: DataFrame, target: str = "HEAD", keep_history: bool = False) -> DataFrame:
     """One hit per lineage (chunks without one stand alone): the target version's, else the newest, with the best score
     of its lineage.  With ``keep_history`` all stay, newest first, each 1e-6 below the one before."""
-    rows = hits.join(chunks.select("chunk_hash", "lineage_id", "version_id"), "chunk_hash").join(F.broadcast(ranks), "version_id", "left")
+    rows = hits.join(chunks.select("chunk_hash", "lineage_id", "version_id"), "chunk_hash").join(ranks, "version_id", "left")
     rows = rows.withColumn("line", F.coalesce("lineage_id", F.concat(F.lit("chunk:"), F.col("chunk_hash")))).withColumn("version_rank", F.coalesce("version_rank", F.lit(-1)))
     line = Window.partitionBy("qid", "line")
     newest = F.desc("version_rank")
@@ -49,7 +49,7 @@ def lineage_dedup(hits: DataFrame, chunks: DataFrame, ranks: DataFrame, target:
 
 def lineage_history(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
     """(lineage_id, history): all nodes of each lineage, oldest first."""
-    rows = nodes.join(F.broadcast(ranks), "version_id", "left")
+    rows = nodes.join(ranks, "version_id", "left")
     entry = F.struct(F.coalesce("version_rank", F.lit(-1)).alias("at"), "version_id", "change_type", "symbol_id")
     return rows.groupBy("lineage_id").agg(F.array_sort(F.collect_list(entry)).alias("history"))
 
@@ -57,12 +57,23 @@ def lineage_history(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
 def evolution_view(query_tokens: DataFrame, candidates: DataFrame, nodes: DataFrame, tags: DataFrame) -> DataFrame:
     """hits of the view ``evolution``: (qid, tokens, refs) against candidates (qid, chunk_hash, lineage_id, rank) and lineage
     nodes (lineage_id, version_id, change_type, message_tokens).  A node scores the share of the query's tokens in its
-    message, 0.5 more if the query names its version or tag, 0.1 more if it changed something; a lineage its best node."""
+    message, 0.5 more if the query names its version or tag (version_id, tag), 0.1 more if it changed something; a lineage
+    its best node, for its first candidate.
+
+    Messages meet queries token by token, by a join on (lineage, token), and only tokens that some query has leave their
+    row; no list of tokens is shuffled."""
     first = Window.partitionBy("qid", "lineage_id").orderBy("rank")
     pool = candidates.filter("lineage_id is not null").withColumn("r", F.row_number().over(first)).filter("r = 1").select("qid", "chunk_hash", "lineage_id")
-    rows = pool.join(query_tokens, "qid").join(nodes, "lineage_id").join(F.broadcast(tags), "version_id", "left")
-    share = F.size(F.array_intersect("tokens", "message_tokens")) / F.greatest(F.size(F.array_distinct("tokens")), F.lit(1))
-    named = F.array_contains("refs", F.col("version_id")) | F.coalesce(F.array_contains("refs", F.col("tag")), F.lit(False))
+    node = F.xxhash64("lineage_id", "version_id", "change_type", "message_tokens")
+    told = nodes.withColumn("node", node)
+    asked = query_tokens.select("qid", F.array_distinct("tokens").alias("tokens"), "refs")
+    each = asked.select("qid", F.explode("tokens").alias("token"))
+    said = told.select("lineage_id", "node", F.explode(F.array_distinct("message_tokens")).alias("token")).join(each.select("token").distinct(), "token", "left_semi").distinct()
+    common = pool.select("qid", "lineage_id").join(each, "qid").join(said, ["lineage_id", "token"]).groupBy("qid", "node").agg(F.count(F.lit(1)).alias("common"))
+    facts = told.select("lineage_id", "version_id", "change_type", "node").distinct().join(tags, "version_id", "left")
+    rows = pool.join(facts, "lineage_id").join(asked.select("qid", "refs", F.size("tokens").alias("n")), "qid").join(common, ["qid", "node"], "left")
+    share = F.coalesce("common", F.lit(0)) / F.greatest("n", F.lit(1))
+    named = F.coalesce(F.array_contains("refs", F.col("version_id")), F.lit(False)) | F.coalesce(F.array_contains("refs", F.col("tag")), F.lit(False))
     score = share + F.when(named, 0.5).otherwise(0.0) + F.when(F.col("change_type").isin("unchanged", "added"), 0.0).otherwise(0.1)
     best = rows.groupBy("qid", "chunk_hash").agg(F.max(score).alias("raw")).filter("raw > 0")
     window = Window.partitionBy("qid").orderBy(F.round("raw", PLACES).desc(), "chunk_hash")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions.stemmer import stemmed_code_tokens
-from .functions.text import code_tokens, jaccard, snippet, word_set
+from .functions.text import code_terms, jaccard, snippet, word_set
 from .operators import dense, fusion, graph, lexical, query, rank, structural
 
 
@@ -39,7 +39,7 @@ class Pipeline:
 
     def __init__(self, settings: Settings, chunks: DataFrame, embed: Embedder | None = None, scorer: PairScorer | None = None, edges: DataFrame | None = None, symbols: DataFrame | None = None, traits: DataFrame | None = None, versions: DataFrame | None = None):
         self.settings, self.chunks, self.edges, self.symbols, self.traits, self.versions = settings, chunks, edges, symbols, traits, versions
-        self.tokens: Callable = stemmed_code_tokens if settings.stem else code_tokens
+        self.tokens: Callable = stemmed_code_tokens if settings.stem else code_terms
         self.embed = embed or (lambda rows, key: dense.hash_embed(rows, key, dim=settings.dim))
         self.scorer = scorer or overlap_scorer
         self._index: lexical.LexicalIndex | None = None

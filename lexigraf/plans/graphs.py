@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, structural
+from ..operators import graph, lexical, structural
 from ..operators.resolution import resolve_edges
 from ..sources.chunkers import spans
 from ..sources.references import references
@@ -153,14 +153,20 @@ SQL_TRAITS = "traits AS (" + " UNION ALL ".join(f"SELECT 'd' || doc_id AS chunk_
 @register(f"""WITH {SQL_TRAITS}, share AS (SELECT trait, greatest(1e-3, least(1 - 1e-3, count(DISTINCT chunk_hash) / CAST((SELECT count(*) FROM documents) AS DOUBLE))) AS prior FROM traits GROUP BY 1),
 w AS (SELECT item_id AS qid, trait, ln(p / prior) - ln((1 - p) / (1 - prior)) AS weight FROM share, (SELECT item_id, ((item_id % 7) + 1) / 9e0 AS p FROM benchmark)),
 s AS (SELECT qid, chunk_hash, sum(weight) AS raw FROM traits JOIN w USING (trait) GROUP BY ALL)
-SELECT qid, chunk_hash, round(raw, 6) AS score FROM s""")
+SELECT qid, chunk_hash, round(raw, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, chunk_hash) AS rank FROM s QUALIFY rank <= 10""")
 def structural_llr(spark, sf_dir):
+    """The ten documents of each query whose traits speak most for it.  Documents with the same traits score alike, so each
+    set of traits is scored once, and only the first ten documents of a set can be among a query's."""
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("chunk_hash"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), ((F.col("item_id") % 7 + 1) / 9.0).alias("p"))
     traits = structural.pattern_traits(d, PATTERNS)
     prior = structural.priors(traits, d.count(), list(PATTERNS))
-    weights = structural.llr(prior.crossJoin(F.broadcast(asked))).select("qid", "trait", "weight")
-    return traits.join(F.broadcast(weights), "trait").groupBy("qid", "chunk_hash").agg(F.round(F.sum("weight"), 6).alias("score"))
+    weights = structural.llr(prior.join(asked)).select("qid", "trait", "weight")  # a row per query and trait
+    sets = traits.groupBy("chunk_hash").agg(F.array_sort(F.collect_set("trait")).alias("traits"))  # of a fixed vocabulary
+    alike = Window.partitionBy("traits").orderBy("chunk_hash")
+    pool = sets.withColumn("r", F.row_number().over(alike)).filter("r <= 10").select("chunk_hash", F.explode("traits").alias("trait"))
+    scored = pool.join(weights, "trait").groupBy("qid", "chunk_hash").agg(F.sum("weight").alias("raw"))
+    return lexical.top(scored, 10).select("qid", "chunk_hash", F.round("raw", 6).alias("score"), "rank")
 
 
 SNIPPETS = [

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, content_hash
 from ..operators import dense, lexical
+from ..operators.contains import containing
 from ..session import spread
 
 DEPTH = 100
@@ -45,7 +46,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, asked = chunks(spark, sf_dir), queries(spark, sf_dir)
-    first = lexical.search(lexical.index_chunks(corpus), asked, DEPTH)
+    first = lexical.search_chunks(corpus, asked, DEPTH)
     second = dense.search(dense.hash_embed(asked, "qid"), vectors(spark, sf_dir), DEPTH)
     return first.unionByName(second)
 
@@ -56,10 +57,9 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, doc_id, rel): documents that hold the passage.  The passages are the query set, met in blocks of their first words."""
+    """(qid, doc_id, rel): documents that hold the passage."""
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "text")
-    q = queries(spark, sf_dir).withColumnRenamed("text", "passage")
-    return spread(d).join(F.broadcast(q), F.contains("text", "passage")).select("qid", "doc_id", F.lit(1).cast("long").alias("rel")).distinct()
+    return containing(spread(d), queries(spark, sf_dir)).select("qid", "doc_id", F.lit(1).cast("long").alias("rel"))
 
 
 def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dot, plain_tokens, split_identifier, unit
 from ..operators import dense, evaluation, fusion, lexical, query, rank
-from .inputs import CHUNKS, HITS, QRELS, chunks, hits, kept, qrels, queries, sql_bm25, sql_code, sql_plain, table, vectors
+from .inputs import CHUNKS, HITS, QRELS, chunks, hits, qrels, queries, sql_bm25, sql_code, sql_plain, table, vectors
 
 QUERIES, SQL = {}, {}
 six = lambda c, n=None: F.round(c, 6).alias(n or c)
@@ -28,13 +28,7 @@ RANKED = "SELECT qid, chunk_hash, round(raw, 6) AS score, row_number() OVER (PAR
 
 @register(f"WITH {BASE_TERMS}, {sql_bm25('dterm', 'qterm', 'lex', plus_one=True)} {RANKED}")
 def bm25_baseline_topk(spark, sf_dir):
-    index = kept_index(spark, sf_dir, "plain", plain_tokens)
-    return lexical.search_baseline(index, queries(spark, sf_dir), 10).select("qid", "chunk_hash", six("raw", "score"), "rank")
-
-
-def kept_index(spark, sf_dir, name, tokens) -> lexical.LexicalIndex:
-    """An index kept for the session: its postings are what searches share."""
-    return lexical.index_chunks(kept(spark, sf_dir, f"chunks-{name}", chunks), tokens=tokens)
+    return lexical.search_baseline_chunks(chunks(spark, sf_dir), queries(spark, sf_dir), 10).select("qid", "chunk_hash", six("raw", "score"), "rank")
 
 
 CODE = f"{CHUNKS}, {sql_code('chunks', 'chunk_hash', 'dterm')}, {sql_code('queries', 'qid', 'qword')}, qterm AS (SELECT qid, term, CAST(count(*) AS DOUBLE) AS qtf FROM qword GROUP BY ALL)"
@@ -42,8 +36,7 @@ CODE = f"{CHUNKS}, {sql_code('chunks', 'chunk_hash', 'dterm')}, {sql_code('queri
 
 @register(f"WITH {CODE}, {sql_bm25('dterm', 'qterm', 'lex')} {RANKED}")
 def bm25_code_tokens_topk(spark, sf_dir):
-    index = lexical.index_chunks(chunks(spark, sf_dir))
-    return lexical.search(index, queries(spark, sf_dir), 10).select("qid", "chunk_hash", six("raw", "score"), "rank")
+    return lexical.search_chunks(chunks(spark, sf_dir), queries(spark, sf_dir), 10).select("qid", "chunk_hash", six("raw", "score"), "rank")
 
 
 @register(f"""WITH {CHUNKS}, dterm AS (SELECT chunk_hash, unnest({sql_plain('text')}) AS term FROM chunks)
@@ -140,8 +133,7 @@ SUBS = f"""{CHUNKS}, subs AS (SELECT item_id AS qid, CAST(0 AS BIGINT) AS sub, t
 def subquery_rrf(spark, sf_dir):
     asked = queries(spark, sf_dir)
     subs = asked.select("qid", F.lit(0).cast("long").alias("sub"), "text", F.lit(1.0).alias("weight")).union(asked.select("qid", F.lit(1).cast("long"), F.split_part("text", F.lit("."), F.lit(1)), F.lit(0.7)))
-    index = lexical.index_chunks(chunks(spark, sf_dir))
-    found = lexical.search(index, subs.select(F.concat_ws(":", "qid", "sub").alias("qid"), "text"), 100)
+    found = lexical.search_chunks(chunks(spark, sf_dir), subs.select(F.concat_ws(":", "qid", "sub").alias("qid"), "text"), 100)
     part = F.split("qid", ":")
     rows = found.select(part[0].cast("long").alias("qid"), part[1].cast("long").alias("sub"), "view", "chunk_hash", "rank")
     return fusion.combine_subqueries(rows, subs.select("qid", "sub", "weight"), 100).select("qid", "chunk_hash", six("raw", "score"), "rank")
@@ -233,7 +225,7 @@ TURNS = "queries AS (SELECT conv_id || ':' || turn AS qid, text FROM conversatio
 qterm AS (SELECT qid, term, CAST(count(*) AS DOUBLE) AS qtf FROM qword GROUP BY ALL), {sql_bm25('dterm', 'qterm', 'lex')} {RANKED}""")
 def conversation_queries_topk(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").filter("role = 'user' and conv_id % 50 = 0").select(F.concat_ws(":", "conv_id", "turn").alias("qid"), "text")
-    return lexical.search(lexical.index_chunks(chunks(spark, sf_dir)), turns, 10).select("qid", "chunk_hash", six("raw", "score"), "rank")
+    return lexical.search_chunks(chunks(spark, sf_dir), turns, 10).select("qid", "chunk_hash", six("raw", "score"), "rank")
 
 
 @register()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, content_hash, shingles, symbol_id
 from ..operators import fusion, lineage, rank
-from ..session import spread
+from ..session import spread, stored
 from .inputs import HITS, STOP, VERSIONS, hits, table, versions
 from .retrieval import RRF, six
 
@@ -33,20 +33,22 @@ s AS MATERIALIZED (SELECT DISTINCT doc_id, lang, unnest(CASE WHEN len(w) < 3 THE
 c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1)"""
 
 
-@register(f"""WITH {SHINGLES}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.lang IS NOT DISTINCT FROM b.lang AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a, b, round(k / CAST(x.n + y.n - k AS DOUBLE), 6) AS similarity FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE k / CAST(x.n + y.n - k AS DOUBLE) >= 5e-1""")
+@register(f"""WITH {SHINGLES}, k AS (SELECT doc_id, any_value(lang) AS lang, md5(string_agg(sh, chr(1) ORDER BY sh)) AS key FROM s GROUP BY 1), m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, key) AS rep FROM k),
+r AS MATERIALIZED (SELECT s.* FROM s JOIN m USING (doc_id) WHERE doc_id = rep), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM r a JOIN r b ON a.sh = b.sh AND a.lang IS NOT DISTINCT FROM b.lang AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a, b, round(k / CAST(x.n + y.n - k AS DOUBLE), 6) AS similarity FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE k / CAST(x.n + y.n - k AS DOUBLE) >= 5e-1
+UNION ALL SELECT rep, doc_id, 1e0 FROM m WHERE doc_id <> rep""")
 def lineage_similarity_pairs(spark, sf_dir):
-    """All pairs of documents of one language with similar bodies; copies are joined by their first document and put back."""
+    """Documents of one language with similar bodies: pairs of representatives of equal sets of shingles, and each other
+    member with its representative (similarity 1).  A representative is the least document of its set."""
     d = table(spark, sf_dir, "documents").filter("text is not null")
-    sets = spread(d.select("doc_id", "lang", "text")).select(F.col("doc_id"), F.col("lang").alias("language"), shingles("text").alias("items"))
-    keyed = sets.withColumn("set_id", F.sha2(F.concat_ws("\u0001", F.coalesce("language", F.lit("")), F.array_join(F.array_sort("items"), "\u0001")), 256)).persist()
-    one = keyed.groupBy("set_id").agg(F.min("doc_id").alias("id"))
-    reps = keyed.join(one, (keyed["set_id"] == one["set_id"]) & (keyed["doc_id"] == one["id"])).select("id", "language", "items")
-    pairs = lineage.similar_pairs(reps, reps).filter("old < new")
-    members = keyed.join(one, "set_id").select("id", "doc_id")
-    apart = pairs.join(members.withColumnsRenamed({"id": "old", "doc_id": "x"}), "old").join(members.withColumnsRenamed({"id": "new", "doc_id": "y"}), "new").select("x", "y", "similarity")
-    same = members.alias("m").join(members.alias("o"), F.expr("m.id = o.id and m.doc_id < o.doc_id")).select(F.col("m.doc_id").alias("x"), F.col("o.doc_id").alias("y"), F.lit(1.0).alias("similarity"))
-    return apart.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), six("similarity"))
+    sets = spread(d.select("doc_id", "lang", "text")).select("doc_id", F.coalesce("lang", F.lit("")).alias("language"), shingles("text").alias("items"))
+    sets = stored(sets.withColumn("items", F.array_sort(F.transform("items", lambda x: F.xxhash64(x)))), "sets")
+    keyed = sets.select("doc_id", "language", F.sha2(F.array_join(F.transform("items", lambda x: x.cast("string")), ","), 256).alias("key"))
+    one = keyed.groupBy("language", "key").agg(F.min("doc_id").alias("rep"))
+    members = keyed.join(one, ["language", "key"]).select("doc_id", "rep")
+    reps = sets.join(one.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "language", "items")
+    pairs = lineage.similar_pairs(reps, reps).filter("old < new").select(F.col("old").alias("a"), F.col("new").alias("b"), six("similarity"))
+    return pairs.unionByName(members.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
 @register(f"WITH {VERSIONS} SELECT change_type, count(*) AS n FROM matches GROUP BY 1")
@@ -67,18 +69,23 @@ def version_compare(spark, sf_dir):
     return symbols.select("old", "new", "change_type", six("similarity"), "old_symbol", "new_symbol")
 
 
+def _line():
+    return F.when(F.col("lang").isin("en", "fr"), F.concat(F.lit("l"), F.floor(F.col("doc_id") / 8).cast("string")))
+
+
 def _lines(spark, sf_dir):
-    """Documents as chunks of a lineage per source and language, versions by id."""
+    """Documents as chunks: English and French ones in lineages of neighbouring ids, the others alone; versions by id."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.concat(F.lit("d"), "doc_id").alias("chunk_hash"),
-        F.when(F.col("doc_id") % 3 == 0, F.concat_ws("/", "source", "lang")).alias("lineage_id"),
+        _line().alias("lineage_id"),
         F.concat(F.lit("v"), F.col("doc_id") % 4).alias("version_id"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"),
     )
 
 
-LINES = """lines AS (SELECT 'd' || doc_id AS chunk_hash, CASE WHEN doc_id % 3 = 0 THEN source || '/' || lang END AS lineage_id, 'v' || (doc_id % 4) AS version_id, sha256(coalesce(text, '')) AS content_hash FROM documents)"""
+LINE = "CASE WHEN lang IN ('en', 'fr') THEN 'l' || CAST(doc_id // 8 AS BIGINT) END"
+LINES = f"""lines AS (SELECT 'd' || doc_id AS chunk_hash, {LINE} AS lineage_id, 'v' || (doc_id % 4) AS version_id, sha256(coalesce(text, '')) AS content_hash FROM documents)"""
 FUSED = f"{HITS}, {RRF}, placed AS (SELECT qid, chunk_hash, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_hash) AS rank FROM fused)"
 
 
@@ -107,20 +114,24 @@ def _sql_tokens(text: str) -> str:
 
 
 @register(f"""WITH {FUSED}, {LINES}, pool AS (SELECT qid, chunk_hash, lineage_id FROM placed JOIN lines USING (chunk_hash) WHERE lineage_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid, lineage_id ORDER BY rank) = 1),
-nodes AS (SELECT source || '/' || lang AS lineage_id, 'v' || (doc_id % 4) AS version_id, CASE WHEN doc_id % 2 = 0 THEN 'modified' ELSE 'unchanged' END AS change_type, {_sql_tokens("split_part(text, '.', 1)")} AS m FROM documents WHERE doc_id % 3 = 0),
+nodes AS (SELECT {LINE} AS lineage_id, 'v' || (doc_id % 4) AS version_id, CASE WHEN doc_id % 2 = 0 THEN 'modified' ELSE 'unchanged' END AS change_type, {_sql_tokens("text")} AS m FROM documents WHERE lang IN ('en', 'fr')),
 q AS (SELECT item_id AS qid, list_distinct({_sql_tokens('text')}) AS t, item_id % 4 AS v FROM benchmark),
-s AS (SELECT pool.qid, chunk_hash, max(len(list_intersect(t, list_distinct(m))) / CAST(greatest(len(t), 1) AS DOUBLE) + CASE WHEN version_id = 'v' || v THEN 5e-1 ELSE 0e0 END + CASE WHEN change_type = 'unchanged' THEN 0e0 ELSE 1e-1 END) AS raw
+s AS (SELECT pool.qid, chunk_hash, max(len(list_intersect(t, list_distinct(m))) / CAST(greatest(len(t), 1) AS DOUBLE) + CASE WHEN version_id = 'v' || v OR v = 2 AND version_id = 'v3' THEN 5e-1 ELSE 0e0 END + CASE WHEN change_type = 'unchanged' THEN 0e0 ELSE 1e-1 END) AS raw
 FROM pool JOIN q USING (qid) JOIN nodes USING (lineage_id) GROUP BY ALL)
 SELECT qid, chunk_hash, round(raw, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, chunk_hash) AS rank FROM s WHERE raw > 0""")
 def evolution_overlap(spark, sf_dir):
+    """The evolution view of all passages over all documents with a lineage, a document's text as its commit's message.
+    Every fourth passage names the tag of version v3 besides its own version."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    words = lambda c: F.filter(F.transform(F.regexp_extract_all(c, F.lit("([A-Za-z]+)"), F.lit(1)), F.lower), lambda x: ~F.array_contains(F.array(*[F.lit(w) for w in STOPWORDS]), x))
-    nodes = d.filter("doc_id % 3 = 0").select(
-        F.concat_ws("/", "source", "lang").alias("lineage_id"), F.concat(F.lit("v"), F.col("doc_id") % 4).alias("version_id"),
-        F.when(F.col("doc_id") % 2 == 0, "modified").otherwise("unchanged").alias("change_type"), words(F.split_part("text", F.lit("."), F.lit(1))).alias("message_tokens"),
+    words = lambda c: F.array_distinct(F.filter(F.transform(F.regexp_extract_all(c, F.lit("([A-Za-z]+)"), F.lit(1)), F.lower), lambda x: ~x.isin(STOPWORDS)))
+    nodes = d.filter(_line().isNotNull()).select(
+        _line().alias("lineage_id"), F.concat(F.lit("v"), F.col("doc_id") % 4).alias("version_id"),
+        F.when(F.col("doc_id") % 2 == 0, "modified").otherwise("unchanged").alias("change_type"), words("text").alias("message_tokens"),
     )
-    asked = b.select(F.col("item_id").alias("qid"), F.array_distinct(words(F.col("text"))).alias("tokens"), F.array(F.concat(F.lit("v"), F.col("item_id") % 4)).alias("refs"))
-    tags = spark.createDataFrame([], "version_id string, tag string")
+    version = F.col("item_id") % 4
+    refs = F.when(version == 2, F.array(F.lit("v2"), F.lit("release"))).otherwise(F.array(F.concat(F.lit("v"), version)))
+    asked = b.select(F.col("item_id").alias("qid"), words("text").alias("tokens"), refs.alias("refs"))
+    tags = spark.createDataFrame([("v3", "release")], "version_id string, tag string")
     pool = fusion.rrf(hits(spark, sf_dir)).join(_lines(spark, sf_dir).select("chunk_hash", "lineage_id"), "chunk_hash")
     return rank.evolution_view(asked, pool, nodes, tags).select("qid", "chunk_hash", six("raw", "score"), "rank")
 

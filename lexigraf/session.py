@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where a local session writes what it cuts lineage by, if it names no folder.
+LOCAL = "file:///tmp/checkpoints"
+
 
 def session(name: str = "lexigraf", **conf: str) -> SparkSession:
     """AQE on, skewed joins split, UTC; the master and all sizes stay with the launcher."""
@@ -26,3 +30,27 @@ def spread(frame: DataFrame) -> DataFrame:
     say).  Large inputs come in more and pass untouched, so nothing large is shuffled for this."""
     wanted = frame.sparkSession.sparkContext.defaultParallelism
     return frame.repartition(wanted) if frame.rdd.getNumPartitions() < wanted else frame
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a cluster has to name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set")
+    return f"{(root or LOCAL).rstrip('/')}/lexigraf-{spark.sparkContext.applicationId}"
+
+
+def stored(frame: DataFrame, tag: str = "step") -> DataFrame:
+    """The frame written to the shared folder and read again, so that plans end there and lost executors cost nothing."""
+    spark, path = frame.sparkSession, f"{shared_folder(frame.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
+    frame.write.parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete what ``stored`` wrote for a frame that nothing reads any more."""
+    spark = frame.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

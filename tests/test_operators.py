@@ -315,3 +315,13 @@ def test_mmr_against_brute_force(spark, by):
     frame = spark.createDataFrame(list(features.items()), f"chunk_hash string, {kind}")
     got = {(r["qid"], r["chunk_hash"]): (round(r["score"], 9), r["rank"]) for r in rank.mmr(spark.createDataFrame(rows, "qid long, chunk_hash string, score double, rank long"), frame, k=6).collect()}
     assert got == want
+
+
+def test_code_terms_are_the_code_tokens_in_another_order(spark):
+    import random
+
+    rng = random.Random(1)
+    parts = ["the", "The", "THE", "a", "A", "i", "I", "of", "Of", "OF", "get", "URL", "x", "9", "42", "_", "__", "é", " ", " ", ".", "Name", "no", "To", "and", "AND", "be"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(3000)] + ["ABc", "aB", "iT", "XYof", "XOf", "ANDs", "software thereby", "9abc_d", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.code_tokens("t").alias("a"), T.code_terms("t").alias("b")).collect()
+    assert [(r["t"], sorted(r["a"])) for r in rows] == [(r["t"], sorted(r["b"])) for r in rows]
