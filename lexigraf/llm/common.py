@@ -40,7 +40,10 @@ def prepare(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set, and only one machine shares its own folders")
+    root = root or LOCAL_SHARED
     return f"{root.rstrip('/')}/lexigraf-{spark.sparkContext.applicationId}"
 
 
@@ -203,8 +206,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         files = -(-(before[0] or 0) // EDGES_IN_FILE) or 1
         total = 2 * (before[0] or 0)
-        now = store(star(star(pairs, True, total), False, total).distinct().coalesce(files), "edges")
+        halfway = store(star(pairs, True, total).coalesce(files), "edges")  # else the plan of one star stands in the other's many times
+        now = store(star(halfway, False, total).distinct().coalesce(files), "edges")
         discard(pairs)
+        discard(halfway)
         pairs, last, before = now, before, mark(now)
         if before == last:
             return pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))

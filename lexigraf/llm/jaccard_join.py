@@ -41,7 +41,7 @@ from .common import components, key_filter, maybe_in, mixed, pieces, prepare, st
 
 WORDS, SIMILARITY, TREES, DEPTH, RECALL, BLOCK, PIECE, COLUMNS = 5, 0.8, 24, 8, 0.999, 512, 1 << 17, 4096
 #: Texts by which recall is measured, of at most so many shingles; those with a partner that it needs; bits of a filter.
-SAMPLE, SHORT, ENOUGH, BITS = 512, 2048, 30, 22
+SAMPLE, SHORT, ENOUGH, BITS = 256, 2048, 30, 22
 BASE, STEP, NONE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, -(1 << 63)
 
 
@@ -195,7 +195,7 @@ def measured_recall(rows: DataFrame, reps: DataFrame, similarity: float, trees:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), ">u2").reshape(batch.num_rows, trees, depth) for k in (1, 2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.logical_and.accumulate(x == y, axis=2).sum(2).max(1, initial=0))], ["a", "lcp"])
 
-    pairs = rows.mapInArrow(meet, "a long, b long").distinct()
+    pairs = store(rows.mapInArrow(meet, "a long, b long").distinct(), "pairs")
     sig = reps.select("_id", "sig")
     met = pairs.join(sig.withColumnsRenamed({"_id": "b", "sig": "y"}), "b").join(sig.withColumnsRenamed({"_id": "a", "sig": "x"}), "a").select("a", "x", "y")
     by_text = met.mapInArrow(longest, "a long, lcp long").groupBy("a").agg(*[F.avg((F.col("lcp") >= d).cast("double")).alias(f"r{d}") for d in range(1, depth + 1)])
