@@ -1,4 +1,4 @@
-"""Command line: ``python -m lexigraf.cli index|search|symbol|deps|compare|versions|history|smoke``."""
+"""Command line: ``python -m lexigraf.cli index|search|symbol|deps|compare|versions|history|diff|smoke``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import subprocess
 import sys
 import tempfile
 
-from . import service
+from . import render, service
+from .config import REPO, STORE
 from .session import session
 from .sources.store import VersionedStore
 
@@ -57,11 +58,11 @@ def smoke(spark) -> dict[str, bool]:
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lexigraf")
-    parser.add_argument("--repo", default=os.environ.get("LEXIGRAF_REPO", "."))
-    parser.add_argument("--store", default=os.environ.get("LEXIGRAF_STORE"))
+    parser.add_argument("--repo", default=os.environ.get(REPO, "."))
+    parser.add_argument("--store", default=os.environ.get(STORE))
     parser.add_argument("--json", action="store_true")
     sub = parser.add_subparsers(dest="what", required=True)
-    for name, extra in {"index": ["ref"], "search": ["text"], "symbol": ["name"], "deps": ["name"], "compare": ["a", "b"], "versions": [], "history": ["name"], "smoke": []}.items():
+    for name, extra in {"index": ["ref"], "search": ["text"], "symbol": ["name"], "deps": ["name"], "compare": ["a", "b"], "versions": [], "history": ["name"], "diff": ["name", "a", "b"], "smoke": []}.items():
         p = sub.add_parser(name)
         for e in extra:
             p.add_argument(e, nargs="?" if e == "ref" else None, default="HEAD" if e == "ref" else None)
@@ -70,6 +71,8 @@ def main(args: list[str] | None = None) -> int:
         if name == "search":
             p.add_argument("--limit", type=int, default=10)
             p.add_argument("--history", action="store_true")
+            p.add_argument("--graph", action="store_true")
+            p.add_argument("--engine", choices=["hybrid", "baseline"], default="hybrid")
         if name == "deps":
             p.add_argument("--direction", choices=["in", "out", "both"], default="out")
             p.add_argument("--depth", type=int, default=3)
@@ -81,14 +84,20 @@ def main(args: list[str] | None = None) -> int:
         store = VersionedStore(spark, got.store or f"file://{os.path.abspath(got.repo)}/.lexigraf", os.path.abspath(got.repo))
         out = {
             "index": lambda: vars(store.index_commit(got.ref)),
-            "search": lambda: service.search(store, got.text, got.ref, service.bounded("limit", got.limit, 1, 20), got.history),
+            "search": lambda: (
+                service.search_baseline(store, got.text, got.ref, service.bounded("limit", got.limit, 1, 20), got.history)
+                if got.engine == "baseline"
+                else service.search(store, got.text, got.ref, service.bounded("limit", got.limit, 1, 20), got.history, got.graph)
+            ),
             "symbol": lambda: service.find_symbol(store, got.name, got.ref),
             "deps": lambda: service.find_dependencies(store, got.name, got.ref, got.direction, depth=got.depth),
             "compare": lambda: service.compare_versions(store, got.a, got.b),
-            "versions": lambda: store.commits(),
+            "versions": lambda: service.versions(store),
+            "diff": lambda: service.diff_symbol(store, got.name, got.a, got.b),
             "history": lambda: service.symbol_history(store, got.name),
         }[got.what]()
-    print(json.dumps(out, indent=None if got.json else 2, default=str))
+    show = {"search": render.search, "symbol": render.symbols, "deps": render.dependencies, "compare": render.comparison, "versions": render.versions, "history": render.history}
+    print(json.dumps(out, default=str) if got.json else show.get(got.what, render.fields)(out))
     return int(got.what == "smoke" and not all(out.values()))
 
 

@@ -9,22 +9,40 @@ import os
 from dataclasses import dataclass, field
 
 
+#: Environment: settings file, repository, store.
+CONFIG, REPO, STORE = "LEXIGRAF_CONFIG", "LEXIGRAF_REPO", "LEXIGRAF_STORE"
+
+
 @dataclass
 class Settings:
+    name: str = "default"
+    seed: int = 42
     views: list[str] = field(default_factory=lambda: ["lexical"])
     fusion: str = "rrf"  # none, rrf, weighted, adaptive
     rrf_k: int = 60
     norm: str = "minmax"
-    weights: dict[str, float] = field(default_factory=lambda: {"lexical": 0.2, "semantic": 0.8, "structural": 0.0, "graph": 0.0, "evolution": 0.0})
+    weights: dict[str, float] = field(default_factory=lambda: {"lexical": 0.3, "semantic": 0.7, "structural": 0.0, "graph": 0.0, "evolution": 0.0})
+    adaptive: str = "rules"  # rules, learned
+    weight_model: str | None = None
     first_stage_k: int = 100
     k1: float = 1.2
     b: float = 0.75
     stem: bool = True
     dim: int = 64
+    embedder: str | None = None  # a name known to operators.embedders; none: the hash embedder of ``dim``
+    embedder_fallback: str | None = None
+    keep_query_vectors: bool = True
+    allow_local_models: bool = False
+    cache_dir: str | None = None
     analyzer: bool = False
+    analyzer_kind: str = "rules"  # rules, learned, service
+    classifier: str | None = None
     decompose: bool = False
+    reranker: str | None = None  # a name known to operators.rerankers; none: word overlap
+    reranker_fallback: str | None = None
     rerank_depth: int = 0
     rerank_blend: float = 0.0
+    structural_model: str | None = None
     hops: int = 1
     decay: float = 0.5
     diversify: bool = False
@@ -75,4 +93,6 @@ def override(values: dict, pairs: list[str]) -> dict:
 
 
 def load(path: str | None = None, pairs: list[str] | None = None) -> Settings:
+    """Defaults, then a file (the environment's if none is named), then overrides; a field that isn't known is an error."""
+    path = path or os.environ.get(CONFIG) or None
     return Settings(**override(merged(dataclasses.asdict(Settings()), read(path) if path else {}), pairs or []))

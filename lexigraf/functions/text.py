@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The words that code tokens leave out.
-STOPWORDS = (
-    "a an and are as at be by for from has have he her his i if in into is it its of on or she so such that the "
-    "their them then there these they this to was we were which while who will with you your our can do does not no"
-).split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "he", "her", "his", "i", "if", "in", "into", "is", "it", "its",
+    "of", "on", "or", "she", "so", "such", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "was", "we", "were",
+    "which", "while", "who", "will", "with", "you", "your", "our", "can", "do", "does", "not", "no",
+]
 IDENTIFIER = r"([A-Za-z_][A-Za-z0-9_]*|[0-9]+)"
 PIECE = r"([A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"
 PLAIN = r"([A-Za-z][A-Za-z0-9]*|[0-9]+)"
@@ -158,3 +161,21 @@ def unit(vector: Column | str) -> Column:
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def capped(text: Column | str, most: int = 4000) -> Column:
+    """The first ``most`` characters, as tools show texts."""
+    return F.substring(_col(text), 1, most)
+
+
+@F.pandas_udf(StringType())
+def unified_diff(old: pd.Series, new: pd.Series, old_name: pd.Series, new_name: pd.Series, most: pd.Series) -> pd.Series:
+    """Unified diffs of two texts, nulls as empty; those of more than ``most`` lines are cut, with how many were left out."""
+    import difflib
+
+    def one(a, b, x, y, n):
+        lines = list(difflib.unified_diff((a or "").splitlines(True), (b or "").splitlines(True), x or "", y or ""))
+        most = len(lines) if n is None or n != n else int(n)
+        return "".join(lines if len(lines) <= most else [*lines[:most], f"... {len(lines) - most} more\n"])
+
+    return pd.Series([one(*r) for r in zip(old, new, old_name, new_name, most, strict=True)], index=old.index, dtype=object)

@@ -34,6 +34,16 @@ def kinds_for(text: Column) -> Column:
     )
 
 
+def wants_graph(typed: DataFrame) -> Column:
+    """Whether a typed query asks for dependencies: by its type, mixed ones too, or by a phrase."""
+    return F.col("query_type").isin("dependency", "mixed") | (F.size("dependency_cues") > 0)
+
+
+def other_end(symbol: Column | str) -> Column:
+    """Of an edge's ends the one that isn't the symbol."""
+    return F.when(F.col("src") == symbol, F.col("dst")).otherwise(F.col("src"))
+
+
 def clean_edges(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").select("src", "dst", "kind").distinct()
 

@@ -113,9 +113,9 @@ def score_all(index: LexicalIndex, query: DataFrame) -> DataFrame:
     return index.chunks.join(found, "chunk_hash", "left").select("chunk_hash", F.coalesce("raw", F.lit(0.0)).alias("raw"))
 
 
-def tune(index: LexicalIndex, queries: DataFrame, k: int, k1s: list[float], bs: list[float]) -> DataFrame:
+def tune(index: LexicalIndex, queries: DataFrame, k: int, k1s: list[float], bs: list[float], terms: DataFrame | None = None) -> DataFrame:
     """hits for every (k1, b), postings joined once and scored for all cells."""
-    terms = query_terms(queries)
+    terms = query_terms(queries) if terms is None else terms
     spark = queries.sparkSession
     cells = spark.createDataFrame([(float(x), float(y)) for x in k1s for y in bs], "k1 double, b double")
     n, df, tf = F.col("n"), F.col("df"), F.col("tf").cast("double")

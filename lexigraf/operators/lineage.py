@@ -148,7 +148,7 @@ def edge_changes(old: DataFrame, new: DataFrame, renames: DataFrame) -> DataFram
 
 
 #: The order in which a comparison lists its changes.
-CHANGE_ORDER = ["added", "deleted", "modified", "renamed", "moved", "unchanged"]
+CHANGE_ORDER = ["added", "modified", "renamed", "moved", "deleted", "unchanged"]
 
 
 def compare_versions(old: DataFrame, new: DataFrame, limit: int | None = 200, **how) -> tuple[DataFrame, DataFrame]:
@@ -166,5 +166,5 @@ def find_pair(lineage: DataFrame, symbol: str, a: str, b: str) -> DataFrame:
     here = lineage.filter(F.col("commit_id").isin(a, b) & F.col("occurrence_id").isNotNull()).withColumn("id", symbol_id("path", "symbol"))
     named = here.filter((F.col("id") == symbol) | (F.col("symbol") == symbol) | (F.element_at(F.split("symbol", r"\."), -1) == symbol))
     first = named.orderBy((F.col("commit_id") == b).desc(), "path").limit(1).select("lineage_id")
-    rows = here.join(F.broadcast(first), "lineage_id")
+    rows = here.join(first, "lineage_id")
     return rows.groupBy("lineage_id").agg(F.max(F.when(F.col("commit_id") == a, F.col("occurrence_id"))).alias("old"), F.max(F.when(F.col("commit_id") == b, F.col("occurrence_id"))).alias("new"))

@@ -10,24 +10,27 @@ from pyspark.sql import functions as F
 from .lexical import PLACES
 
 # Word lists and phrases that the features count.
-ACTIONS = (
-    "sort find count compute calculate parse read write print return check validate merge split reverse search insert delete remove "
-    "update call handle convert generate minimize maximize load save send fetch build create initialize connect render decode encode "
-    "serialize deserialize cache retry log authenticate determine choose select construct restore replace swap move visit traverse match "
-    "compare rotate partition assign distribute simulate output answer"
-).split()
-ENTITIES = (
-    "array string graph tree matrix grid permutation sequence integer number query queries edge edges vertex vertices node nodes path "
-    "interval subarray substring subsequence palindrome prime bit bits binary set map dictionary list stack queue heap segment point "
-    "points circle rectangle polygon coin coins cost weight digit digits character characters word words file config request response "
-    "user token session database table client server handler cache function method class module test pairs pair game board city "
-    "cities road roads time modulo divisor divisors fraction multiset"
-).split()
-STRUCTURAL_CUES = (
-    "loop loops recursion recursive nested decorator iterator generator inheritance pattern implements implementation dfs bfs dp dijkstra "
-    "memoization memoize greedy bitmask backtracking sieve two-pointer sliding prefix suffix union-find dsu trie segment fenwick heapq "
-    "exception try except async await lambda callback singleton factory"
-).split()
+ACTIONS = [
+    "sort", "find", "count", "compute", "calculate", "parse", "read", "write", "print", "return", "check", "validate", "merge", "split", "reverse",
+    "search", "insert", "delete", "remove", "update", "call", "handle", "convert", "generate", "minimize", "maximize", "load", "save", "send",
+    "fetch", "build", "create", "initialize", "connect", "render", "decode", "encode", "serialize", "deserialize", "cache", "retry", "log",
+    "authenticate", "determine", "choose", "select", "construct", "restore", "replace", "swap", "move", "visit", "traverse", "match", "compare",
+    "rotate", "partition", "assign", "distribute", "simulate", "output", "answer",
+]
+ENTITIES = [
+    "array", "string", "graph", "tree", "matrix", "grid", "permutation", "sequence", "integer", "number", "query", "queries", "edge", "edges",
+    "vertex", "vertices", "node", "nodes", "path", "interval", "subarray", "substring", "subsequence", "palindrome", "prime", "bit", "bits", "binary",
+    "set", "map", "dictionary", "list", "stack", "queue", "heap", "segment", "point", "points", "circle", "rectangle", "polygon", "coin", "coins",
+    "cost", "weight", "digit", "digits", "character", "characters", "word", "words", "file", "config", "request", "response", "user", "token",
+    "session", "database", "table", "client", "server", "handler", "cache", "function", "method", "class", "module", "test", "pairs", "pair", "game",
+    "board", "city", "cities", "road", "roads", "time", "modulo", "divisor", "divisors", "fraction", "multiset",
+]
+STRUCTURAL_CUES = [
+    "loop", "loops", "recursion", "recursive", "nested", "decorator", "iterator", "generator", "inheritance", "pattern", "implements",
+    "implementation", "dfs", "bfs", "dp", "dijkstra", "memoization", "memoize", "greedy", "bitmask", "backtracking", "sieve", "two-pointer",
+    "sliding", "prefix", "suffix", "union-find", "dsu", "trie", "segment", "fenwick", "heapq", "exception", "try", "except", "async", "await",
+    "lambda", "callback", "singleton", "factory",
+]
 DEPENDENCY_PHRASES = [
     "calls", "called by", "callers", "callees", "caller", "callee", "who uses", "uses of", "depends on", "dependency", "dependencies",
     "imports", "imported by", "invokes", "invoked by", "references", "referenced by", "subclass", "subclasses", "inherits", "inherit from",
@@ -156,7 +159,7 @@ def features(rows: DataFrame) -> DataFrame:
 FEATURES = "log_len n_identifiers identifier_ratio code_token_ratio n_actions n_entities n_conditions n_version_refs n_dependency_cues n_evolution_cues n_structural_cues has_io_sections math_density is_question".split()
 
 
-def classify(parsed: DataFrame, margin: float = 0.25) -> DataFrame:
+def rule_classified(parsed: DataFrame, margin: float = 0.25) -> DataFrame:
     """``parsed`` with p_<type> (softmax of the rules' scores) and query_type, ``mixed`` if two kinds other than
     semantic are strong and the first two are close; ties go in the order of ``TYPES``."""
     rules = {
@@ -178,6 +181,9 @@ def classify(parsed: DataFrame, margin: float = 0.25) -> DataFrame:
     return rows.withColumn("query_type", F.when(mixed, "mixed").otherwise(first)).drop(*[f"s_{t}" for t in TYPES], *[f"e_{t}" for t in TYPES])
 
 
+classify = rule_classified
+
+
 def rule_weights(classified: DataFrame, views: list[str]) -> DataFrame:
     """(qid, view, weight): the types' priors mixed by their probabilities, nudged by features, normalised over ``views``."""
     cells = [(t, v, w) for t, each in TYPE_PRIORS.items() for v, w in each.items()]
@@ -274,29 +280,110 @@ def top_overlap(hits: DataFrame, a: str, b: str, depth: int = 10) -> DataFrame:
     return hits.select("qid").distinct().join(both, "qid", "left").select("qid", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
-def fit_cells(features_: DataFrame, utilities: DataFrame, columns: list[str], cells: int = 6, alpha: float = 10.0) -> dict:
-    """A ridge regression per cell from query features to its utility, over the ``cells`` best on average; MLlib fits each."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    mean = utilities.groupBy("cell").agg(F.avg("ndcg").alias("m")).orderBy(F.desc("m"), "cell").limit(cells).collect()
-    rows = VectorAssembler(inputCols=columns, outputCol="x").transform(features_).select("qid", "x").join(utilities, "qid").persist()
-    count = max(1, features_.count())
-    fitted = {r["cell"]: LinearRegression(featuresCol="x", labelCol="ndcg", regParam=alpha / count, standardization=False).fit(rows.filter(F.col("cell") == r["cell"])) for r in mean}
-    return {"models": fitted, "fallback": mean[0]["cell"] if mean else None, "columns": columns}
-
-
-def predict_cells(model: dict, features_: DataFrame) -> DataFrame:
-    """(qid, cell): the cell with the best predicted utility."""
-    out = None
-    for cell, m in model["models"].items():
-        value = F.lit(float(m.intercept))
-        for c, w in zip(model["columns"], m.coefficients, strict=True):
-            value = value + F.col(c) * float(w)
-        one = features_.select("qid", F.lit(cell).alias("cell"), value.alias("utility"))
-        out = one if out is None else out.unionByName(one)
-    window = Window.partitionBy("qid").orderBy(F.desc("utility"), "cell")
-    return out.withColumn("r", F.row_number().over(window)).filter("r = 1").select("qid", "cell")
+STATS = ["top", "gap", "mean", "sd", "entropy", "n"]
+
+
+def weighting_features(typed: DataFrame, hits: DataFrame, views: list[str], depth: int = 10) -> DataFrame:
+    """(qid, x): one row per query for learned weights, an array of the parser's features, the type probabilities (mixed
+    last), six statistics of each view's scores and the overlap of each pair of views; 0 for what a query lacks."""
+    stats = score_stats(hits, depth).groupBy("qid").pivot("view", views).agg(*[F.first(c).alias(c) for c in STATS])
+    pairs = [(a, b) for i, a in enumerate(views) for b in views[i + 1 :]]
+    rows = typed.select("qid", "query_type", *FEATURES, *[f"p_{t}" for t in TYPES]).join(stats, "qid", "left")
+    first = hits.filter(F.col("view").isin(views) & (F.col("rank") <= depth)).groupBy("qid", "chunk_hash").agg(F.collect_set("view").alias("seen"))
+    both = first.groupBy("qid").agg(*[(F.sum((F.array_contains("seen", a) & F.array_contains("seen", b)).cast("int")) / float(depth)).alias(f"o_{i}") for i, (a, b) in enumerate(pairs)]) if pairs else first.select("qid").distinct()
+    rows = rows.join(both, "qid", "left")
+    parts = [*FEATURES, *[f"p_{t}" for t in TYPES]]
+    columns = [F.col(c) for c in parts] + [(F.col("query_type") == "mixed").cast("double")] + [F.col(f"`{v}_{c}`") for v in views for c in STATS] + [F.col(f"o_{i}") for i in range(len(pairs))]
+    return rows.select("qid", F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in columns]).alias("x"))
+
+
+class LearnedWeights:
+    """The cell of a weight grid for each query, by a regression per cell from ``weighting_features`` to its utility.
+
+    ``kind``: ``ridge`` (standardised, strength 10) or ``trees`` (boosted, small).  ``top_cells`` restricts the choice to the
+    cells that are best on average.  Without queries to learn from, the first cell."""
+
+    def __init__(self, kind: str = "ridge", top_cells: int = 6, alpha: float = 10.0):
+        self.kind, self.top_cells, self.alpha, self.models, self.fallback = kind, top_cells, alpha, {}, None
+
+    def _learner(self, n: int):
+        from pyspark.ml.regression import GBTRegressor, LinearRegression
+
+        if self.kind == "trees":
+            return GBTRegressor(featuresCol="v", labelCol="ndcg", maxIter=20, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=min(30, max(1, n // 4)), seed=0)
+        return LinearRegression(featuresCol="v", labelCol="ndcg", regParam=self.alpha / n, standardization=True, solver="normal")
+
+    def fit(self, features_: DataFrame, utilities: DataFrame) -> LearnedWeights:
+        """features_: (qid, x); utilities: (qid, cell, ndcg)."""
+        from pyspark.ml.functions import array_to_vector
+
+        mean = utilities.groupBy("cell").agg(F.avg("ndcg").alias("m")).orderBy(F.desc("m"), "cell").limit(self.top_cells or 1 << 20).collect()  # cells of the grid
+        rows = features_.select("qid", array_to_vector("x").alias("v")).join(utilities, "qid").persist()
+        n = max(1, features_.count())
+        self.fallback = mean[0]["cell"] if mean else None
+        self.models = {r["cell"]: self._learner(n).fit(rows.filter(F.col("cell") == r["cell"])) for r in mean}
+        rows.unpersist()
+        return self
+
+    def predict(self, features_: DataFrame) -> DataFrame:
+        """(qid, cell): the cell with the best predicted utility."""
+        from pyspark.ml.functions import array_to_vector
+
+        rows, out = features_.select("qid", array_to_vector("x").alias("v")), None
+        for cell, model in self.models.items():
+            one = model.transform(rows).select("qid", F.lit(cell).alias("cell"), F.col("prediction").alias("utility"))
+            out = one if out is None else out.unionByName(one)
+        if out is None:
+            return features_.select("qid", F.lit(self.fallback).alias("cell"))
+        window = Window.partitionBy("qid").orderBy(F.round("utility", PLACES).desc(), "cell")
+        return out.withColumn("r", F.row_number().over(window)).filter("r = 1").select("qid", "cell")
+
+    def weights(self, features_: DataFrame, grid: DataFrame) -> DataFrame:
+        """(qid, view, weight) for fusion."""
+        return self.predict(features_).join(grid, "cell").select("qid", "view", "weight")
+
+    def save(self, path: str) -> None:
+        from pyspark.sql import SparkSession
+
+        rows = [(i, cell, self.kind, self.fallback) for i, cell in enumerate(self.models)] or [(-1, None, self.kind, self.fallback)]
+        SparkSession.active().createDataFrame(rows, "i int, cell string, kind string, fallback string").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+        for i, model in enumerate(self.models.values()):
+            model.write().overwrite().save(f"{path}/{i}")
+
+    @classmethod
+    def load(cls, spark, path: str) -> LearnedWeights:
+        from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel
+
+        rows = spark.read.parquet(f"{path}/cells").orderBy("i").collect()
+        out = cls(rows[0]["kind"])
+        out.fallback = rows[0]["fallback"]
+        read = GBTRegressionModel if out.kind == "trees" else LinearRegressionModel
+        out.models = {r["cell"]: read.load(f"{path}/{r['i']}") for r in rows if r["i"] >= 0}
+        return out
+
+
+def cross_validated(features_: DataFrame, utilities: DataFrame, folds: int = 5, seed: int = 42, variants: tuple = (("ridge", 0), ("ridge", 3), ("ridge", 6), ("trees", 3), ("trees", 6))) -> list[dict]:
+    """Mean nDCG@10 of ways to choose a cell, each query by what was learnt from other folds: the best cell on average in
+    hindsight, the best of the other folds, learned variants (kind, top cells), and each query's best (the bound)."""
+    part = F.pmod(F.xxhash64(F.lit(seed), F.col("qid")), F.lit(folds))
+    x, u = features_.withColumn("fold", part).persist(), utilities.withColumn("fold", part).persist()
+    best = u.groupBy("cell").agg(F.avg("ndcg").alias("m")).agg(F.max("m")).first()[0]
+    out = [{"weighting": "best cell in hindsight", "ndcg_10": best}, {"weighting": "best of each query", "ndcg_10": u.groupBy("qid").agg(F.max("ndcg").alias("m")).agg(F.avg("m")).first()[0]}]
+    # the best cell of all other folds: sums over all minus those of the fold
+    sums = u.groupBy("fold", "cell").agg(F.sum("ndcg").alias("s"), F.count(F.lit(1)).alias("n"))
+    every = u.groupBy("cell").agg(F.sum("ndcg").alias("sum_all"), F.count(F.lit(1)).alias("n_all"))
+    rest = sums.join(every, "cell").withColumn("m", (F.col("sum_all") - F.col("s")) / F.greatest(F.col("n_all") - F.col("n"), F.lit(1)))
+    chosen = rest.withColumn("r", F.row_number().over(Window.partitionBy("fold").orderBy(F.round("m", PLACES).desc(), "cell"))).filter("r = 1").select("fold", "cell")
+    out.append({"weighting": "best cell of the other folds", "ndcg_10": u.join(chosen, ["fold", "cell"]).agg(F.avg("ndcg")).first()[0]})
+    for kind, top in variants:
+        picks = None
+        for k in range(folds):
+            model = LearnedWeights(kind, top).fit(x.filter(F.col("fold") != k).select("qid", "x"), u.filter(F.col("fold") != k).select("qid", "cell", "ndcg"))
+            one = model.predict(x.filter(F.col("fold") == k).select("qid", "x"))
+            picks = one if picks is None else picks.unionByName(one)
+        out.append({"weighting": f"learned, {kind}, {top or 'all'} cells", "kind": kind, "top_cells": top, "ndcg_10": u.join(picks, ["qid", "cell"]).agg(F.avg("ndcg")).first()[0]})
+    x.unpersist(), u.unpersist()
+    return out
 
 
 def reorder(reply: str, n: int) -> list[int]:

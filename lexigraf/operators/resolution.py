@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import language_of, symbol_id
+from ..session import stored
 
 #: A dotted ending that more files share names none of them.
 MOST_FILES = 3
@@ -109,8 +110,8 @@ def resolve_edges(defs: DataFrame, refs: DataFrame) -> DataFrame:
     named = defs.filter("symbol is not null").select(F.col("commit_id").alias("d_commit"), F.col("path").alias("d_file"), F.col("symbol").alias("d_symbol"))
     defined = named.distinct()
     known = modules(defs.select("commit_id", "path").distinct())
-    ties = bound(refs.filter("kind = 'imports'"), known)
-    asked = _questions(refs.filter("kind <> 'imports'"), ties)
+    ties = stored(bound(refs.filter("kind = 'imports'"), known), "ties")
+    asked = stored(_questions(refs.filter("kind <> 'imports'"), ties), "asked")
     key = ["commit_id", "path", "seq"]
     to = lambda scope: asked.filter(F.col("scope") == scope).drop("scope")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)

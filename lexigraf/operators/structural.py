@@ -15,36 +15,36 @@ from .lexical import PLACES
 
 # Names whose call is a trait, and the other traits.
 CALL_TRAITS = {
-    "sort": "sorted sort",
-    "heapq": "heappush heappop heapify nlargest nsmallest heappushpop",
-    "deque": "deque popleft appendleft",
-    "bisect": "bisect bisect_left bisect_right insort",
-    "gcd": "gcd lcm",
-    "counter": "Counter most_common",
-    "defaultdict": "defaultdict",
-    "memo": "lru_cache cache",
-    "combinatorics": "permutations combinations product accumulate combinations_with_replacement",
-    "string_ops": "split join strip replace find count startswith endswith",
-    "char_codes": "ord chr",
-    "set_ops": "set add discard union intersection",
-    "minmax": "min max",
-    "sum": "sum",
-    "abs": "abs",
-    "enumerate_zip": "enumerate zip",
-    "map_int": "map",
-    "sqrt": "sqrt isqrt ceil floor log log2",
-    "pow_mod": "pow",
-    "setrecursionlimit": "setrecursionlimit",
-    "regex": "match findall sub search compile fullmatch",
-    "stdout_write": "write",
-    "reversed": "reversed",
-    "dict_methods": "items keys values get setdefault",
+    "sort": ["sorted", "sort"],
+    "heapq": ["heappush", "heappop", "heapify", "nlargest", "nsmallest", "heappushpop"],
+    "deque": ["deque", "popleft", "appendleft"],
+    "bisect": ["bisect", "bisect_left", "bisect_right", "insort"],
+    "gcd": ["gcd", "lcm"],
+    "counter": ["Counter", "most_common"],
+    "defaultdict": ["defaultdict"],
+    "memo": ["lru_cache", "cache"],
+    "combinatorics": ["permutations", "combinations", "product", "accumulate", "combinations_with_replacement"],
+    "string_ops": ["split", "join", "strip", "replace", "find", "count", "startswith", "endswith"],
+    "char_codes": ["ord", "chr"],
+    "set_ops": ["set", "add", "discard", "union", "intersection"],
+    "minmax": ["min", "max"],
+    "sum": ["sum"],
+    "abs": ["abs"],
+    "enumerate_zip": ["enumerate", "zip"],
+    "map_int": ["map"],
+    "sqrt": ["sqrt", "isqrt", "ceil", "floor", "log", "log2"],
+    "pow_mod": ["pow"],
+    "setrecursionlimit": ["setrecursionlimit"],
+    "regex": ["match", "findall", "sub", "search", "compile", "fullmatch"],
+    "stdout_write": ["write"],
+    "reversed": ["reversed"],
+    "dict_methods": ["items", "keys", "values", "get", "setdefault"],
 }
-OTHER_TRAITS = (
-    "io_input io_stdin io_multitest io_grid print loop loop_nested2 loop_nested3 while_loop comprehension recursion multi_def class_def "
-    "lambda try_except global subscript_2d slice_reverse bit_ops floor_div float_div mod_const modulo dict_literal string_format "
-    "early_exit yield"
-).split()
+OTHER_TRAITS = [
+    "io_input", "io_stdin", "io_multitest", "io_grid", "print", "loop", "loop_nested2", "loop_nested3", "while_loop", "comprehension", "recursion",
+    "multi_def", "class_def", "lambda", "try_except", "global", "subscript_2d", "slice_reverse", "bit_ops", "floor_div", "float_div", "mod_const",
+    "modulo", "dict_literal", "string_format", "early_exit", "yield",
+]
 TRAITS = [*OTHER_TRAITS, *CALL_TRAITS]
 PATTERNS = {
     "mod_const": r"\b(?:1000000007|998244353|10\s*\*\*\s*9\s*\+\s*7|1e9\s*\+\s*7)\b",
@@ -52,7 +52,7 @@ PATTERNS = {
     "io_multitest": r"for\s+\w+\s+in\s+range\(\s*int\(\s*(?:input|sys\.stdin\.readline)\(\)|"
     r"(?m:^\s*(\w+)\s*=\s*int\(\s*(?:input|sys\.stdin\.readline)\(\)\s*\)\s*$(?=[\s\S]*(?:range\(\s*\1\s*\)|while\s+\1)))",
 }
-_BY_CALL = {name: trait for trait, names in CALL_TRAITS.items() for name in names.split()}
+_BY_CALL = {name: trait for trait, names in CALL_TRAITS.items() for name in names}
 _BINARY = {ast.BitAnd: "bit_ops", ast.BitOr: "bit_ops", ast.BitXor: "bit_ops", ast.LShift: "bit_ops", ast.RShift: "bit_ops", ast.FloorDiv: "floor_div", ast.Div: "float_div", ast.Mod: "modulo"}
 _PLAIN = {
     ast.ListComp: "comprehension", ast.SetComp: "comprehension", ast.DictComp: "comprehension", ast.GeneratorExp: "comprehension", ast.ClassDef: "class_def",
@@ -140,10 +140,33 @@ def traits_of(code: str) -> list[str]:
         walk.visit(ast.parse(code))
         found |= walk.found | ({"multi_def"} if walk.functions >= 2 else set())
     except (SyntaxError, ValueError, RecursionError):
-        pass
+        found |= _by_tokens(code)
     return sorted(found)
 
 
+_WORDS = {"for": "loop", "while": "loop", "class": "class_def", "lambda": "lambda", "try": "try_except", "global": "global", "yield": "yield"}
+_MARKS = {"&": "bit_ops", "|": "bit_ops", "^": "bit_ops", "<<": "bit_ops", ">>": "bit_ops", "//": "floor_div", "/": "float_div", "%": "modulo"}
+
+
+def _by_tokens(code: str) -> set[str]:
+    """What can be told of code that doesn't parse from its tokens alone: keywords, operators, imports and called names."""
+    found, before, defs = set(), "", 0
+    for m in re.finditer(r"(?P<skip>#[^\n]*|\"\"\".*?\"\"\"|\'\'\'.*?\'\'\'|\"(?:\\.|[^\"\\\n])*\"|\'(?:\\.|[^\'\\\n])*\')|(?P<name>[^\W\d]\w*)|(?P<mark><<|>>|//|[&|^/%])", code, re.S):
+        if m["mark"]:
+            found.add(_MARKS[m["mark"]])
+        elif name := m["name"]:
+            found |= {_WORDS[name]} if name in _WORDS else set()
+            found |= {"while_loop"} if name == "while" else set()
+            defs += name == "def"
+            if before in ("import", "from"):
+                found.add(f"imp:{name}")
+            elif re.match(r"\s*\(", code[m.end() : m.end() + 8]) and before not in ("def", "class"):
+                found |= {_BY_CALL[name]} if name in _BY_CALL and name != "write" else set()
+                found |= {{"input": "io_input", "print": "print", "exit": "early_exit", "quit": "early_exit", "format": "string_format"}.get(name, "")} - {""}
+            before = name
+    return found | ({"multi_def"} if defs > 1 else set()) | ({"io_stdin"} if "sys.stdin" in code else set())
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def traits_udf(code: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in code:
@@ -191,35 +214,31 @@ def rescore(pool: DataFrame, traits: DataFrame, weights: DataFrame) -> DataFrame
 
 
 class TraitModel:
-    """One logistic regression per trait from a query's words and word pairs (log-scaled tf-idf, unit length)."""
+    """One logistic regression per trait from a query's words and word pairs (log-scaled tf-idf of those that two queries
+    have, unit length).  Labels stay one long table (qid, trait); each fit reads its trait's rows by a join."""
 
-    def __init__(self, c: float = 1.0, features: int = 1 << 14):
-        self.c, self.features, self.models, self.idf = c, features, {}, None
-
-    def _stages(self):
-        from pyspark.ml import Pipeline
-        from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer
-
-        return Pipeline(stages=[
-            RegexTokenizer(inputCol="text", outputCol="one", pattern=r"\W+"), NGram(n=2, inputCol="one", outputCol="two"),
-            SQLTransformer(statement="SELECT *, concat(one, two) AS grams FROM __THIS__"),
-            HashingTF(inputCol="grams", outputCol="tf", numFeatures=self.features, binary=True), Normalizer(inputCol="tf", outputCol="x"),
-        ])
+    def __init__(self, c: float = 1.0, features: int = 1 << 16, least: int = 2):
+        self.c, self.features, self.least, self.models, self.prior = c, features, least, {}, {}
 
     def fit(self, queries: DataFrame, traits: DataFrame, names: list[str]) -> TraitModel:
         """queries (qid, text) with the traits (qid, trait) of what answers them."""
+        from pyspark.ml import Pipeline
         from pyspark.ml.classification import LogisticRegression
 
-        self.pipe = self._stages().fit(queries)
+        from .classify import tfidf_stages
+
+        self.pipe = Pipeline(stages=tfidf_stages("x", self.features, self.least)).fit(queries)
         rows = self.pipe.transform(queries).select("qid", "x").persist()
         n = rows.count()
-        self.prior = {r["trait"]: r["prior"] for r in priors(traits.withColumnRenamed("qid", "chunk_hash"), n, names).collect()}
-        have = {r["trait"]: set(r["ids"]) for r in traits.filter(F.col("trait").isin(names)).groupBy("trait").agg(F.collect_set("qid").alias("ids")).collect()}  # of the training queries
+        labels = traits.filter(F.col("trait").isin(names)).select("qid", "trait").distinct().persist()
+        counts = {r["trait"]: r["c"] for r in labels.groupBy("trait").agg(F.count(F.lit(1)).alias("c")).collect()}  # of the vocabulary
+        self.prior = {r["trait"]: r["prior"] for r in priors(labels.withColumnRenamed("qid", "chunk_hash"), n, names).collect()}
         for t in names:
-            ids = have.get(t, set())
-            if 0 < len(ids) < n:
-                labelled = rows.withColumn("label", F.col("qid").isin(sorted(ids)).cast("double"))
+            if 0 < counts.get(t, 0) < n:
+                have = labels.filter(F.col("trait") == t).select("qid", F.lit(1.0).alias("label"))
+                labelled = rows.join(have, "qid", "left").fillna(0.0, ["label"])
                 self.models[t] = LogisticRegression(featuresCol="x", regParam=1 / (self.c * n), standardization=False, maxIter=100).fit(labelled)
+        labels.unpersist(), rows.unpersist()
         return self
 
     def predict(self, queries: DataFrame) -> DataFrame:
@@ -236,3 +255,41 @@ class TraitModel:
             one = one.select("qid", F.lit(t).alias("trait"), F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), F.col("p"))).alias("p"), F.lit(prior).alias("prior"))
             out = one if out is None else out.unionByName(one)
         return out
+
+    def weights(self, queries: DataFrame) -> DataFrame:
+        """(qid, trait, weight) for ``rescore``."""
+        return llr(self.predict(queries)).select("qid", "trait", "weight")
+
+    def save(self, path: str) -> None:
+        from pyspark.sql import SparkSession
+
+        self.pipe.write().overwrite().save(f"{path}/words")
+        rows = [(t, p, t in self.models) for t, p in self.prior.items()]
+        SparkSession.active().createDataFrame(rows, "trait string, prior double, fitted boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/traits")
+        for t, model in self.models.items():
+            model.write().overwrite().save(f"{path}/model-{t.encode().hex()}")
+
+    @classmethod
+    def load(cls, spark, path: str) -> TraitModel:
+        from pyspark.ml import PipelineModel
+        from pyspark.ml.classification import LogisticRegressionModel
+
+        out, rows = cls(), spark.read.parquet(f"{path}/traits").collect()
+        out.pipe = PipelineModel.load(f"{path}/words")
+        out.prior = {r["trait"]: r["prior"] for r in rows}
+        out.models = {r["trait"]: LogisticRegressionModel.load(f"{path}/model-{r['trait'].encode().hex()}") for r in rows if r["fitted"]}
+        return out
+
+
+def train(queries: DataFrame, chunks: DataFrame, qrels: DataFrame, **how) -> TraitModel:
+    """A trait model from queries (qid, text), chunks (chunk_hash, text) and judgements (qid, doc_id, rel): a query's traits
+    are those of the chunks judged relevant for it that the corpus has.  Queries without any don't count."""
+    gold = qrels.filter("rel > 0").select("qid", F.col("doc_id").alias("chunk_hash")).distinct()
+    answered = gold.join(chunks.select("chunk_hash", "text"), "chunk_hash").persist()
+    mine = trait_rows(answered.select("chunk_hash", "text").dropDuplicates(["chunk_hash"])).persist()
+    traits = answered.select("qid", "chunk_hash").join(mine, "chunk_hash").select("qid", "trait").distinct()
+    asked = queries.join(answered.select("qid").distinct(), "qid", "left_semi").select("qid", "text").persist()
+    names = vocabulary(mine, answered.select("chunk_hash").distinct().count())
+    out = TraitModel(**how).fit(asked, traits, names)
+    answered.unpersist(), mine.unpersist(), asked.unpersist()
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Where a local session writes what it cuts lineage by, if it names no folder.
 LOCAL = "file:///tmp/checkpoints"
+_written: list[tuple[SparkSession, str]] = []
 
 
 def session(name: str = "lexigraf", **conf: str) -> SparkSession:
@@ -46,11 +48,25 @@ def stored(frame: DataFrame, tag: str = "step") -> DataFrame:
     frame.write.parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)
     out.stored_at = path
+    _written.append((spark, path))
     return out
 
 
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session may have ended; its folder is then the cluster's to clean
+            pass
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(frame: DataFrame) -> None:
     """Delete what ``stored`` wrote for a frame that nothing reads any more."""
-    spark = frame.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _delete(frame.sparkSession, frame.stored_at)
+    _written.remove((frame.sparkSession, frame.stored_at))

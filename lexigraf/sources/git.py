@@ -7,6 +7,8 @@ blobs dealt over ``partitions`` readers; suffix and size are tested before a blo
 
 from __future__ import annotations
 
+import os
+import re
 import subprocess
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -77,6 +79,40 @@ def oldest_first(repo: str, commits: list[str]) -> list[str]:
     return sorted(commits, key=lambda c: rank.get(c, -1))
 
 
+def commit_info(repo: str, commits: list[str]) -> dict[str, tuple[int, str]]:
+    """commit -> (timestamp, subject), some hundreds at a time."""
+    out: dict[str, tuple[int, str]] = {}
+    for i in range(0, len(commits), 500):
+        for row in lines(repo, "log", "--no-walk=unsorted", "--format=%H%x02%ct%x02%s", *commits[i : i + 500]):
+            commit, when, subject = row.split("\x02", 2)
+            out[commit] = (int(when), subject)
+    return out
+
+
+def is_ancestor(repo: str, a: str, b: str) -> bool:
+    return subprocess.run(["git", "-c", "safe.directory=*", "-C", repo, "merge-base", "--is-ancestor", a, b], capture_output=True).returncode == 0
+
+
+def is_repository(repo: str) -> bool:
+    return subprocess.run(["git", "-c", "safe.directory=*", "-C", repo, "rev-parse", "--git-dir"], capture_output=True).returncode == 0
+
+
+def first_commit(repo: str) -> str | None:
+    """The oldest root of all branches, or None without a commit."""
+    roots = lines(repo, "rev-list", "--max-parents=0", "--all")
+    return roots[-1] if roots else None
+
+
+def ignore(repo: str, folder: str) -> None:
+    """If the folder lies in the working tree, let Git ignore it."""
+    top = os.path.abspath(repo)
+    at = os.path.abspath(re.sub(r"^file:/*", "/", folder))
+    if at.startswith(f"{top}/"):
+        os.makedirs(at, exist_ok=True)
+        with open(f"{at}/.gitignore", "w") as f:
+            f.write("*\n")
+
+
 class _Blobs(InputPartition):
     def __init__(self, entries: list):
         super().__init__(None)
