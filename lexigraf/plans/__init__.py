@@ -1,9 +1,9 @@
 """The registered queries, one callable (spark, sf_dir) each, and their SQL."""
 
-from . import retrieval, versions, graphs, texts  # noqa: I001
+from . import retrieval, versions, graphs, texts, parts  # noqa: I001
 
-QUERIES = {**retrieval.QUERIES, **versions.QUERIES, **graphs.QUERIES, **texts.QUERIES}
-SQL = {**retrieval.SQL, **versions.SQL, **graphs.SQL, **texts.SQL}
+QUERIES = {**retrieval.QUERIES, **versions.QUERIES, **graphs.QUERIES, **texts.QUERIES, **parts.QUERIES}
+SQL = {**retrieval.SQL, **versions.SQL, **graphs.SQL, **texts.SQL, **parts.SQL}
 
 
 def flagship(spark, sf_dir):

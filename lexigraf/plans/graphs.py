@@ -1,4 +1,4 @@
-"""Queries of code graphs, over trade between nations and over literal sources."""
+"""Queries of code graphs, over trade between nations and over sources made of the suppliers."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, lexical, structural
 from ..operators.resolution import resolve_edges
-from ..sources.chunkers import spans
+from ..sources.chunkers import enclosing, spans
 from ..sources.references import references
 from .inputs import kept, table
 from .retrieval import six
@@ -26,9 +26,10 @@ def register(sql: str | None = None):
     return take
 
 
-#: Two customers' nations that each supplier's nation delivers most lines to; kinds alternate.
+#: Every nation's trade with every other one; kinds go round by the rank of the partner.
+KINDS = ["calls", "imports", "references", "inherits"]
 EDGES = """pairs AS (SELECT s_nationkey AS a, c_nationkey AS b, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey GROUP BY ALL),
-edges AS MATERIALIZED (SELECT 'n' || a AS src, 'n' || b AS dst, CASE r WHEN 1 THEN 'calls' ELSE 'imports' END AS kind, CASE r WHEN 1 THEN 1e0 ELSE 6e-1 END AS w FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM pairs) WHERE r <= 2)"""
+edges AS MATERIALIZED (SELECT 'n' || a AS src, 'n' || b AS dst, ['calls', 'imports', 'references', 'inherits'][CAST((r - 1) % 4 + 1 AS INT)] AS kind, [1e0, 6e-1, 5e-1, 8e-1][CAST((r - 1) % 4 + 1 AS INT)] AS w FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM pairs))"""
 
 
 def _edges(spark, sf_dir):
@@ -36,8 +37,8 @@ def _edges(spark, sf_dir):
     rows = li.join(su, F.expr("l_suppkey = s_suppkey")).join(o, F.expr("l_orderkey = o_orderkey")).join(c, F.expr("o_custkey = c_custkey")).filter("s_nationkey <> c_nationkey")
     pairs = rows.groupBy("s_nationkey", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("s_nationkey").orderBy(F.desc("n"), "c_nationkey")
-    top = pairs.withColumn("r", F.row_number().over(order)).filter("r <= 2")
-    return graph.clean_edges(top.select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"), F.when(F.expr("r = 1"), "calls").otherwise("imports").alias("kind")))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), ((F.row_number().over(order) - 1) % 4 + 1).cast("int"))
+    return graph.clean_edges(pairs.select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"), kind.alias("kind")))
 
 
 def edges(spark, sf_dir):
@@ -76,20 +77,43 @@ def graph_in_out_degree(spark, sf_dir):
     return graph.degrees(edges(spark, sf_dir))
 
 
-#: A small repository in the query's own words.
-FILES = {
-    "app/config.py": "import json\n\n\ndef load(path):\n    return json.loads(open(path).read())\n\n\nclass Settings:\n    def get(self, key):\n        return load(key)\n",
-    "app/main.py": "from .config import Settings, load\n\n\nclass App(Settings):\n    def run(self):\n        return self.get('x')\n\n\ndef main():\n    load('a')\n    return App().run()\n",
-    "web/util.ts": "export function twice(x: number): number {\n  return x * 2;\n}\n\nexport class Base {\n  size() {\n    return 1;\n  }\n}\n",
-    "web/view.ts": "import { twice, Base } from './util';\n\nexport class View extends Base {\n  draw() {\n    return twice(this.size());\n  }\n}\n",
-    "srv/main.go": "package main\n\nimport \"example.com/x/store\"\n\nfunc Run() int {\n\treturn store.Open()\n}\n",
-    "store/open.go": "package store\n\nfunc Open() int {\n\treturn helper()\n}\n\nfunc helper() int {\n\treturn 1\n}\n",
-}
-SPAN = "path string, symbol string, kind string, start_line int, end_line int"
+#: A repository made of the suppliers: twenty to a file, files in turn Python, TypeScript and Go.  Each supplier is a
+#: function that calls the next one of its file, the last that of the next file of its language.
+NEXT = "CASE WHEN (k + 1) // 20 = k // 20 THEN k + 1 ELSE k + 41 END"
+SUPPLIERS = f"""s0 AS (SELECT s_suppkey AS k, s_suppkey // 20 AS f, row_number() OVER (PARTITION BY s_suppkey // 20 ORDER BY s_suppkey) - 1 AS i FROM supplier),
+s AS (SELECT a.k, a.f, a.i, CAST(a.f % 3 AS INT) AS l, b.k AS t, b.f AS tf FROM (SELECT *, {NEXT} AS nxt FROM s0) a LEFT JOIN s0 b ON b.k = a.nxt),
+c AS (SELECT *, CASE l WHEN 0 THEN 'pkg/m' || f || '.py' WHEN 1 THEN 'web/m' || f || '.ts' ELSE 'srv/m' || f || '/a.go' END AS path, CASE l WHEN 2 THEN 'S' ELSE 's' END || k AS symbol,
+      CASE l WHEN 0 THEN 'pkg/m' || tf || '.py' WHEN 1 THEN 'web/m' || tf || '.ts' ELSE 'srv/m' || tf || '/a.go' END AS tpath, CASE l WHEN 2 THEN 'S' ELSE 's' END || t AS tsymbol,
+      CAST(4 + 3 * i AS INT) AS start_line, CAST(CASE l WHEN 0 THEN 5 ELSE 6 END + 3 * i AS INT) AS end_line FROM s)"""
+
+
+def files(spark, sf_dir):
+    """(path, content) of that repository."""
+    k, f = F.col("k"), F.col("f")
+    window = Window.partitionBy("f").orderBy("k")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), F.expr("cast(s_suppkey as bigint) div 20").alias("f"))
+    told = rows.withColumn("next", F.when(F.expr("(k + 1) div 20") == f, k + 1).otherwise(k + 41))
+    told = told.join(rows.select(F.col("k").alias("t"), F.col("f").alias("tf")), F.expr("next = t"), "left").withColumns({"i": F.row_number().over(window), "lang": f % 3})
+    far = F.col("t").isNotNull() & (F.col("tf") != f)
+    called = F.when(F.col("t").isNull(), "1")
+    function = (
+        F.when(F.expr("lang = 0"), F.concat(F.lit("def s"), k, F.lit("():\n    return "), F.coalesce(called, F.concat(F.lit("s"), "t", F.lit("()"))), F.lit("\n\n")))
+        .when(F.expr("lang = 1"), F.concat(F.lit("export function s"), k, F.lit("(): number {\n  return "), F.coalesce(called, F.concat(F.lit("s"), "t", F.lit("()"))), F.lit(";\n}\n")))
+        .otherwise(F.concat(F.lit("func S"), k, F.lit("() int {\n\treturn "), F.coalesce(called, F.when(far, F.concat(F.lit("m"), "tf", F.lit(".S"), "t", F.lit("()"))), F.concat(F.lit("S"), "t", F.lit("()"))), F.lit("\n}\n")))
+    )
+    imported = (
+        F.when(F.expr("lang = 0"), F.concat(F.lit("from pkg.m"), "tf", F.lit(" import s"), "t"))
+        .when(F.expr("lang = 1"), F.concat(F.lit("import { s"), "t", F.lit(" } from './m"), "tf", F.lit("';")))
+        .otherwise(F.concat(F.lit('import "example.com/x/srv/m'), "tf", F.lit('"')))
+    )
+    grouped = told.withColumns({"body": function, "head": F.when(far, imported)}).groupBy("f", "lang").agg(F.array_sort(F.collect_list(F.struct("i", "body"))).alias("bodies"), F.max("head").alias("head"))  # twenty to a file
+    none = F.when(F.expr("lang = 0"), "import os").when(F.expr("lang = 1"), "const zero = 0;").otherwise('import "fmt"')
+    first = F.when(F.expr("lang = 2"), F.concat(F.lit("package m"), f, F.lit("\n"), F.coalesce("head", none), F.lit("\n\n"))).otherwise(F.concat(F.coalesce("head", none), F.lit("\n\n\n")))
+    path = F.when(F.expr("lang = 0"), F.concat(F.lit("pkg/m"), f, F.lit(".py"))).when(F.expr("lang = 1"), F.concat(F.lit("web/m"), f, F.lit(".ts"))).otherwise(F.concat(F.lit("srv/m"), f, F.lit("/a.go")))
+    return grouped.select(path.alias("path"), F.concat(first, F.array_join(F.transform("bodies", lambda b: b["body"]), "")).alias("content"))
 
 
-def files(spark):
-    return spark.createDataFrame(list(FILES.items()), "path string, content string")
+SPAN = "path string, symbol string, kind string, start_line int, end_line int"
 
 
 def chunk_rows(sources):
@@ -112,38 +136,34 @@ def reference_rows(sources):
     return sources.mapInPandas(run, "path string, symbol string, kind string, target string, local string, seq int")
 
 
-CHUNK_VALUES = """SELECT * FROM (VALUES ('app/config.py', 'load', 'function', 4, 5), ('app/config.py', 'Settings', 'class', 8, 10), ('app/main.py', 'App', 'class', 4, 6), ('app/main.py', 'main', 'function', 9, 11),
-('web/util.ts', 'twice', 'function', 1, 3), ('web/util.ts', 'Base', 'class', 5, 5), ('web/util.ts', 'Base.size', 'method', 6, 8), ('web/view.ts', 'View', 'class', 3, 3), ('web/view.ts', 'View.draw', 'method', 4, 6),
-('srv/main.go', 'Run', 'function', 5, 7), ('store/open.go', 'Open', 'function', 3, 5), ('store/open.go', 'helper', 'function', 7, 9)) t(path, symbol, kind, start_line, end_line)"""
-
-
-@register(CHUNK_VALUES)
+@register(f"WITH {SUPPLIERS} SELECT path, symbol, 'function' AS kind, start_line, end_line FROM c")
 def source_chunks(spark, sf_dir):
-    return chunk_rows(files(spark))
+    return chunk_rows(files(spark, sf_dir))
 
 
-@register("""SELECT * FROM (VALUES ('app/config.py', 'app/config.py::load', 'defines'), ('app/config.py', 'app/config.py::Settings', 'defines'), ('app/main.py', 'app/main.py::App', 'defines'), ('app/main.py', 'app/main.py::main', 'defines'),
-('app/main.py', 'app/config.py::Settings', 'imports'), ('app/main.py', 'app/config.py::load', 'imports'), ('app/main.py::App', 'app/config.py::Settings', 'inherits'), ('app/main.py::App', 'app/config.py::Settings', 'references'), ('app/main.py::main', 'app/config.py::load', 'calls'), ('app/main.py::main', 'app/main.py::App', 'calls'),
-('app/config.py::Settings', 'app/config.py::load', 'calls'),
-('web/util.ts', 'web/util.ts::twice', 'defines'), ('web/util.ts', 'web/util.ts::Base', 'defines'), ('web/util.ts', 'web/util.ts::Base.size', 'defines'), ('web/view.ts', 'web/view.ts::View', 'defines'), ('web/view.ts', 'web/view.ts::View.draw', 'defines'),
-('web/view.ts', 'web/util.ts::twice', 'imports'), ('web/view.ts', 'web/util.ts::Base', 'imports'), ('web/view.ts::View', 'web/util.ts::Base', 'inherits'), ('web/view.ts::View.draw', 'web/util.ts::twice', 'calls'),
-('srv/main.go', 'srv/main.go::Run', 'defines'), ('store/open.go', 'store/open.go::Open', 'defines'), ('store/open.go', 'store/open.go::helper', 'defines'), ('srv/main.go', 'store/open.go', 'imports'), ('srv/main.go::Run', 'store/open.go::Open', 'calls'), ('store/open.go::Open', 'store/open.go::helper', 'calls')) t(src, dst, kind)""")
+@register(f"""WITH {SUPPLIERS} SELECT path AS src, path || '::' || symbol AS dst, 'defines' AS kind FROM c
+UNION ALL SELECT path || '::' || symbol, tpath || '::' || tsymbol, 'calls' FROM c WHERE t IS NOT NULL
+UNION ALL SELECT path, CASE l WHEN 2 THEN tpath ELSE tpath || '::' || tsymbol END, 'imports' FROM c WHERE tf <> f""")
 def source_references_graph(spark, sf_dir):
-    sources = files(spark)
-    defs = chunk_rows(sources).select(F.lit("c").alias("commit_id"), "path", F.when(F.col("kind") != "file", F.col("symbol")).alias("symbol"), "start_line")
+    sources = files(spark, sf_dir)
+    defs = chunk_rows(sources).select(F.lit("c").alias("commit_id"), "path", F.when(F.col("kind") != "file", F.col("symbol")).alias("symbol"))
     return resolve_edges(defs, reference_rows(sources).withColumn("commit_id", F.lit("c"))).select("src", "dst", "kind")
 
 
-@register(f"""WITH c AS ({CHUNK_VALUES}), lines AS (SELECT path, unnest(range(1, 12)) AS line FROM (SELECT DISTINCT path FROM c)),
-r AS (SELECT l.path, line, symbol, row_number() OVER (PARTITION BY l.path, line ORDER BY end_line - start_line, start_line) AS k FROM lines l JOIN c ON c.path = l.path AND line BETWEEN start_line AND end_line)
-SELECT path, line, symbol FROM r WHERE k = 1""")
+@register(f"""WITH {SUPPLIERS}, n AS (SELECT path, l, max(end_line) AS last FROM c GROUP BY ALL), lines AS (SELECT path, CAST(unnest(range(1, last + 1)) AS INT) AS line FROM n)
+SELECT lines.path, line, symbol FROM lines LEFT JOIN c ON c.path = lines.path AND line BETWEEN start_line AND end_line""")
 def line_enclosing_symbol(spark, sf_dir):
-    """A range join: lines with the shortest chunk that covers them."""
-    chunks = chunk_rows(files(spark)).filter("kind <> 'file'")
-    lines = chunks.select("path").distinct().select("path", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(11).cast("long"))).alias("line"))
-    covered = lines.join(chunks, "path").filter("line between start_line and end_line")
-    window = Window.partitionBy("path", "line").orderBy(F.expr("end_line - start_line"), "start_line")
-    return covered.withColumn("k", F.row_number().over(window)).filter("k = 1").select("path", "line", "symbol")
+    """Each line up to a file's last chunk with the symbol of the shortest chunk that covers it, if any."""
+
+    def run(parts):
+        for part in parts:
+            rows = []
+            for p, c in zip(part["path"], part["content"], strict=True):
+                found = spans(p, c)
+                rows += [(p, line, enclosing(found, line)) for line in range(1, max(s.end_line for s in found) + 1)]
+            yield pd.DataFrame(rows, columns=["path", "line", "symbol"])
+
+    return files(spark, sf_dir).mapInPandas(run, "path string, line int, symbol string")
 
 
 PATTERNS = {"has_digit": "[0-9]", "has_pipe": "[|]", "has_line": "\\n", "has_shout": "[A-Z]{4}"}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, plain_tokens, split_identifier, unit
+from ..functions.text import plain_tokens, split_identifier
 from ..operators import dense, evaluation, fusion, lexical, query, rank
 from .inputs import CHUNKS, HITS, QRELS, chunks, hits, qrels, queries, sql_bm25, sql_code, sql_plain, table, vectors
 
@@ -42,8 +42,8 @@ def bm25_code_tokens_topk(spark, sf_dir):
 @register(f"""WITH {CHUNKS}, dterm AS (SELECT chunk_hash, unnest({sql_plain('text')}) AS term FROM chunks)
 SELECT term, count(DISTINCT chunk_hash) AS df, count(*) AS cf FROM dterm GROUP BY 1""")
 def token_df_stats(spark, sf_dir):
-    rows = chunks(spark, sf_dir).select("chunk_hash", F.explode(plain_tokens("text")).alias("term"))
-    return rows.groupBy("term", "chunk_hash").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    index = lexical.index_chunks(chunks(spark, sf_dir), tokens=plain_tokens)
+    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 NAMES = ["parseHTTPResponse_v2", "read_file", "XMLHttpRequest", "snake_case_name", "A1B2", "__init__", "getURLs", "x", "HTTP2Server", "camelCase"]
@@ -117,7 +117,7 @@ def fuse_zscore_weighted(spark, sf_dir):
     return _emit(fusion.weighted(hits(spark, sf_dir), fusion.weights_frame(spark, WEIGHTS), "zscore"))
 
 
-@register(f"WITH {HITS} SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.chunk_hash, b.chunk_hash) AS chunk_hash, round(a.raw, 6) AS lexical, round(b.raw, 6) AS semantic FROM (SELECT * FROM hits WHERE view = 'lexical') a FULL JOIN (SELECT * FROM hits WHERE view = 'semantic') b ON a.qid = b.qid AND a.chunk_hash = b.chunk_hash")
+@register(f"WITH {HITS} SELECT qid, chunk_hash, round(max(CASE WHEN view = 'lexical' THEN raw END), 6) AS lexical, round(max(CASE WHEN view = 'semantic' THEN raw END), 6) AS semantic FROM hits GROUP BY ALL")
 def full_outer_view_scores(spark, sf_dir):
     return fusion.view_scores(hits(spark, sf_dir), ["lexical", "semantic"]).select("qid", "chunk_hash", six("lexical"), six("semantic"))
 
@@ -243,12 +243,3 @@ def hybrid_pipeline_flagship(spark, sf_dir):
 def dense_native_topk(spark, sf_dir):
     """The column-expression form of the dense search: the query vectors against all."""
     return dense.search_native(*_vectors(spark, sf_dir), 10).select("qid", "chunk_hash", six("raw", "score"), "rank")
-
-
-@register(r"""WITH q AS (SELECT vec_id, embedding[1:64] AS v FROM embeddings WHERE vec_id % 50 = 0)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) / greatest(sqrt(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(a.v AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.v AS DOUBLE[]), CAST(b.v AS DOUBLE[]))), 1e-12), 6) AS cosine FROM q a, q b WHERE a.vec_id < b.vec_id""")
-def dense_native_pairs(spark, sf_dir):
-    """The column-expression form of the dense score, among the query vectors."""
-    q = _vectors(spark, sf_dir)[0].select(F.col("qid"), unit("vector").alias("v"))
-    a, b = q.select(F.col("qid").alias("a"), F.col("v").alias("x")), q.select(F.col("qid").alias("b"), F.col("v").alias("y"))
-    return a.join(b, F.expr("a < b")).select("a", "b", F.round(dot("x", "y"), 6).alias("cosine"))

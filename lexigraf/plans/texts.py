@@ -129,13 +129,20 @@ def rule_weights(spark, sf_dir):
 
 @register()
 def query_decompose(spark, sf_dir):
-    return query.decompose(query.parse(_questions(spark)))
+    """The sub-queries of all passages and of questions of every shape."""
+    return query.decompose(query.parse(_all(spark, sf_dir)))
 
 
-@register("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'both', 'calls'), (2, 'both', 'all'), (3, 'both', 'all'), (4, 'both', 'all'), (5, 'both', 'all'), (6, 'both', 'all'), (7, 'in', 'calls'), (8, 'both', 'all')) t(qid, direction, kinds)""")
+def _sql_asked() -> str:
+    return FEATURES.split(",\n    a AS (")[0]
+
+
+@register(f"""WITH {_sql_asked()}, t AS (SELECT qid, lower(text) AS low, regexp_matches(text, '{graph.INCOMING}') AS inward, regexp_matches(regexp_replace(text, '{graph.INCOMING}', ' ', 'g'), '{graph.OUTGOING}') AS outward FROM q)
+SELECT qid, CASE WHEN inward AND NOT outward THEN 'in' WHEN outward AND NOT inward THEN 'out' ELSE 'both' END AS direction,
+       CASE WHEN contains(low, 'import') THEN 'imports' WHEN contains(low, 'inherit') OR contains(low, 'subclass') THEN 'inherits' WHEN contains(low, 'call') OR contains(low, 'invok') THEN 'calls' ELSE 'all' END AS kinds FROM t""")
 def query_direction_kinds(spark, sf_dir):
     kinds = graph.kinds_for(F.col("text"))
-    return _questions(spark).select("qid", graph.direction_for(F.col("text")).alias("direction"), F.when(F.size(kinds) == len(graph.EDGE_WEIGHTS), "all").otherwise(F.array_join(kinds, ",")).alias("kinds"))
+    return _all(spark, sf_dir).select("qid", graph.direction_for(F.col("text")).alias("direction"), F.when(F.size(kinds) == len(graph.EDGE_WEIGHTS), "all").otherwise(F.array_join(kinds, ",")).alias("kinds"))
 
 
 @register(r"""SELECT doc_id, md5(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^$', '')) AS key FROM documents""")

@@ -101,12 +101,13 @@ def lineage_dedup_target(spark, sf_dir):
     return out.select("qid", "chunk_hash", "lineage_id", "version_id", six("score"), "rank")
 
 
-@register("""SELECT o_custkey AS lineage_id, string_agg(strftime(o_orderdate, '%Y-%m-%d') || ':' || o_orderkey || ':' || o_orderstatus, '>' ORDER BY o_orderdate, o_orderkey) AS history FROM orders GROUP BY 1""")
+@register(f"""WITH n AS (SELECT {LINE} AS lineage_id, 'v' || (doc_id % 4) AS version_id, CASE WHEN doc_id % 2 = 0 THEN 'modified' ELSE 'added' END AS change_type, 'd' || doc_id AS symbol_id FROM documents)
+SELECT lineage_id, string_agg(version_id || ':' || change_type || ':' || symbol_id, '>' ORDER BY CASE version_id WHEN 'v3' THEN 4 ELSE CAST(substr(version_id, 2) AS INT) END, version_id, change_type, symbol_id) AS history FROM n WHERE lineage_id IS NOT NULL GROUP BY 1""")
 def lineage_history(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    entry = F.struct("o_orderdate", "o_orderkey", F.concat_ws(":", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderkey", "o_orderstatus").alias("e"))
-    rows = o.groupBy(F.col("o_custkey").alias("lineage_id")).agg(F.array_sort(F.collect_list(entry)).alias("h"))
-    return rows.select("lineage_id", F.array_join(F.transform("h", lambda x: x["e"]), ">").alias("history"))
+    d = table(spark, sf_dir, "documents").filter(_line().isNotNull())
+    nodes = d.select(_line().alias("lineage_id"), F.concat(F.lit("v"), F.col("doc_id") % 4).alias("version_id"), F.when(F.col("doc_id") % 2 == 0, "modified").otherwise("added").alias("change_type"), F.concat(F.lit("d"), "doc_id").alias("symbol_id"))
+    rows = rank.lineage_history(nodes, _ranks(spark))
+    return rows.select("lineage_id", F.array_join(F.transform("history", lambda x: F.concat_ws(":", x["version_id"], x["change_type"], x["symbol_id"])), ">").alias("history"))
 
 
 def _sql_tokens(text: str) -> str:
