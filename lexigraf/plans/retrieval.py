@@ -183,7 +183,29 @@ def rerank_depth_tail(spark, sf_dir):
     return _emit(rank.rerank(fusion.rrf(hits(spark, sf_dir)), pairs, 20, 0.25))
 
 
-@register()
+#: (chunk_hash, v): the chunks' vectors as lists.
+DENSE_VECTORS = "dvec AS MATERIALIZED (SELECT chunk_hash, list_transform(range(64), lambda i: coalesce(map_extract_value(m, i), 0e0)) AS v FROM (SELECT chunk_hash, map_from_entries(list((slot, x))) AS m FROM dv GROUP BY 1))"
+
+
+def sql_mmr(source: str, out: str, k: int = 20) -> str:
+    """CTEs (recursive) that give ``out`` (qid, chunk_hash, score, rank) from (qid, chunk_hash, score, rank): one document moves over a step."""
+    item = "struct_pack(rank := {0}.rank, chunk_hash := {0}.chunk_hash, rel := {0}.rel, v := {0}.v, near := {1})"
+    dot = "coalesce(list_dot_product(x.v, open[p].v), 0e0)"
+    return f"""
+    {out}_h AS (SELECT qid, chunk_hash, score, rank, v, min(score) OVER w AS lo, max(score) OVER w AS hi, count(*) OVER w AS n FROM {source} LEFT JOIN dvec USING (chunk_hash) WHERE rank <= {k} WINDOW w AS (PARTITION BY qid)),
+    {out}_g AS (SELECT *, CASE WHEN lo >= 0 AND hi > 0 THEN score / hi WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1e0 END AS rel FROM {out}_h),
+    {out}_r AS (SELECT qid, any_value(n) AS n, 0 AS step, CAST([] AS VARCHAR[]) AS taken, list({item.format(out + '_g', '0e0')} ORDER BY rank) AS open FROM {out}_g WHERE n > 2 GROUP BY qid
+      UNION ALL SELECT qid, n, step + 1, list_append(taken, open[p].chunk_hash), list_transform(list_filter(open, lambda x: x.rank <> open[p].rank), lambda x: {item.format('x', f'CASE WHEN step = 0 THEN {dot} ELSE greatest(x.near, {dot}) END')})
+      FROM (SELECT *, list_position(w, list_max(w)) AS p FROM (SELECT *, list_transform(open, lambda x: 7e-1 * x.rel - 3e-1 * x.near) AS w FROM {out}_r WHERE len(open) > 0))),
+    {out}_o AS (SELECT qid, unnest(taken) AS chunk_hash, unnest(range(1, len(taken) + 1)) AS rank, taken[1] AS first FROM {out}_r WHERE len(open) = 0),
+    {out}_t AS (SELECT o.qid, o.chunk_hash, g.score - (o.rank - 1) * 1e-4 AS score, o.rank FROM {out}_o o JOIN {out}_g g ON g.qid = o.qid AND g.chunk_hash = o.first UNION ALL SELECT qid, chunk_hash, score, rank FROM {out}_g WHERE n <= 2),
+    {out} AS (SELECT * FROM {out}_t UNION ALL SELECT s.qid, s.chunk_hash, f.floor - (s.rank - {k}) * 1e-4, s.rank FROM {source} s JOIN (SELECT qid, min(score) AS floor FROM {out}_t GROUP BY 1) f USING (qid) WHERE s.rank > {k})"""
+
+
+PLACED = "placed AS MATERIALIZED (SELECT qid, chunk_hash, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_hash) AS rank FROM fused)"
+
+
+@register(f"WITH RECURSIVE {HITS}, {RRF}, {PLACED}, {DENSE_VECTORS}, {sql_mmr('placed', 'mmr')} SELECT qid, chunk_hash, round(score, 6) AS score, rank FROM mmr")
 def mmr_rerank(spark, sf_dir):
     return _emit(rank.mmr(fusion.rrf(hits(spark, sf_dir)), vectors(spark, sf_dir)))
 
@@ -228,6 +250,21 @@ def conversation_queries_topk(spark, sf_dir):
     return lexical.search_chunks(chunks(spark, sf_dir), turns, 10).select("qid", "chunk_hash", six("raw", "score"), "rank")
 
 
+def _flagship_sql() -> str:
+    """The passages' adaptive weights, weighted fusion, reranking and diversity."""
+    from .texts import TYPED, _sql_weight
+
+    views = ["lexical", "semantic"]
+    return f"""WITH RECURSIVE {TYPED}, wt AS (SELECT qid - 100 AS qid, {", ".join(f"({_sql_weight(v)}) AS w_{v}" for v in views)} FROM p WHERE qid >= 100), {HITS},
+    val AS (SELECT *, CASE WHEN max(raw) OVER w > min(raw) OVER w THEN (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) ELSE 1e0 END AS value FROM hits WINDOW w AS (PARTITION BY qid, view)),
+    flo AS (SELECT qid, view, min(value) AS floor FROM val GROUP BY ALL), grid AS (SELECT c.qid, c.chunk_hash, f.view, f.floor FROM (SELECT DISTINCT qid, chunk_hash FROM hits) c JOIN flo f USING (qid)),
+    fused AS (SELECT g.qid, g.chunk_hash, sum(coalesce(v.value, g.floor) * CASE g.view WHEN 'lexical' THEN w_lexical ELSE w_semantic END / (w_lexical + w_semantic)) AS score FROM grid g JOIN wt USING (qid) LEFT JOIN val v USING (qid, chunk_hash, view) GROUP BY ALL), {PLACED},
+    head AS (SELECT p.qid, p.chunk_hash, coalesce(h.raw * 5e-1 + p.score * 5e-1, p.score) AS score FROM placed p LEFT JOIN (SELECT * FROM hits WHERE view = 'semantic') h USING (qid, chunk_hash) WHERE p.rank <= 20),
+    low AS (SELECT qid, min(score) AS floor FROM head GROUP BY 1), done AS (SELECT * FROM head UNION ALL SELECT qid, chunk_hash, floor - (rank - 20) * 1e-3 FROM placed JOIN low USING (qid) WHERE rank > 20),
+    again AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_hash) AS rank FROM done), {DENSE_VECTORS}, {sql_mmr('again', 'mmr')}
+    SELECT qid, chunk_hash, round(score, 6) AS score, rank FROM mmr WHERE rank <= 10"""
+
+
 @register()
 def hybrid_pipeline_flagship(spark, sf_dir):
     """First stage, adaptive weights, fusion, reranking and diversity in one plan over all passages."""

@@ -127,16 +127,35 @@ def rule_weights(spark, sf_dir):
     return out.select("qid", "view", six("weight"))
 
 
-@register()
+def _sql_asked() -> str:
+    return FEATURES.split(",\n    a AS (")[0]
+
+
+def _decompose_sql() -> str:
+    """Whole queries; sections of those with input or output; clauses and names of the others.  Conditions are sentences."""
+    q = lambda p: p.replace("'", "''")
+    section, names = query.SECTION, " || ".join(f"regexp_extract_all(text, '{p}', 1)" for p in (query.BACKTICK, query.CALLED, *query.NAMES))
+    strip = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    part = lambda n: strip(f"array_to_string(list_transform(list_filter(list_zip(sec, bodies[2:]), lambda z: z[1] = '{n}'), lambda z: z[2]), chr(10))")
+    words = lambda c: f"len(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> ''))"
+    row = lambda cond, what, facet, order: f"SELECT qid, {order} AS o, 0 AS i, {what} AS text, '{facet}' AS facet FROM d WHERE {cond}"
+    return f"""{_sql_asked()}, a AS (SELECT qid, text, regexp_split_to_array(text, '{q(section)}') AS bodies, list_transform(regexp_extract_all(text, '{q(section)}', 1), lambda x: lower(x)) AS sec,
+      list_filter({names}, lambda n: NOT regexp_full_match(n, '[\\d.]+')) AS all_ids,
+      list_transform(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\n'), lambda s: regexp_matches(s, '{q(query.CONSTRAINT)}') OR regexp_matches(s, '{q(query.CONDITION)}')), lambda s: trim(s)) AS conds FROM q),
+    b AS (SELECT *, list_filter(all_ids, lambda x, i: list_position(all_ids, x) = i) AS ids, list_filter(conds, lambda x, i: list_position(conds, x) = i)[1:20] AS cs, list_filter(regexp_split_to_array(text, '{q(query.CLAUSE)}'), lambda c: {words("c")} >= 3) AS clauses FROM a),
+    d AS (SELECT *, list_contains(sec, 'input') OR list_contains(sec, 'output') AS io, {strip("bodies[1]")} AS statement, {part("input")} AS inp, {part("output")} AS outp, array_to_string(list_filter(cs, lambda c: len(c) < 300), ' ') AS cond FROM b),
+    r AS ({row("true", "text", "full", 0)} UNION ALL {row("io AND statement <> '' AND statement <> text", "statement", "core", 1)} UNION ALL {row("io AND inp <> ''", "inp", "input", 2)} UNION ALL {row("io AND outp <> ''", "outp", "output", 3)}
+      UNION ALL {row("io AND cond <> ''", "cond", "constraints", 4)} UNION ALL SELECT qid, 5, unnest(range(len(clauses))), unnest(clauses), 'clause' FROM d WHERE NOT io AND len(clauses) > 1
+      UNION ALL {row(f"NOT io AND len(ids) > 0 AND {words('text')} > len(ids) * 3", "array_to_string(ids, ' ')", "identifier", 6)})
+    SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY o, i) - 1 AS sub, text, facet, CASE facet {" ".join(f"WHEN '{f}' THEN {w!r}e0" for f, w in query.FACETS.items())} END AS weight FROM r"""
+
+
+@register("WITH " + _decompose_sql())
 def query_decompose(spark, sf_dir):
     """The sub-queries of all passages and of questions of every shape."""
     return query.decompose(query.parse(_all(spark, sf_dir)))
 
 
-def _sql_asked() -> str:
-    return FEATURES.split(",\n    a AS (")[0]
-
-
 @register(f"""WITH {_sql_asked()}, t AS (SELECT qid, lower(text) AS low, regexp_matches(text, '{graph.INCOMING}') AS inward, regexp_matches(regexp_replace(text, '{graph.INCOMING}', ' ', 'g'), '{graph.OUTGOING}') AS outward FROM q)
 SELECT qid, CASE WHEN inward AND NOT outward THEN 'in' WHEN outward AND NOT inward THEN 'out' ELSE 'both' END AS direction,
        CASE WHEN contains(low, 'import') THEN 'imports' WHEN contains(low, 'inherit') OR contains(low, 'subclass') THEN 'inherits' WHEN contains(low, 'call') OR contains(low, 'invok') THEN 'calls' ELSE 'all' END AS kinds FROM t""")
