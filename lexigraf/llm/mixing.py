@@ -8,8 +8,7 @@ clamped.
 Every document is then taken floor(target / source size) times, and a seeded part of them
 once more: in the order of md5(id:seed) as long as the running size stays within what is
 left of the target, then up to ``FILL`` documents, each the largest that still fits, and
-then, again in that order, every document that still fits.  ``op3_mixing`` ends after the
-``FILL`` documents, as its SQL does.
+then, again in that order, every document that still fits.
 The running size needs no source in one task: sums of 4,096 hash buckets are run up
 first, and only the bucket that the limit falls in is read row by row.  Going on past a
 document that doesn't fit is a pass of the same kind over what is behind it and fits.  The outcome is a
@@ -56,10 +55,10 @@ def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: s
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(source_col).alias("_source"), size.alias("_size"), key.alias("_key"))
 
 
-def mixing_plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col="doc_id", text_col="text", source_col="source", go_on: bool = True) -> DataFrame:
+def mixing_plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
     """One row per source: source, source_size, target, whole (repetitions of all its documents), and which
     are taken once more: those in hash buckets up to ``upto``, with keys up to ``cut``, in ``extra``, or in one of the
-    ``passes``; without ``go_on`` there are none of these."""
+    ``passes``."""
     rows = store(_keyed(docs, seed, id_col, text_col, source_col).select("_source", "_size", "_key"), "mix")
     plan = targets(rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")), weights, max_epochs)
     plan = store(
@@ -98,7 +97,7 @@ def mixing_plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
     none = F.filter(F.array(F.struct(F.col("_rest").alias("most"), F.col("cut").alias("after"), F.col("cut").alias("until"))), lambda x: F.lit(False))
     state = state.withColumn("passes", none).withColumn("_after", F.when(F.lit(False), F.col("cut"))).withColumn("_open", F.col("_rest") > 0)
     fits = (F.col("_size") > 0) & (F.col("_size") <= F.col("_rest")) & (F.col("_after").isNull() | (F.col("_key") > F.col("_after")))
-    while go_on and not state.filter("_open").isEmpty():
+    while not state.filter("_open").isEmpty():
         # what was passed over is longer than what is left, so only what is behind the last that did not fit can follow
         rows = store(rows.join(state.filter("_open"), same).filter(~_again() & fits).select("_source", "_size", "_key"), "fits")
         sums = rows.groupBy("_source", bucket).agg(F.sum("_size").alias("_sum")).withColumn("_run", F.sum("_sum").over(run))
@@ -154,7 +153,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = mixed(docs, mixing_plan(docs, go_on=False))  # the SQL ends there
+    rows = mixed(docs, mixing_plan(docs))
     return rows.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -176,6 +175,10 @@ b AS (SELECT *, run <= lft AS i0 FROM a),
 c AS (SELECT *, lft - sum(CASE WHEN i0 THEN size ELSE 0 END) OVER (PARTITION BY source) AS r0 FROM b),
 e AS (SELECT *, i0 OR (NOT i0 AND size > 0 AND size <= r0 AND 1 = row_number() OVER (PARTITION BY source, NOT i0 AND size > 0 AND size <= r0 ORDER BY -size, h, doc_id, r)) AS i1 FROM c),
 f AS (SELECT *, lft - sum(CASE WHEN i1 THEN size ELSE 0 END) OVER (PARTITION BY source) AS r1 FROM e),
-g AS (SELECT *, i1 OR (NOT i1 AND size > 0 AND size <= r1 AND 1 = row_number() OVER (PARTITION BY source, NOT i1 AND size > 0 AND size <= r1 ORDER BY -size, h, doc_id, r)) AS i2 FROM f)
-SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN i2 THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM g
+g AS (SELECT *, i1 OR (NOT i1 AND size > 0 AND size <= r1 AND 1 = row_number() OVER (PARTITION BY source, NOT i1 AND size > 0 AND size <= r1 ORDER BY -size, h, doc_id, r)) AS i2 FROM f),
+-- in order, every document that still fits: a fold over what is left of each source
+k AS (SELECT source, list_reduce(list_prepend(struct_pack(rest := CAST(any_value(lft) - sum(CASE WHEN i2 THEN size ELSE 0 END) AS BIGINT), size := CAST(0 AS BIGINT), got := CAST([] AS BIGINT[])),
+        list(struct_pack(rest := CAST(0 AS BIGINT), size := size, got := [r]) ORDER BY h, doc_id, size) FILTER (NOT i2 AND size > 0)),
+        lambda a, b: CASE WHEN b.size <= a.rest THEN struct_pack(rest := a.rest - b.size, size := a.size, got := list_concat(a.got, b.got)) ELSE a END).got AS got FROM g GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN i2 OR list_contains(got, r) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM g JOIN k ON g.source IS NOT DISTINCT FROM k.source
 """
