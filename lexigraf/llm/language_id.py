@@ -13,7 +13,7 @@ that is above the language's threshold: the mean over calibration texts (one in
 plus ``SHORT`` nats divided by the text's length, since short texts vary more.
 
 The sample holds at most about ``SAMPLE`` texts of each language, the least by a hash of
-the id; texts in it are read whole.  Null texts and texts without a letter are ``und``
+id and text; texts in it are read whole.  Null texts and texts without a letter are ``und``
 with score 0, and rejected.  Without any labelled text all are.  Repeated rows are
 treated alike; other columns pass.  Languages are no more than ``LANGUAGES``; more raise
 an error rather than being dropped.
@@ -191,20 +191,20 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
     span, cut = 1 << 30, F.lit(None).cast("long")
     for r in counts:  # a threshold on a hash keeps about ``sample`` rows of each language
         cut = F.when(F.col(label_col) == r[0], F.lit(min(span, math.ceil(span * sample / r["count"])))).otherwise(cut)
-    hashed = F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(span))
-    rows = labelled.filter(hashed < cut).select(label_col, text_col, F.pmod(F.xxhash64(F.lit(6), F.col(id_col)), F.lit(CALIBRATE)).alias("part")).collect()
-    fitted: dict[str, list[str]] = {r[0]: [] for r in counts}
+    hashed = F.pmod(F.xxhash64(F.lit(5), F.col(id_col), F.col(text_col)), F.lit(span))
+    part = F.pmod(F.xxhash64(F.lit(6), F.col(id_col), F.col(text_col)), F.lit(CALIBRATE))
+    rows = labelled.filter(hashed < cut).select(label_col, text_col, (part > 0).alias("fits")).collect()
+    by_language: dict[str, tuple[list[str], list[str]]] = {}
     for r in rows:
-        if r["part"]:
-            fitted[r[0]].append(r[1])
-    model = fit({k: v for k, v in fitted.items() if v})
+        by_language.setdefault(r[0], ([], []))[r["fits"]].append(r[1])
+    # a language with too few texts for both has all of them fitted, and is calibrated on the same
+    model = fit({k: fits or apart for k, (apart, fits) in by_language.items()})
     costs: dict[str, list] = {x: [] for x in model.languages}
-    for r in rows:
-        if r[0] in costs and (not r["part"] or not any(not x["part"] for x in rows if x[0] == r[0])):
-            codes, offs = codes_of(pa.array([r[1]], pa.string()))
-            cost, chars = entropies(model, codes, offs)
+    for name, (apart, fits) in by_language.items():
+        for text in apart if apart and fits else [*apart, *fits]:
+            cost, chars = entropies(model, *codes_of(pa.array([text], pa.string())))
             if chars[0] > 20:
-                costs[r[0]].append(cost[0, model.languages.index(r[0])])
+                costs[name].append(cost[0, model.languages.index(name)])
     model.limits = np.array([(np.mean(costs[x]) if costs[x] else -model.floor) + MARGIN for x in model.languages])
     return model
 
