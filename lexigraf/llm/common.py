@@ -173,11 +173,15 @@ HOT = 2048
 
 def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """``rows`` joined with one row per key of ``groups``, whose column ``size`` counts the key's rows among ``total``.
-    Keys with many rows meet theirs by a broadcast of at most ``2 * HOT`` rows, so that none fills a task."""
-    hot = groups.filter(F.col(size) > max(32, total // HOT))
-    mark = hot.select(key, F.lit(True).alias("_hot"))
-    told = rows.join(F.broadcast(mark), key, "left")
-    return told.filter("_hot").drop("_hot").join(F.broadcast(hot), key).unionByName(told.filter("_hot is null").drop("_hot").join(groups, key))
+    Keys with many rows meet theirs by a broadcast of at most ``2 * HOT`` rows; in the join for the others these rows are
+    dealt by a hash of the whole row, where they meet nothing, so that no key fills a task."""
+    found = [c for c in groups.columns if c != key]
+    hot = groups.filter(F.col(size) > max(32, total // HOT)).select(key, F.struct(*found).alias("_hot"))
+    zero = F.lit(0).cast("long")
+    told = rows.join(F.broadcast(hot), key, "left").withColumn("_near", F.when(F.col("_hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(zero))
+    cold = groups.select(F.col(key).alias("_key"), F.struct(*found).alias("_cold"), zero.alias("_at"))
+    met = told.join(cold, (F.col(key) == F.col("_key")) & (F.col("_near") == F.col("_at")), "left").withColumn("_met", F.coalesce("_hot", "_cold"))
+    return met.select(*rows.columns, *[F.col(f"_met.{c}").alias(c) for c in found])
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
