@@ -74,3 +74,26 @@ def test_entropies_equal_the_chain_of_probabilities():
         for j in range(2):
             want = -sum(chance(model, told[max(1, i - model.order + 1) : i], told[i], j) for i in range(1, len(told)))
             assert cost[0, j] * chars[0] == pytest.approx(want, rel=1e-4)
+
+
+def test_quality_of_awkward_rows(spark, docs):
+    """Null, empty and very long texts, repeated ids, and labels of one class only."""
+    rows = [(1, None, None, None, None), (2, "", None, None, 0), (3, "good words here", None, None, 1), (3, "good words here", None, None, 1), (4, "bad*** ***", None, None, 1), (5, "good words " * 40_000, None, None, 1), (None, "no id", None, None, 1)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    both = spark.createDataFrame([(1, 0), (3, 1), (3, 1), (4, 0), (5, 1)], "doc_id long, quality int")
+    got = quality.score(frame, quality.train(frame, both, "quality")).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    for one in (0, 1):
+        model = quality.train(frame, both.filter(f"quality = {one}"), "quality")
+        assert {r["score"] >= 0.5 for r in quality.score(frame, model).collect()} == {one == 1}
+
+
+def test_languages_with_few_texts_keep_a_model(spark):
+    """One text of a language is enough for a model, whichever side of the calibration it falls on; repeated rows are treated alike."""
+    for k in range(8):
+        rows = [(i, "abcab bcabc cabca " * 3, "xx", None, 1) for i in range(20)] + [(100 + k, "vwxyz zyxwv wxyzv vwzyx", "yy", None, 1)] * (1 + k % 2)
+        docs = spark.createDataFrame(rows, SCHEMA)
+        model = language_id.train(docs)
+        assert model.languages == ["xx", "yy"]
+        got = [(r["lang_pred"], r["score"]) for r in language_id.identify(docs, model).collect() if r["doc_id"] >= 100]
+        assert len(set(got)) == 1 and got[0][0] == "yy" and len(got) == 1 + k % 2

@@ -63,3 +63,13 @@ def test_minimax_search_at_several_scales(spark, monkeypatch):
         cuts = sharding.minimax_cuts(frame, ends[-1], max(sizes), shards)
         assert len(cuts) <= shards and cuts[-1] == ends[-1] and set(cuts) <= set(ends)
         assert max(np.diff([0, *cuts])) == least_capacity(sizes, shards)
+
+
+def test_sharding_of_awkward_tables(spark, docs, clashing, empty):
+    plain = sorted(map(repr, (tuple(r) for r in sharding.shard_documents(docs, 4).collect())))
+    assert sorted(map(repr, (tuple(r) for r in sharding.shard_documents(clashing, 4).collect()))) == plain
+    assert sharding.shard_documents(empty).count() == 0
+    # one text holds a third of all rows, and all of them stay together
+    hot = spark.createDataFrame([(i, "the same" if i % 3 == 0 else f"other {i}", None, "a", 1) for i in range(300)], docs.schema)
+    got = sharding.shard_documents(hot, 5).collect()
+    assert len({r["shard"] for r in got if r["doc_id"] % 3 == 0}) == 1 and len(got) == 300

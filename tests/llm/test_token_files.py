@@ -1,5 +1,6 @@
 """Token files."""
 
+import random
 import zlib
 
 import numpy as np
@@ -40,3 +41,29 @@ def test_token_files_round_trip(spark, docs, rows, empty, tmp_path):
         token_files.read_document(fs, f"{base}/{name}", b"other", 0)
     other = f"file://{tmp_path}/none"
     assert token_files.read_tokens(token_files.write_tokens(empty, TOKENIZER, other), other).count() == 0
+
+
+def test_token_files_of_clashing_columns(spark, docs, clashing, tmp_path):
+    outs = []
+    for name, frame in (("a", docs), ("b", clashing)):
+        folder = f"file://{tmp_path}/{name}"
+        outs.append(sorted(repr(tuple(r)) for r in token_files.read_tokens(token_files.write_tokens(frame, TOKENIZER, folder), folder).collect()))
+    assert outs[0] == outs[1]
+
+
+def test_new_words_are_learnt_as_the_tokenizer_cuts_them():
+    """Random words of letters, digits, marks, line ends and other scripts, alone and in batches, with a small cache."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    whole, enc = Tokenizer.from_file(TOKENIZER), token_files.Encoder(TOKENIZER, 0)
+    parts = ["ab", "Zü", "é", "9", "42", ".", ",", "***", "'s", "'", "\n", "\n\n", "\t", "-", "ß", "中文", "ﬁ", "ª", "²", "…", "Ж", "\u0301", "_", "x\u00a0y"]
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randrange(0, 5))) for _ in range(rng.randrange(1, 12))) for _ in range(800)]
+    want = [np.array([*whole.encode(t, add_special_tokens=False).ids, 0], enc.kind).tobytes() for t in texts]
+    assert enc.many(texts) == want and [enc(t) for t in texts] == want
+    small = token_files.Encoder(TOKENIZER, 0)
+    token_files.CACHED, kept = 50, token_files.CACHED
+    try:
+        assert [x for i in range(0, 800, 10) for x in small.many(texts[i : i + 10])] == want
+    finally:
+        token_files.CACHED = kept
