@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dot, plain_tokens, unit
 from ..session import spread
-from .lexical import PLACES, top
+from .lexical import ARROW, best_of, top
 
 #: Queries of one block: with 1,024 dimensions 32 MB.  Queries and documents of one product: 4 MB.
 BLOCK, SLICE, DOCUMENTS = 4096, 256, 2048
@@ -28,19 +28,6 @@ def search_native(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame
     return top(scored, k).select("qid", "chunk_hash", F.lit("semantic").alias("view"), "raw", "rank")
 
 
-def best_of(s: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the ``k`` greatest of each row, of equal ones those first in ``order``."""
-    k = min(k, s.shape[1])
-    least = np.partition(s, -k, axis=1)[:, -k]
-    row, column = np.nonzero(s >= least[:, None] - 1e-9)
-    many = np.bincount(row, minlength=len(s)) > k
-    keep = ~many[row]
-    extra = [column[row == r][np.lexsort((order[column[row == r]], -np.round(s[r, column[row == r]], PLACES)))[:k]] for r in np.flatnonzero(many)]
-    if extra:
-        return np.concatenate((row[keep], np.repeat(np.flatnonzero(many), k))), np.concatenate((column[keep], *extra))
-    return row, column
-
-
 def search(queries: DataFrame, documents: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """hits of the view ``semantic``: (qid, vector) against (chunk_hash, vector).  A batch of documents meets ``SLICE``
     queries at a time, and no more than ``k`` documents of a batch leave it for a query, whatever their scores."""
@@ -66,17 +53,13 @@ def search(queries: DataFrame, documents: DataFrame, k: int, block: int = BLOCK)
                     for a in range(0, len(q), SLICE):
                         s = q[a : a + SLICE] @ d.T
                         row, column = best_of(s, order, k)
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[a + r] for r in row.tolist()], _arrow(kind[0])), names.take(pa.array(column)), pa.array(s[row, column])], ["qid", "chunk_hash", "raw"])
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[a + r] for r in row.tolist()], ARROW[kind[0]]), names.take(pa.array(column)), pa.array(s[row, column])], ["qid", "chunk_hash", "raw"])
 
         one = documents.select("chunk_hash", "vector").mapInArrow(run, f"qid {kind[0]}, chunk_hash {kind[1]}, raw double")
         found = one if found is None else found.union(one)
     return top(found, k).select("qid", "chunk_hash", F.lit("semantic").alias("view"), "raw", "rank")
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def normalize(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 

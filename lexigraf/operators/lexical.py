@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,23 @@ K1, B = 1.2, 0.75
 PLACES = 9
 
 
+#: Types of query ids that workers give back.
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def best_of(s: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` greatest of each row, of equal ones those first in ``order``."""
+    k = min(k, s.shape[1])
+    least = np.partition(s, -k, axis=1)[:, -k]
+    row, column = np.nonzero(s >= least[:, None] - 1e-9)
+    many = np.bincount(row, minlength=len(s)) > k
+    keep = ~many[row]
+    extra = [column[row == r][np.lexsort((order[column[row == r]], -np.round(s[r, column[row == r]], PLACES)))[:k]] for r in np.flatnonzero(many)]
+    if extra:
+        return np.concatenate((row[keep], np.repeat(np.flatnonzero(many), k))), np.concatenate((column[keep], *extra))
+    return row, column
+
+
 @dataclass
 class LexicalIndex:
     postings: DataFrame  # term, chunk_hash, tf, dl
@@ -90,10 +110,100 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = 100, tokens=code_te
     return top(scores(index, query_terms(queries, tokens), k1, b), k).select("qid", "chunk_hash", F.lit("lexical").alias("view"), "raw", "rank")
 
 
+#: Queries of one block, and chunks that meet it at a time.
+BLOCK, CHUNKS_AT_ONCE = 256, 512
+
+
+def _counted(listed: DataFrame, terms: list[str]) -> DataFrame:
+    """(chunk_hash, dl, ids, tfs): how often each of the asked terms stands in a chunk (chunk_hash, tokens), by its place in ``terms``."""
+    held = listed.sparkSession.sparkContext.broadcast(terms)  # at most MOST_TERMS
+
+    def run(batches):
+        known, n = pa.array(held.value, pa.string()), len(held.value)
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), sizes)[at >= 0]
+            key, tf = np.unique(row.astype(np.int64) * n + at[at >= 0], return_counts=True)
+            cuts = pa.array(np.searchsorted(key, np.arange(batch.num_rows + 1) * n), pa.int32())
+            ids, tfs = (pa.ListArray.from_arrays(cuts, pa.array(x, pa.int32())) for x in (key % max(n, 1), tf))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), ids, tfs], ["chunk_hash", "dl", "ids", "tfs"])
+
+    kind = dict(listed.dtypes)["chunk_hash"]
+    return listed.mapInArrow(run, f"chunk_hash {kind}, dl int, ids array<int>, tfs array<int>")
+
+
+def _block_hits(counted: DataFrame, block: list[tuple], df: np.ndarray, n: int, avgdl: float, k: int, k1: float, b: float, plus_one: bool, qid: str) -> DataFrame:
+    """(qid, chunk_hash, raw): each batch's best ``k`` chunks of a block of queries (qid, term's place, qtf), as a matrix product."""
+    names = list(dict.fromkeys(q for q, _, _ in block))
+    used = np.array(sorted({t for _, t, _ in block}), np.int64)
+    row = {q: i for i, q in enumerate(names)}
+    weight = np.zeros((len(names), len(used)))
+    for q, t, qtf in block:
+        d = df[t]
+        weight[row[q], np.searchsorted(used, t)] = qtf * np.log(1 + (n - d + 0.5) / (d + 0.5))
+    column = np.full(len(df), -1, np.int64)
+    column[used] = np.arange(len(used))
+    held = counted.sparkSession.sparkContext.broadcast((names, weight, column))  # BLOCK queries
+
+    def run(batches):
+        names, weight, column = held.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, CHUNKS_AT_ONCE):
+                batch = whole.slice(start, CHUNKS_AT_ONCE)
+                sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+                at = column[batch.column(2).flatten().to_numpy(zero_copy_only=False)]
+                tf = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                doc = np.repeat(np.arange(batch.num_rows), sizes)
+                length = 1 - b + b * batch.column(1).to_numpy(zero_copy_only=False) / avgdl
+                part = tf * (k1 + 1 if plus_one else 1.0) / (tf + k1 * length[doc])
+                grid = np.zeros((len(column[column >= 0]), batch.num_rows))
+                grid[at[at >= 0], doc[at >= 0]] = part[at >= 0]
+                s = weight @ grid
+                order = np.empty(batch.num_rows, np.int64)
+                order[np.array(pc.sort_indices(batch.column(0)))] = np.arange(batch.num_rows)
+                r, c = best_of(s, order, k)
+                good = s[r, c] > 0
+                r, c = r[good], c[good]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in r.tolist()], ARROW[qid]), batch.column(0).take(pa.array(c)), pa.array(s[r, c])], ["qid", "chunk_hash", "raw"])
+
+    kind = dict(counted.dtypes)["chunk_hash"]
+    return counted.mapInArrow(run, f"qid {qid}, chunk_hash {kind}, raw double")
+
+
+def _hits_of(chunks: DataFrame, asked: DataFrame, k: int, tokens, k1: float, b: float, plus_one: bool) -> DataFrame:
+    """(qid, chunk_hash, raw) that hold each query's best ``k``, from one pass over the texts; only counts of asked terms are
+    kept, no posting is shuffled, and a batch of chunks sends on no more than ``k`` for a query.  With more terms than
+    ``MOST_TERMS`` postings are joined instead."""
+    qid = dict(asked.dtypes)["qid"]
+    asked = asked.persist()
+    if asked.select("term").distinct().count() > MOST_TERMS or qid not in ARROW or asked.isEmpty():
+        return scores(index_chunks(chunks, tokens=tokens, only=asked), asked, k1, b, plus_one)
+    terms = sorted(r[0] for r in asked.select("term").distinct().collect())
+    place = {t: i for i, t in enumerate(terms)}
+    listed = spread(chunks.select("chunk_hash", "text")).select("chunk_hash", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    counted = _counted(listed, terms).persist()
+    found = counted.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("df")).collect()  # at most MOST_TERMS
+    df = np.zeros(len(terms))
+    for r in found:
+        df[r["id"]] = r["df"]
+    sums = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.greatest("dl", F.lit(1))), F.lit(0)).alias("total")).first()
+    avgdl = sums["total"] / sums["n"] if sums["total"] else 1.0
+    blocks = -(-asked.select("qid").distinct().count() // BLOCK)
+    out = None
+    for i in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).select("qid", "term", "qtf").collect()  # a block of the query set
+        if rows:
+            one = _block_hits(counted, [(r[0], place[r[1]], r[2]) for r in rows], df, sums["n"], avgdl, k, k1, b, plus_one, qid)
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def search_chunks(chunks: DataFrame, queries: DataFrame, k: int = 100, tokens=code_terms, k1: float = K1, b: float = B) -> DataFrame:
-    """``search`` over texts without an index: only the postings of the queries' terms are made."""
-    asked = query_terms(queries, tokens).persist()
-    return top(scores(index_chunks(chunks, tokens=tokens, only=asked), asked, k1, b), k).select("qid", "chunk_hash", F.lit("lexical").alias("view"), "raw", "rank")
+    """``search`` over texts without an index."""
+    hits = _hits_of(chunks, query_terms(queries, tokens), k, tokens, k1, b, False)
+    return top(hits, k).select("qid", "chunk_hash", F.lit("lexical").alias("view"), "raw", "rank")
 
 
 def search_baseline(index: LexicalIndex, queries: DataFrame, k: int = 10, ties: tuple[str, ...] = ("chunk_hash",)) -> DataFrame:
@@ -103,8 +213,7 @@ def search_baseline(index: LexicalIndex, queries: DataFrame, k: int = 10, ties:
 
 def search_baseline_chunks(chunks: DataFrame, queries: DataFrame, k: int = 10, ties: tuple[str, ...] = ("chunk_hash",)) -> DataFrame:
     """The same over texts without an index."""
-    asked = query_terms(queries, plain_tokens, False).persist()
-    return top(scores(index_chunks(chunks, tokens=plain_tokens, only=asked), asked, plus_one=True), k, ties=ties)
+    return top(_hits_of(chunks, query_terms(queries, plain_tokens, False), k, plain_tokens, K1, B, True), k, ties=ties)
 
 
 def score_all(index: LexicalIndex, query: DataFrame) -> DataFrame:

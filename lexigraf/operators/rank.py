@@ -121,11 +121,11 @@ def mmr(fused: DataFrame, features: DataFrame, lam: float = 0.7, k: int = 20, st
 
     order = F.aggregate(F.sequence(F.lit(1), F.size("rows")), start, take)["taken"]
     small = F.size("rows") < 3
-    placed = listed.select("qid", small.alias("small"), F.posexplode(F.when(small, F.col("left")).otherwise(order)).alias("i", "r"))
-    first = Window.partitionBy("qid").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    score = F.when(F.col("small"), F.col("r.score")).otherwise(F.first("r.score").over(first) - F.col("i") * step)
+    done = listed.select("qid", small.alias("small"), F.when(small, F.col("left")).otherwise(order).alias("rows")).persist()  # ``k`` rows of each query, folded once
+    placed = done.select("qid", "small", F.col("rows")[0]["score"].alias("first"), F.posexplode("rows").alias("i", "r"))
+    score = F.when(F.col("small"), F.col("r.score")).otherwise(F.col("first") - F.col("i") * step)
     top = placed.select("qid", F.col("r.chunk_hash").alias("chunk_hash"), score.alias("score"), (F.col("i") + 1).cast("long").alias("rank"))
-    floors = listed.select("qid", F.when(small, low).otherwise(F.get(F.transform(order, lambda r: r["score"]), F.lit(0)) - (F.size("rows") - 1) * step).alias("floor"))
+    floors = top.groupBy("qid").agg(F.min("score").alias("floor"))
     tail = fused.filter(F.col("rank") > k).join(floors, "qid").select("qid", "chunk_hash", (F.col("floor") - (F.col("rank") - k) * step).alias("score"), "rank")
     return top.unionByName(tail)
 
