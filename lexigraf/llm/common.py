@@ -179,8 +179,10 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int
     hot = groups.filter(F.col(size) > max(32, total // HOT)).select(key, F.struct(*found).alias("_hot"))
     zero = F.lit(0).cast("long")
     told = rows.join(F.broadcast(hot), key, "left").withColumn("_near", F.when(F.col("_hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(zero))
-    cold = groups.select(F.col(key).alias("_key"), F.struct(*found).alias("_cold"), zero.alias("_at"))
-    met = told.join(cold, (F.col(key) == F.col("_key")) & (F.col("_near") == F.col("_at")), "left").withColumn("_met", F.coalesce("_hot", "_cold"))
+    # one key of both parts: apart, the constant would leave only the other to deal rows by
+    told = told.withColumn("_key", F.struct(F.col(key).alias("k"), F.col("_near").alias("n")))
+    cold = groups.select(F.struct(F.col(key).alias("k"), zero.alias("n")).alias("_key"), F.struct(*found).alias("_cold"))
+    met = told.join(cold, "_key", "left").withColumn("_met", F.coalesce("_hot", "_cold"))
     return met.select(*rows.columns, *[F.col(f"_met.{c}").alias(c) for c in found])
 
 
