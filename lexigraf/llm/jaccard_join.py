@@ -7,15 +7,18 @@ same words in the same order are one class of copies, represented by the least i
 Each representative gets ``TREES`` keys of ``DEPTH`` MinHash values.  A tree's keys, dealt
 by range and sorted, are its prefix trie in order: representatives that share a prefix
 stand side by side, whatever the number of them, so a large group spreads over tasks.
-Prefixes are shortened from ``DEPTH`` until the measured recall reaches ``RECALL``: a
-sample of representatives meets all texts by brute force, and for each pair at the
-threshold the longest prefix that it shares in any tree tells at which lengths it is
-found.  The mean over the sample's texts counts, so that a large group weighs as one text.
-Where the sample has fewer than ``ENOUGH`` texts with a partner, the length is the longest
-by which a pair exactly at the threshold meets with probability ``RECALL``.  At the full
-length such a pair meets with 0.988, the others with more.  Runs with the
-same prefix are tied to their first member, and the components of these ties are the
-candidate sets: linear in size where pairs would be quadratic.
+Prefixes have the longest length by which a pair exactly at the threshold meets with
+probability ``RECALL``.  Runs with the same prefix are tied to their first member, and the
+components of these ties are the candidate sets: linear in size where pairs would be
+quadratic.
+
+What the forest does not bring together is found exactly, so no link depends on chance or
+on a sample.  All shingles have one order: first those whose slot in a table of counts over
+all texts is lower, then by hash.  Two sets of which one holds n shingles and that reach
+the threshold share one of the first n - ceil(SIMILARITY n) + 1 of each.  These first
+shingles of all texts meet; of those that stand in different candidate sets, pairs are
+formed, and sets are joined where a pair's shared first shingles and all that may follow
+them suffice for the threshold.  The counts decide only what that costs.
 
 Candidate sets are verified in units of at most two blocks of about ``BLOCK``
 representatives, one unit for each pair of blocks, so no set is gathered in one task.
@@ -31,16 +34,19 @@ table gives an empty result; other columns don't matter.
 from __future__ import annotations
 
 import functools
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, key_filter, maybe_in, mixed, pieces, prepare, store, table, texts_of, utf8_of, width
+from .common import components, join_hot, key_filter, maybe_in, mixed, pieces, prepare, store, table, texts_of, utf8_of, width
 
 WORDS, SIMILARITY, TREES, DEPTH, RECALL, BLOCK, PIECE, COLUMNS = 5, 0.8, 24, 8, 0.999, 512, 1 << 17, 4096
-#: Texts by which recall is measured, of at most so many shingles; those with a partner that it needs; bits of a filter.
+#: log2 of the slots of the table of counts; the parts it is added up in; first shingles that a worker sorts at a time.
+SLOTS, PARTS, SORTED = 21, 64, 1 << 20
+#: For reports on the forest alone: texts by which recall is measured, of at most so many shingles; those with a partner that it needs; bits of a filter.
 SAMPLE, SHORT, ENOUGH, BITS = 256, 2048, 30, 22
 BASE, STEP, NONE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, -(1 << 63)
 
@@ -114,6 +120,15 @@ def prefix_depth(trees: int, depth: int, similarity: float, recall: float) -> in
     return depth
 
 
+def class_key(words: np.ndarray, offs: np.ndarray, base: int) -> np.ndarray:
+    """A hash of each text's words in their order."""
+    count = np.diff(offs)
+    inside = np.arange(len(words)) - np.repeat(offs[:-1], count)
+    most = int(count.max()) if len(count) else 0
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(words + np.uint64(base)) * powers(base, most)[inside])))
+    return (sums[offs[1:]] - sums[offs[:-1]]).view(np.int64)
+
+
 def _digest(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     """Per document: _id, words' hashes c1 and c2 (the class of copies), number of shingles, signature."""
 
@@ -122,13 +137,7 @@ def _digest(docs: DataFrame, trees: int, depth: int) -> DataFrame:
             texts = texts_of(batch.column(1))
             for a, b in pieces(texts, PIECE):
                 words, offs = words_of(texts.slice(a, b - a))
-                count = np.diff(offs)
-                inside = np.arange(len(words)) - np.repeat(offs[:-1], count)
-                most = int(count.max()) if len(count) else 0
-                c = []
-                for base in (BASE, STEP):
-                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(words + np.uint64(base)) * powers(base, most)[inside])))
-                    c.append((sums[offs[1:]] - sums[offs[:-1]]).view(np.int64))
+                c = [class_key(words, offs, base) for base in (BASE, STEP)]
                 shingles, at = shingles_of(words, offs)
                 sig = signatures(shingles, at, trees * depth)
                 yield pa.RecordBatch.from_arrays(
@@ -250,6 +259,150 @@ def _ties(keys: DataFrame, length: int) -> DataFrame:
     return found.filter("k is null").select("a", "b").union(across).filter("a <> b")
 
 
+def needed(n, similarity: float):
+    """The least number of shingles that a set of n shares with any that reaches the threshold."""
+    return np.maximum(1, np.ceil(similarity * n - 1e-5)).astype(np.int64)
+
+
+def _levels(rows: DataFrame) -> np.ndarray:
+    """For each slot of the shingles' first bits the bits that the number of shingles of all texts in it takes."""
+
+    def count(batches):
+        total, held, waiting = np.zeros(1 << SLOTS, np.int64), [], 0
+
+        def add():
+            nonlocal held, waiting
+            if held:
+                total[:] += np.bincount(np.concatenate(held), minlength=1 << SLOTS)
+            held, waiting = [], 0
+
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            for a, b in pieces(texts, PIECE):
+                shingles, _ = shingles_of(*words_of(texts.slice(a, b - a)))
+                held.append((shingles >> np.uint64(64 - SLOTS)).astype(np.int64))
+                waiting += len(shingles)
+                if waiting > SORTED:
+                    add()
+        add()
+        parts = [(k, c.astype("<u4").tobytes()) for k, c in enumerate(np.split(np.minimum(total, (1 << 32) - 1), PARTS)) if c.any()]
+        packed = [zlib.compress(c, 1) for _, c in parts]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
+
+    def add_up(batches):
+        sums = {}
+        for batch in batches:
+            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
+        bits = [np.frexp(c.astype(np.float64))[1].astype(np.uint8).tobytes() for c in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], ["part", "bits"])
+
+    parts = rows.select("_text").mapInArrow(count, "part int, counts binary").repartition(min(PARTS, width(rows.sparkSession)), "part")
+    out = np.zeros((PARTS, (1 << SLOTS) // PARTS), np.uint8)
+    for k, bits in parts.mapInArrow(add_up, "part int, bits binary").collect():
+        out[k] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def _firsts(rows: DataFrame, buckets: int, similarity: float) -> DataFrame:
+    """(h, c, n): the first shingles of each class of copies, where another class has the same among its first;
+    c is the first key of the class, n its number of shingles.  Classes that share c stand for one another."""
+    levels = rows.sparkSession.sparkContext.broadcast(_levels(rows))
+
+    def sort(h, c, n):
+        order = np.lexsort((c, h))
+        h, c, n = h[order], c[order], n[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        return h[new], c[new], n[new]
+
+    def take(batches):
+        rank, held, waiting = levels.value, [], 0
+
+        def flush():
+            nonlocal held, waiting
+            h, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            # the order prefers low first bits, so buckets go by the last ones
+            h, c, n = sort(h << np.uint64(32) | h >> np.uint64(32), c, n)
+            held, waiting = [], 0
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            spans = list(zip(cuts, [*cuts[1:], len(h)], strict=True))
+            columns = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (h, c, n)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), *columns], ["bucket", "h", "c", "n"])
+
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            for a, b in pieces(texts, PIECE):
+                words, offs = words_of(texts.slice(a, b - a))
+                keys = class_key(words, offs, BASE)
+                shingles, at = shingles_of(words, offs)
+                for k, s, e in zip(keys, at[:-1], at[1:], strict=True):
+                    if s == e:
+                        continue
+                    u = np.unique(shingles[s:e])
+                    first = len(u) - int(needed(len(u), similarity)) + 1
+                    h = u[np.argsort(rank[u >> np.uint64(64 - SLOTS)], kind="stable")[:first]]
+                    held.append((h, np.full(first, k), np.full(first, len(u), np.int64)))
+                    waiting += first
+                if waiting > SORTED:
+                    yield flush()
+        if held:
+            yield flush()
+
+    def meet(batches):
+        def of(held):
+            h, c, n = sort(*(np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held, strict=True), (np.uint64, np.int64, np.int64), strict=True)))
+            new = np.concatenate((h[1:] != h[:-1], [True]))
+            some = ~(new & np.concatenate(([True], new[:-1])))
+            h, c, n = h[some].view(np.int64), c[some], n[some]
+            for a in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in (h, c, n)], ["h", "c", "n"])
+
+        key, held = None, []
+        for batch in batches:
+            for bucket, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if bucket != key and held:
+                    yield from of(held)
+                    held = []
+                key = bucket
+                held.append(row)
+        if held:
+            yield from of(held)
+
+    taken = rows.select("_text").mapInArrow(take, "bucket int, h binary, c binary, n binary")
+    dealt = taken.repartition(width(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(meet, "h long, c long, n long")
+
+
+def _missed(rows: DataFrame, digest: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of representatives of different candidate sets that may reach the threshold."""
+    total = digest.agg(F.sum(F.ceil(F.col("n") * (1 - similarity)) + 1)).first()[0] or 0
+    firsts = store(_firsts(rows, int(total) // SORTED + 1, similarity), "firsts")
+    who = classes.join(sets, F.col("rep") == F.col("node"), "left").select(F.col("c1").alias("c"), "rep", F.coalesce("root", "rep").alias("root"))
+    met = store(firsts.join(who, "c").select("h", "rep", "root", "n"), "met")
+    sized = met.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m"))
+    groups = sized.groupBy("h").agg(F.sum("m").alias("size"), (F.count(F.lit(1)) > 1).alias("several"), F.max_by("root", F.struct("m", "root")).alias("major"))
+    open_ = join_hot(met, groups, "h", "size", met.count()).filter("several")
+    blocks = open_.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    units = store(blocks.withColumn("p", F.explode(_pairs_of_blocks())).select("h", "p.i", "p.j", "block", "rep", "root", "n", "major"), "units")
+    # the largest set among a shingle's texts meets the others, not itself
+    one, two = (units.withColumnsRenamed({c: f"{c}{k}" for c in ("block", "rep", "root", "n", "major")}) for k in "12")
+    near = one.filter("root1 <> major1").join(two, ["h", "i", "j"]).filter("root1 <> root2 and (root2 = major2 or rep1 < rep2) and (i = j or block1 <> block2)")
+    near = near.filter(F.least("n1", "n2") >= similarity * F.greatest("n1", "n2") - 1e-5)
+    # of the text whose first shingles end earlier, none but those after them may still be shared
+    rest = F.greatest(F.ceil(similarity * F.greatest("n1", "n2") - 1e-5) - 1, F.lit(0))
+    pairs = near.groupBy(F.greatest("rep1", "rep2").alias("a"), F.least("rep1", "rep2").alias("b")).agg(
+        F.count(F.lit(1)).alias("both"), F.max(rest).alias("rest"), F.min(F.col("n1") + F.col("n2")).alias("sum")
+    )
+    return pairs.filter(F.col("both") + F.col("rest") >= similarity / (1 + similarity) * F.col("sum") - 1e-5).select("a", "b")
+
+
+def _pairs_of_blocks():
+    """The pairs of blocks, as (i, j) with i <= j, that a row of a block is needed in."""
+    return F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+
+
 def shared(rows: list[np.ndarray], left: int) -> np.ndarray:
     """Numbers of shingles that each of the first ``left`` sets shares with each of the others (with each other, if there are no others)."""
     sizes = [len(r) for r in rows]
@@ -332,24 +485,26 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = T
     """One row per input row: id, copy_of (the least id with the same words), class_id (the least id
     of all that are linked, directly or not) and n_links (texts within the threshold, copies counted as one)."""
     spark = docs.sparkSession
+    used = prefix_depth(trees, depth, similarity, recall)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     digest = store(_digest(rows, trees, depth), "digest")
     classes = store(digest.groupBy("c1", "c2").agg(F.min("_id").alias("rep")), "classes")
     reps = store(digest.filter("n > 0").join(classes.select(F.col("rep").alias("_id")), "_id", "left_semi").select("_id", "n", "sig"), "reps")
-    used = shortened(measured_recall(rows, reps, similarity, trees, depth), trees, depth, similarity, recall)
     parts = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.concat(F.unhex(F.lpad(F.hex(t), 2, "0")), F.substring(F.col("sig"), t * (2 * depth) + 1, F.lit(2 * used))))
     keys = reps.select(F.explode(parts).alias("key"), "_id")
     keys = keys.repartitionByRange(width(spark), "key", "_id").sortWithinPartitions("key", "_id")
     sets = store(components(_ties(keys, 1 + 2 * used)), "sets")
+    missed = store(_missed(rows, digest, classes, sets, similarity), "missed")
+    if not missed.isEmpty():
+        sets = store(components(missed.union(sets.select("node", "root"))), "sets")
     sets = sets.union(sets.select("root", "root").distinct())
 
     sizes = sets.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = store(sets.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
     open_ = maybe_in(rows, F.xxhash64("_id"), store(key_filter(members, F.xxhash64("node")), "filter"), "_open").filter("_open").drop("_open")
     held = open_.join(members, F.col("_id") == F.col("node"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     units = (
-        held.select("root", F.explode(pair).alias("p"), "node", "block", "_text")
+        held.select("root", F.explode(_pairs_of_blocks()).alias("p"), "node", "block", "_text")
         .select("root", "p.i", "p.j", "node", "block", "_text")
         .repartition(width(spark), "root", "i", "j")
         .sortWithinPartitions("root", "i", "j")

@@ -55,6 +55,45 @@ def test_jaccard_join_in_several_blocks(spark, monkeypatch):
     assert sorted(map(repr, listed(jaccard_join.jaccard_join(frame)))) == sorted(map(repr, brute_join(rows)))
 
 
+def edited(rng, text, edits):
+    """``text`` with so many words replaced, each far from the others."""
+    words = text.split()
+    for k in range(edits):
+        words[(2 * k + 1) * len(words) // (2 * edits)] = f"new{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_links_do_not_depend_on_a_sample(spark):
+    """Short texts with partners that any forest finds say nothing of long ones just above the threshold."""
+    rng = random.Random(11)
+    rows = []
+    for base in [sentence(rng, 600) for _ in range(20)]:
+        rows += [(len(rows) + i, edited(rng, base, i and 1), None, None, 1) for i in range(3)]
+    for base in [sentence(rng, 2100) for _ in range(12)]:
+        rows += [(len(rows) + i, edited(rng, base, i * 44), None, None, 1) for i in range(2)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    want = brute_join(rows)
+    assert all(r[3] == 1 for r in want[60:])
+    assert sorted(listed(jaccard_join.jaccard_join(frame, trees=4))) == sorted(want)
+    assert {r["doc_id"] for r in jaccard_join.one_of_each(frame, trees=4).collect()} == {r[2] for r in want}
+
+
+def test_pairs_that_the_forest_misses(spark, monkeypatch):
+    """One tree of long prefixes, a passage in all texts, copies, a large group and buckets and blocks of a few rows."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "SORTED", 50)
+    monkeypatch.setattr(jaccard_join, "prefix_depth", lambda *a: 8)
+    rng = random.Random(12)
+    line = sentence(rng, 30)
+    texts = [line + " " + edited(rng, base, e) for base in [sentence(rng, n) for n in (20, 60, 90, 150, 200, 400)] for e in (0, 1, 2, 3, 4, 5, 6)]
+    texts += [f"{line} tail{i}" for i in range(40)] + texts[:9] + [line, "one", "one two", "two one", "a b c d e f", "a b c d e f a b c d e f", "", None]
+    base = sentence(rng, 100)
+    texts += [base + "".join(f" end{k}" for k in range(i)) for i in range(30)]  # sets inside sets
+    rows = [(1000 - i, t, None, None, 1) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert sorted(listed(jaccard_join.jaccard_join(frame, trees=1))) == sorted(brute_join(rows))
+
+
 def test_prefixes_shorten_until_recall(spark, docs, rows):
     d = jaccard_join.prefix_depth(24, 8, 0.8, 0.999)
     assert d == 6 and 1 - (1 - 0.8**d) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 24
