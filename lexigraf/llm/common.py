@@ -5,6 +5,8 @@ Arrow helpers."""
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import functools
 import os
 import uuid
@@ -90,6 +92,12 @@ def _release_all() -> None:
             _stored.pop(path, None)
 
 
+def give_back() -> None:
+    """Hand what this process has freed back to the system, where C's allocator would keep it."""
+    with contextlib.suppress(OSError, AttributeError):  # an allocator that can't
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -165,7 +173,7 @@ def ranks(df: DataFrame, group: list[str], order: list[str], name: str) -> DataF
     )
 
 
-#: Rows for which one file of edges is written, so that small tables stay in few tasks.
+#: Rows for which one file of edges is written, so that small tables stay in few tasks; as many a task settles in its memory.
 EDGES_IN_FILE = 200_000
 #: Keys that may be hot: no more than twice this many have over 1 / HOT of all rows, so these are broadcast.
 HOT = 2048
@@ -186,12 +194,54 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int
     return met.select(*rows.columns, *[F.col(f"_met.{c}").alias(c) for c in found])
 
 
+def least_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, the least node of its component) for the nodes of the edges that are not that least node themselves."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[at[: len(a)]], root[at[len(a) :]]
+        apart = x != y
+        if not apart.any():
+            some = root != np.arange(len(nodes))
+            return nodes[some], nodes[root[some]]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components: each task ties the nodes of what it reads to the least node of their component
+    there, by ``EDGES_IN_FILE`` rows or a few more at a time.  So few edges in one task are settled."""
+
+    def run(batches):
+        held, waiting = [], 0
+
+        def tie():
+            return least_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+        for batch in batches:
+            held.append([batch.column(k).to_numpy() for k in range(2)])
+            waiting += batch.num_rows
+            if waiting > EDGES_IN_FILE:
+                ties = tie()
+                held, waiting = [ties], len(ties[0])
+                if waiting > EDGES_IN_FILE // 2:  # else they wait for more
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in ties], ["a", "b"])
+                    held, waiting = [], 0
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in tie()], ["a", "b"])
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for the nodes of undirected edges (a, b): the least node of each component.
 
-    Alternates large-star and small-star, so every round is one aggregation over the
-    edges, no node gathers its neighbours in memory or in a task, and rounds grow as the
-    logarithm of a component's diameter.  A round's table is deleted when the next is written.
+    Tasks first tie what they read by themselves, and edges that are no more than one task
+    may hold are settled there.  As long as there are more, large-star and small-star
+    alternate, so every round is one aggregation over the edges, no node gathers its
+    neighbours in memory or in a task, and rounds grow as the logarithm of a component's
+    diameter.  A round's table is deleted when the next is written.
     """
 
     def star(frame: DataFrame, large: bool, total: int) -> DataFrame:
@@ -207,11 +257,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def mark(frame: DataFrame):
         return frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    pairs = store(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    pairs = store(contracted(edges.filter("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))).distinct(), "edges")
     before = mark(pairs)
     for _ in range(rounds):
-        files = -(-(before[0] or 0) // EDGES_IN_FILE) or 1
-        total = 2 * (before[0] or 0)
+        if before[0] <= EDGES_IN_FILE:
+            return contracted(pairs.coalesce(1)).toDF("node", "root")
+        files = -(-before[0] // EDGES_IN_FILE)
+        total = 2 * before[0]
         halfway = store(star(pairs, True, total).coalesce(files), "edges")  # else the plan of one star stands in the other's many times
         now = store(star(halfway, False, total).distinct().coalesce(files), "edges")
         discard(pairs)

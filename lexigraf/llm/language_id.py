@@ -30,23 +30,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import codes_of, fold_of, fold_table, folded, mixed, pieces, prepare, table, texts_of
+from .common import codes_of, fold_of, fold_table, folded, give_back, mixed, pieces, prepare, table, texts_of
 
 ORDER, SAMPLE, LANGUAGES, CALIBRATE, MARGIN, SHORT, PIECE = 4, 250, 200, 5, 1.2, 12.0, 1 << 17
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _each_hash(codes: np.ndarray, order: int):
+    """``_hashes``, one after the other."""
+    c = codes.astype(np.uint64) + np.uint64(1)
+    h, power = np.zeros(len(c), np.uint64), 1
+    yield mixed(h)
+    for k in range(min(order, len(c))):
+        h[k:] += c[: len(c) - k] * np.uint64(power)
+        power = power * int(BASE) & (1 << 64) - 1
+        yield mixed(h + np.uint64(k + 1))
+    for k in range(min(order, len(c)), order):
+        yield mixed(h + np.uint64(k + 1))
+
+
 def _hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
     """hashes[k][i]: of the k characters that end before i + 1 (garbage where they cross a text's start)."""
-    c = codes.astype(np.uint64) + np.uint64(1)
-    out, h, power = [np.zeros(len(c), np.uint64)], np.zeros(len(c), np.uint64), np.uint64(1)
-    with np.errstate(over="ignore"):
-        for k in range(order):
-            shifted = c if k == 0 else np.concatenate((np.zeros(k, np.uint64), c[:-k]))[: len(c)]
-            h = h + shifted * power
-            power = power * BASE
-            out.append(h)
-        return [mixed(x + np.uint64(k)) for k, x in enumerate(out)]
+    return list(_each_hash(codes, order))
 
 
 @dataclass
@@ -70,23 +75,29 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+def _grams(texts: list[str], order: int) -> dict[int, tuple]:
+    """By length: the strings of the texts, sorted, with their counts, contexts, and themselves without the first character."""
+    codes, offs = codes_of(pa.array(texts, pa.string()))
+    codes, offs, _ = folded(codes, offs, fold_table(False))
+    place = np.arange(len(codes)) - np.repeat(offs[:-1], np.diff(offs))
+    seen, shorter = {}, None
+    for k, h in enumerate(_each_hash(codes, order)):  # two lengths at a time are held, since the driver fits
+        if k:
+            ok = np.flatnonzero(place >= k)  # a text's first space is only context
+            key, first, count = np.unique(h[ok], return_index=True, return_counts=True)
+            where = ok[first]
+            # the context is what ends one earlier
+            seen[k] = (key, count, np.where(where > 0, shorter[where - 1], np.uint64(0)), shorter[where])
+        shorter = h
+    return seen
+
+
 def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     """Interpolated Kneser-Ney models of the texts of each language."""
     languages = sorted(texts)
     grams: list[dict[str, tuple]] = []
     for name in languages:
-        codes, offs = codes_of(pa.array(texts[name], pa.string()))
-        codes, offs, _ = folded(codes, offs, fold_table(False))
-        place = np.arange(len(codes)) - np.repeat(offs[:-1], np.diff(offs))
-        hs = _hashes(codes, order)
-        prev = [np.concatenate((np.zeros(1, np.uint64), h[:-1])) for h in hs]  # the context: what ends one earlier
-        seen = {}
-        for k in range(1, order + 1):
-            ok = place >= k if k > 1 else place >= 1  # a text's first space is only context
-            key, first, count = np.unique(hs[k][ok], return_index=True, return_counts=True)
-            where = np.flatnonzero(ok)[first]
-            seen[k] = (key, count, prev[k - 1][where], hs[k - 1][where])  # context, and the string without its first character
-        grams.append(seen)
+        grams.append(_grams(texts[name], order))
     alphabet = np.unique(np.concatenate([g[1][0] for g in grams])) if grams else np.zeros(0, np.uint64)
     floor = -math.log(len(alphabet) + 1)
     model = Model(languages, order, [np.zeros(0, np.uint64)], [np.zeros((0, 0))], [], [], floor)
@@ -206,6 +217,8 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
             if chars[0] > 20:
                 costs[name].append(cost[0, model.languages.index(name)])
     model.limits = np.array([(np.mean(costs[x]) if costs[x] else -model.floor) + MARGIN for x in model.languages])
+    del rows, by_language
+    give_back()
     return model
 
 

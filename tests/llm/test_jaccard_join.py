@@ -145,3 +145,32 @@ def test_components_of_a_hub(spark, monkeypatch):
     edges = [(0, i) for i in range(1, 400)] + [(500 + i, 501 + i) for i in range(40)] + [(399, 700)]
     got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 400)}, 700: 0, **{501 + i: 500 for i in range(40)}}
+
+
+def test_components_by_tasks_and_by_rounds(spark, monkeypatch):
+    """Few edges take one task and few jobs, whatever a component's diameter; with more, tasks tie what they may hold and rounds go on."""
+    rng = random.Random(2)
+    path = [(i, i + 1) for i in range(300)]
+    edges = path + [(600 - i, 599 - i) for i in range(0, 99)] + [(1000 + rng.randrange(400), 1000 + rng.randrange(400)) for _ in range(250)] + [(-5, -5)]
+    rng.shuffle(edges)
+    want = dict(zip(*(x.tolist() for x in common.least_of(*np.array(edges).T)), strict=True))
+    least = {}
+    for x in sorted({x for e in edges for x in e}):
+        todo = [x]
+        while todo:
+            y = todo.pop()
+            if y not in least:
+                least[y] = x
+                todo += [b if y == a else a for a, b in edges if y in (a, b)]
+    assert want == {x: r for x, r in least.items() if x != r} and want[300] == 0 and want[600] == 501
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    context = spark.sparkContext
+    context.setJobGroup("few edges", "components")
+    got = {r[0]: r[1] for r in components(frame).collect()}
+    jobs = len(context.statusTracker().getJobIdsForGroup("few edges"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want and jobs <= 6
+    monkeypatch.setattr(common, "EDGES_IN_FILE", 40)
+    assert {r[0]: r[1] for r in components(frame).collect()} == want
+    none = components(spark.createDataFrame([], "a long, b long"))
+    assert none.columns == ["node", "root"] and none.count() == 0

@@ -1,6 +1,7 @@
 """Quality and language models."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -97,3 +98,15 @@ def test_languages_with_few_texts_keep_a_model(spark):
         assert model.languages == ["xx", "yy"]
         got = [(r["lang_pred"], r["score"]) for r in language_id.identify(docs, model).collect() if r["doc_id"] >= 100]
         assert len(set(got)) == 1 and got[0][0] == "yy" and len(got) == 1 + k % 2
+
+
+def test_fitting_takes_little_of_the_drivers_memory():
+    """About a hundred bytes for each character of one language at a time, and not twice as many while the next begins."""
+    rng = np.random.default_rng(3)
+    texts = {name: ["".join(map(chr, rng.integers(97, 101, 2000))) for _ in range(50)] for name in ("aa", "bb", "cc")}
+    language_id.fit({name: found[:1] for name, found in texts.items()})
+    tracemalloc.start()
+    language_id.fit(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 140 * sum(map(len, texts["aa"]))
