@@ -39,7 +39,7 @@ def _folder(spark, name: str) -> str:
 def bm25_saved_index(spark, sf_dir):
     """A whole index written, read again and searched."""
     path = _folder(spark, "index")
-    lexical.index_chunks(chunks(spark, sf_dir)).save(path)
+    lexical.index_chunks(chunks(spark, sf_dir), keep=False).save(path)
     return lexical.search(lexical.LexicalIndex.load(spark, path), queries(spark, sf_dir), 10).select("qid", "chunk_hash", six("raw", "score"), "rank")
 
 
@@ -63,7 +63,7 @@ ONE = "(SELECT min(item_id) FROM benchmark)"
 def bm25_score_all(spark, sf_dir):
     """Every chunk's score for the first passage, 0 without a common term."""
     first = queries(spark, sf_dir).orderBy("qid").limit(1)  # a query of one, as the operator takes
-    return lexical.score_all(lexical.index_chunks(chunks(spark, sf_dir)), first).select("chunk_hash", six("raw", "score"))
+    return lexical.score_all(lexical.index_chunks(chunks(spark, sf_dir), only=lexical.query_terms(first)), first).select("chunk_hash", six("raw", "score"))
 
 
 @register(f"WITH {HITS} SELECT qid, chunk_hash, round(raw, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, chunk_hash) AS rank FROM hits WHERE view = 'semantic'")
