@@ -90,3 +90,21 @@ def test_one_query_scores_no_other_postings(spark):
     assert "BroadcastHashJoin" in plan(scored)
     got = {r[0]: round(r[1], 9) for r in scored.collect()}
     assert len(got) == 80 and {k: v for k, v in got.items() if v} == {r["chunk_hash"]: round(r["raw"], 9) for r in found.filter(F.col("raw") > 0).collect()}
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_similar_pairs_in_small_units(spark, monkeypatch, own):
+    """Many parts, pairs listed a few at a time, and groups of sets that share much dealt in blocks, against brute force."""
+    from lexigraf.operators import lineage
+
+    rng = random.Random(8)
+    base = [rng.sample(range(3000), 40) for _ in range(4)]
+    sets = {i: {str(x) for x in rng.sample(base[i % 4], rng.randrange(20, 41))} | {f"{i}-{j}" for j in range(rng.randrange(12))} | {"often"} for i in range(90)}
+    frame = spark.createDataFrame([(f"s{i}", "x" if i % 8 else None, sorted(v)) for i, v in sets.items()], "id string, language string, items array<string>")
+    for name, value in (("LISTED", 50), ("MET", 64), ("UNIT", 20), ("HELD", 4)):
+        monkeypatch.setattr(lineage, name, value)
+    found = lineage.similar_pairs(frame) if own else lineage.similar_pairs(frame, frame)
+    got = sorted((*(sorted((r["old"], r["new"])) if own else (r["old"], r["new"])), round(r["similarity"], 9)) for r in found.collect())
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if bool(a % 8) == bool(b % 8)}
+    want = sorted((*(sorted((f"s{a}", f"s{b}")) if own else (f"s{a}", f"s{b}")), round(s, 9)) for (a, b), s in alike.items() if s >= 0.5 and (a < b or not own))
+    assert got == want and len(want) > 100
