@@ -110,10 +110,15 @@ def dependency_chains(edges: DataFrame, starts: DataFrame, direction: str = "out
     return out.withColumn("rank", F.row_number().over(window).cast("long")).filter(F.col("rank") <= limit)
 
 
-def graph_view(seeds: DataFrame, chunk_symbols: DataFrame, edges: DataFrame, **how) -> DataFrame:
-    """hits of the view ``graph``: seeds (qid, chunk_hash, score) through the symbols (chunk_hash, symbol_id) and back."""
+def graph_view(seeds: DataFrame, chunk_symbols: DataFrame, edges: DataFrame, k: int | None = None, **how) -> DataFrame:
+    """hits of the view ``graph``: seeds (qid, chunk_hash, score) through the symbols (chunk_hash, symbol_id) and back; with ``k``
+    the first ``k`` of each query.  Of a symbol's chunks only the first ``k`` can be among them, since all score as much by it."""
     nodes = seeds.join(chunk_symbols, "chunk_hash").groupBy("qid", F.col("symbol_id").alias("node")).agg(F.max("score").alias("score"))
-    reached = expand(nodes, edges, **how).join(chunk_symbols.withColumnRenamed("symbol_id", "node"), "node")
-    best = reached.groupBy("qid", "chunk_hash").agg(F.max("score").alias("raw"))
+    back = chunk_symbols.withColumnRenamed("symbol_id", "node")
+    if k is not None:
+        first = F.row_number().over(Window.partitionBy("node").orderBy("chunk_hash"))
+        back = back.select("node", "chunk_hash").distinct().withColumn("r", first).filter(F.col("r") <= k).drop("r")
+    best = expand(nodes, edges, **how).join(back, "node").groupBy("qid", "chunk_hash").agg(F.max("score").alias("raw"))
     window = Window.partitionBy("qid").orderBy(F.round("raw", 9).desc(), "chunk_hash")
-    return best.withColumn("rank", F.row_number().over(window).cast("long")).select("qid", "chunk_hash", F.lit("graph").alias("view"), "raw", "rank")
+    ranked = best.withColumn("rank", F.row_number().over(window).cast("long")).select("qid", "chunk_hash", F.lit("graph").alias("view"), "raw", "rank")
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)

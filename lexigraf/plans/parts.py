@@ -155,8 +155,8 @@ SELECT qid, chunk_hash, round(raw, 6) AS score, row_number() OVER (PARTITION BY
 def graph_view_topk(spark, sf_dir):
     """The graph view of the fused list: documents stand for nations, and nations lead to others by trade."""
     symbols = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("chunk_hash"), F.concat(F.lit("n"), F.col("doc_id") % 25).alias("symbol_id"))
-    view = graph.graph_view(fusion.rrf(hits(spark, sf_dir)).select("qid", "chunk_hash", "score"), symbols, edges(spark, sf_dir))
-    return view.filter("rank <= 20").select("qid", "chunk_hash", six("raw", "score"), "rank")
+    view = graph.graph_view(fusion.rrf(hits(spark, sf_dir)).select("qid", "chunk_hash", "score"), symbols, edges(spark, sf_dir), k=20)
+    return view.select("qid", "chunk_hash", six("raw", "score"), "rank")
 
 
 @register(f"""WITH RECURSIVE {EDGES}, chains AS (SELECT src AS start, [src, dst] AS symbols, [kind] AS kinds, w AS score, dst AS last FROM edges WHERE kind IN ('calls', 'inherits')
