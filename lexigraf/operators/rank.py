@@ -65,7 +65,7 @@ def evolution_view(query_tokens: DataFrame, candidates: DataFrame, nodes: DataFr
     first = Window.partitionBy("qid", "lineage_id").orderBy("rank")
     pool = candidates.filter("lineage_id is not null").withColumn("r", F.row_number().over(first)).filter("r = 1").select("qid", "chunk_hash", "lineage_id")
     node = F.xxhash64("lineage_id", "version_id", "change_type", "message_tokens")
-    told = nodes.withColumn("node", node)
+    told = nodes.join(pool.select("lineage_id").distinct(), "lineage_id", "left_semi").withColumn("node", node)  # no other lineage scores
     asked = query_tokens.select("qid", F.array_distinct("tokens").alias("tokens"), "refs")
     each = asked.select("qid", F.explode("tokens").alias("token"))
     said = told.select("lineage_id", "node", F.explode(F.array_distinct("message_tokens")).alias("token")).join(each.select("token").distinct(), "token", "left_semi").distinct()
