@@ -108,3 +108,25 @@ def test_similar_pairs_in_small_units(spark, monkeypatch, own):
     alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if bool(a % 8) == bool(b % 8)}
     want = sorted((*(sorted((f"s{a}", f"s{b}")) if own else (f"s{a}", f"s{b}")), round(s, 9)) for (a, b), s in alike.items() if s >= 0.5 and (a < b or not own))
     assert got == want and len(want) > 100
+
+
+def test_graph_view_keeps_a_symbols_first_chunks(spark):
+    from lexigraf.operators import graph
+
+    rng = random.Random(2)
+    symbols = spark.createDataFrame([(f"c{i:03}", f"n{rng.randrange(6)}") for i in range(200)], "chunk_hash string, symbol_id string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{(i * 2 + 1) % 6}", k) for i in range(6) for k in ("calls", "imports")], "src string, dst string, kind string")
+    seeds = spark.createDataFrame([(q, f"c{rng.randrange(200):03}", rng.random()) for q in range(4) for _ in range(3)], "qid long, chunk_hash string, score double")
+    rows = lambda f: sorted(map(tuple, f.filter("rank <= 5").collect()))
+    assert rows(graph.graph_view(seeds, symbols, edges, k=5)) == rows(graph.graph_view(seeds, symbols, edges))
+
+
+def test_evolution_reads_only_lineages_of_candidates(spark):
+    from lexigraf.operators import rank
+
+    asked = spark.createDataFrame([(1, ["a", "b"], ["v1"])], "qid long, tokens array<string>, refs array<string>")
+    pool = spark.createDataFrame([(1, "c", "l1", 1), (1, "d", None, 2)], "qid long, chunk_hash string, lineage_id string, rank long")
+    nodes = spark.createDataFrame([("l1", "v1", "modified", ["a"]), ("l2", "v1", "modified", ["a", "b"])], "lineage_id string, version_id string, change_type string, message_tokens array<string>")
+    view = rank.evolution_view(asked, pool, nodes, spark.createDataFrame([], "version_id string, tag string"))
+    assert view._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") > 1  # of tokens, and of lineages
+    assert [(r["chunk_hash"], round(r["raw"], 6)) for r in view.collect()] == [("c", 0.5 + 0.5 + 0.1)]
